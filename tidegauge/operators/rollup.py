@@ -14,9 +14,16 @@ result does not depend on the order in which tasks finish.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions import labels
+from tidegauge.functions.labels import ONLINE
+from tidegauge.operators.canonical import COUNTER_DEFAULTS, DEFAULT_CUSTOMER, READING_DEFAULTS
+
 AVERAGED = (
     "temperature", "humidity", "pressure", "co2_level",
     "noise_level", "light_level", "battery_level", "signal_strength",
@@ -118,6 +125,103 @@ def rollup_sensors(
     return finish_rollup(states, key, with_extremes, real_usage)
 
 
+# Bits of an ordering number that hold the position in the topic; the bits above
+# hold the milliseconds since the start of a window of up to a day.
+_SEQ_BITS = 36
+_LONGEST_PACKED = pd.Timedelta("1 day")
+
+
+def reading_states(
+    df: DataFrame, window: str = "1 minute", time: str = "time", seq: str = "seq",
+) -> DataFrame:
+    """States of decoded binary readings per (sensorId, window), before labelling.
+
+    A binary reading has four measurements, a status and a type code; all else
+    in its sensor row is a constant or follows from the sensor id.  So the codes
+    are aggregated and ``finish_readings`` adds labels and constants to the few
+    rows that remain.  Every state is a number of fixed width, which keeps the
+    aggregation in hash tables without sorting the readings.
+    """
+    measured = {"temperature": "temperature", "humidity": "humidity",
+                "pressure": "pressure", "batteryLevel": "battery_level"}
+    rows = df.withColumn("window", F.window(time, window))
+    rows = rows.select(
+        "window", "sensorId", F.coalesce("sensorType", F.lit(1)).alias("type"),
+        F.coalesce("status", F.lit(ONLINE)).alias("status"),
+        *[F.coalesce(sent, F.lit(READING_DEFAULTS[name])).alias(name) for sent, name in measured.items()],
+        _order_in_window(df, window, time, seq).alias("order"),
+    )
+    states = [F.count("*").alias("reading_count")]
+    for name in measured.values():
+        states += [
+            F.sum(name).alias(f"sum_{name}"), F.min(name).alias(f"min_{name}"), F.max(name).alias(f"max_{name}"),
+        ]
+    states += [
+        F.sum("status").alias("sum_status"),
+        F.min("order").alias("first_order"), F.min_by("type", "order").alias("first_type"),
+    ]
+    grouped = rows.groupBy("window", "sensorId").agg(*states)
+    return grouped.select(
+        "sensorId", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+        *[c for c in grouped.columns if c not in ("window", "sensorId", "first_order", "first_type")],
+        # Orders count from the start of their own window; merging windows
+        # compares the starts first.
+        F.struct(F.col("window.start").alias("first_window"), "first_order", "first_type").alias("first_seen"),
+    )
+
+
+def _order_in_window(df: DataFrame, window: str, time: str, seq: str) -> Column:
+    """One number that orders the readings of a window by (time, position).
+
+    Time and position share one long where they fit.  Of readings of the same
+    millisecond the position counts modulo 2^36, or, without positions, the
+    lower type code comes first.  Longer windows take a slower decimal.
+    """
+    millis = F.unix_millis(F.col(time).cast("timestamp"))
+    below = F.col(seq).cast("long") if seq in df.columns else F.coalesce("sensorType", F.lit(1)).cast("long")
+    low_bits = below.bitwiseAND(F.lit((1 << _SEQ_BITS) - 1))
+    if pd.Timedelta(window) <= _LONGEST_PACKED:
+        since = millis - F.unix_millis(F.col("window.start").cast("timestamp"))
+        return F.shiftleft(since, _SEQ_BITS).bitwiseOR(low_bits)
+    return millis.cast("decimal(19,0)") * F.lit(Decimal(1 << _SEQ_BITS)) + low_bits.cast("decimal(19,0)")
+
+
+def finish_readings(states: DataFrame, with_extremes: bool = False) -> DataFrame:
+    """States of binary readings to the same rows as ``finish_rollup``."""
+    sensor, constants = F.col("sensorId"), {**READING_DEFAULTS, **COUNTER_DEFAULTS}
+    columns = {
+        "device_id": labels.device_label(sensor),
+        "device_type": labels.sensor_type_label(F.col("first_seen.first_type")),
+        "customer_id": F.lit(DEFAULT_CUSTOMER),
+        "site_id": labels.site_label(sensor),
+        **dict.fromkeys(("latitude", "longitude", "altitude"), F.lit(0.0)),
+        "window_start": F.col("window_start"),
+        "window_end": F.col("window_end"),
+        "time": F.col("window_end"),
+    }
+    for name in AVERAGED:
+        summed = f"sum_{name}"
+        columns[name] = F.col(summed) / F.col("reading_count") if summed in states.columns else F.lit(constants[name])
+    columns["motion_detected"] = F.lit(0).cast("short")
+    columns |= {name: F.lit(value) for name, value in USAGE_PLACEHOLDERS.items()}
+    columns["status"] = F.expr("cast(sum_status div reading_count as int)")
+    columns |= {name: F.lit(0).cast("long") for name in COUNTERS}
+    columns["reading_count"] = F.col("reading_count")
+    if with_extremes:
+        for name in AVERAGED:
+            for end in ("min", "max"):
+                known = f"{end}_{name}"
+                columns[known] = F.col(known) if known in states.columns else F.lit(constants[name])
+    return states.select(*[column.alias(name) for name, column in columns.items()])
+
+
+def rollup_readings(
+    df: DataFrame, window: str = "1 minute", time: str = "time", seq: str = "seq", with_extremes: bool = False,
+) -> DataFrame:
+    """Decoded binary readings straight to roll-up rows."""
+    return finish_readings(reading_states(df, window, time, seq), with_extremes)
+
+
 def sensor_metrics(
     df: DataFrame,
     window: str = "1 minute",

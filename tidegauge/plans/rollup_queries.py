@@ -9,7 +9,7 @@ from tidegauge import schemas
 from tidegauge.functions.timeparts import day_key, month_key
 from tidegauge.operators import hourly, rollup, tables
 from tidegauge.plans import views
-from tidegauge.plans.registry import over_metrics, over_sensors, query
+from tidegauge.plans.registry import over_metrics, over_sensors, plain_times, query
 from tidegauge.session import work_dir
 
 AS_OF = views.AS_OF
@@ -61,6 +61,36 @@ _register_rollup("e11_rollup_site_hour", "1 hour", unit="hour", key="site_id")
 _register_rollup("e11_rollup_customer_day", "1 day", unit="day", key="customer_id")
 
 
+AVRO_ROWS = """, avro as (
+  select seq, device_id, device_type, 'customer_0001' as customer_id, site_id, 0.0E0 as latitude, 0.0E0 as longitude,
+    0.0E0 as altitude, date_trunc('millisecond', time) as time, temperature, humidity, pressure,
+    400.0E0 as co2_level, 50.0E0 as noise_level, 500.0E0 as light_level, 0 as motion_detected, battery_level,
+    -50.0E0 as signal_strength, 50.0E0 as memory_usage, 30.0E0 as cpu_usage, status, 0 as error_count,
+    0 as packets_sent, 0 as packets_received, 0 as bytes_sent, 0 as bytes_received from sensors)"""
+
+
+def avro_rollup_sql(unit: str, extremes: bool = False) -> str:
+    """The roll-up of canonical rows made from binary readings."""
+    rolled = rollup_sql(unit, source="avro", extremes=extremes)
+    return over_sensors(AVRO_ROWS) + rolled.removeprefix(over_sensors(""))
+
+
+@query("e1_rollup_readings_minute", avro_rollup_sql("minute"))
+def rollup_readings_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rollup_readings(spark, sf_dir, "1 minute")
+
+
+@query("e1_rollup_readings_day", avro_rollup_sql("day", extremes=True))
+def rollup_readings_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rollup_readings(spark, sf_dir, "1 day", with_extremes=True)
+
+
+def _rollup_readings(spark: SparkSession, sf_dir: str, window: str, **options) -> DataFrame:
+    readings = views.avro_readings(views.sensors(spark, sf_dir))
+    rows = readings.withColumn("time", F.timestamp_millis("timestamp"))
+    return plain_times(rollup.rollup_readings(rows, window, **options))
+
+
 def _daily(*columns: str):
     """A query of single columns of the daily roll-up; the rest is pruned."""
     names = ("device_id", "window_start", *columns)

@@ -12,7 +12,7 @@ from tidegauge.operators.alerting import sensor_names
 from tidegauge.plans import views
 from tidegauge.plans.messages import encode_readings
 from tidegauge.plans.registry import over_metrics, over_sensors, plain_times, query
-from tidegauge.plans.rollup_queries import HOURLY_SQL, rollup_sql
+from tidegauge.plans.rollup_queries import AVRO_ROWS, HOURLY_SQL, avro_rollup_sql, rollup_sql
 from tidegauge.session import work_dir
 from tidegauge.streaming import jobs, progress
 from tidegauge.streaming.sinks import append_only_sink, committed, raw_and_alerts_sink
@@ -81,8 +81,6 @@ def append_only_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeat, then another: the rows count once.  Files stand in for the database."""
     out = work_dir(spark, "h5")
     run = _run(spark, "h5-run")
-    ledger_schema = "batch_id long, attempt string"
-
     def append_rows(df: DataFrame) -> None:
         df.write.mode("append").parquet(f"{out}/rows")
 
@@ -90,8 +88,9 @@ def append_only_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         df.write.mode("append").parquet(f"{out}/ledger")
 
     def read_ledger(session: SparkSession) -> DataFrame:
-        session.createDataFrame([], ledger_schema).write.mode("append").parquet(f"{out}/ledger")
-        return session.read.schema(ledger_schema).parquet(f"{out}/ledger")
+        return session.read.parquet(f"{out}/ledger")
+
+    append_ledger(spark.createDataFrame([], "batch_id long, attempt string"))
 
     sink = append_only_sink(append_rows, append_ledger, read_ledger)
     lost = append_only_sink(append_rows, lambda df: None, read_ledger)
@@ -147,26 +146,22 @@ def fan_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fan_out(spark, run.output)
 
 
-AVRO_ROLLUP_SQL = """, avro as (
-  select seq, device_id, device_type, 'customer_0001' as customer_id, site_id, 0.0E0 as latitude, 0.0E0 as longitude,
-    0.0E0 as altitude, date_trunc('millisecond', time) as time, temperature, humidity, pressure,
-    400.0E0 as co2_level, 50.0E0 as noise_level, 500.0E0 as light_level, 0 as motion_detected, battery_level,
-    -50.0E0 as signal_strength, 50.0E0 as memory_usage, 30.0E0 as cpu_usage, status, 0 as error_count,
-    0 as packets_sent, 0 as packets_received, 0 as bytes_sent, 0 as bytes_received from sensors)"""
-
-
-def _avro_rollup_sql(unit: str) -> str:
-    return over_sensors(AVRO_ROLLUP_SQL) + rollup_sql(unit, source="avro").removeprefix(over_sensors(""))
-
-
-@query("h8_rollup_job_minute", _avro_rollup_sql("minute"))
+@query("h8_rollup_job_minute", avro_rollup_sql("minute"))
 def rollup_job_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, "h8")
     jobs.start_rollup_job(_avro(spark, sf_dir), run, keep=("seq",), mode="deltas").awaitTermination()
     return plain_times(jobs.read_rollups(tables.read_table(spark, run.output), "deltas"))
 
 
-@query("h8_rollup_job_day", _avro_rollup_sql("day"))
+@query("h8_rollup_job_append", avro_rollup_sql("hour") + """
+  where window_end <= date_trunc('millisecond', (select max(time) from avro)) - interval 2 minute""")
+def rollup_job_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run(spark, "h8-append")
+    jobs.start_rollup_job(_avro(spark, sf_dir), run, "1 hour", keep=("seq",)).awaitTermination()
+    return plain_times(jobs.read_rollups(tables.read_table(spark, run.output)))
+
+
+@query("h8_rollup_job_day", avro_rollup_sql("day"))
 def rollup_job_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, "h8-day")
     query_ = jobs.start_rollup_job(_avro(spark, sf_dir), run, keep=("seq",), mode="update", window="1 day")
@@ -214,7 +209,7 @@ def hourly_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(jobs.read_hourly(tables.read_table(spark, run.output)))
 
 
-@query("f6_hybrid", over_sensors(AVRO_ROLLUP_SQL + f"""
+@query("f6_hybrid", over_sensors(AVRO_ROWS + f"""
   select 'raw' as kind, device_id, time, temperature, cast(1 as bigint) as readings from avro
   where time > timestamp '{AS_OF}' - interval 1 day
   union all

@@ -7,7 +7,7 @@ sinks may see a batch twice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,7 @@ from tidegauge.sources.json_messages import decode_json
 from tidegauge.streaming.sinks import BatchWriter, raw_and_alerts_sink, table_sink
 
 ROLLUPS = Layout("window_start", ("device_id",), ("device_id",))
+READINGS = Layout("window_start", ("sensorId",), ("sensorId",))
 HOURS = Layout("hour_window", ("sensor_id",), ("sensor_id",))
 
 
@@ -77,27 +78,66 @@ def start_rollup_stream(
     ``clock="processing"`` puts rows into the window of their arrival instead
     of their own time.
     """
+    def states(df: DataFrame, time: str) -> DataFrame:
+        return rollup.rollup_states(df, window, key, time)
+
+    return _start_rollup(rows, run, states, lambda df: rollup.finish_rollup(df, key), mode, lateness, clock)
+
+
+def start_rollup_job(
+    messages: DataFrame,
+    run: Run,
+    window: str = "1 minute",
+    mode: str = "append",
+    lateness: str = "2 minutes",
+    clock: str = "event",
+    keep: Sequence[str] = (),
+    on_error: str = "fail",
+) -> StreamingQuery:
+    """Binary messages to rolled-up sensor rows; options as in ``start_rollup_stream``.
+
+    ``keep`` may name the column ``seq``, the position of a message in its
+    topic, to settle which of two readings of one instant came first.
+    """
+    readings = decode_avro(messages, on_error=on_error, keep=tuple(keep))
+    readings = readings.withColumn("time", F.timestamp_millis("timestamp"))
+
+    def states(df: DataFrame, time: str) -> DataFrame:
+        return rollup.reading_states(df, window, time)
+
+    return _start_rollup(readings, run, states, rollup.finish_readings, mode, lateness, clock)
+
+
+def _start_rollup(
+    rows: DataFrame,
+    run: Run,
+    states: Callable[[DataFrame, str], DataFrame],
+    finish: Callable[[DataFrame], DataFrame],
+    mode: str,
+    lateness: str,
+    clock: str,
+) -> StreamingQuery:
     time = "time"
     if clock == "processing":
         rows, time, lateness = rows.withColumn("arrival", F.current_timestamp()), "arrival", "0 seconds"
     if mode == "deltas":
-        def states(batch: DataFrame) -> DataFrame:
-            return rollup.rollup_states(batch, window, key, time)
-
-        return start(rows, table_sink(run.output, ROLLUPS, states), run)
+        layout = ROLLUPS if "device_id" in rows.columns else READINGS
+        return start(rows, table_sink(run.output, layout, lambda batch: states(batch, time)), run)
     if mode == "append":
         rows = rows.withWatermark(time, lateness)
-    rolled = rollup.rollup_sensors(rows, window, key, time)
-    return start(rolled, table_sink(run.output, ROLLUPS), run, mode)
+    return start(finish(states(rows, time)), table_sink(run.output, ROLLUPS), run, mode)
 
 
 def read_rollups(table: DataFrame, mode: str = "append", key: str = "device_id") -> DataFrame:
-    """The roll-up rows of a table written by ``start_rollup_stream``."""
-    if mode == "deltas":
-        return rollup.finish_rollup(rollup.merge_rollups(table.drop("batch_id", "day"), key=key), key)
+    """The roll-up rows of a table written by a roll-up stream or job."""
     if mode == "update":
         table = newest_batch(table, (key, "window_start"))
-    return table.drop("batch_id", "day")
+    table = table.drop("batch_id", "day")
+    if mode != "deltas":
+        return table
+    if "sensorId" in table.columns:
+        return rollup.finish_readings(rollup.merge_rollups(table, key="sensorId"))
+    return rollup.finish_rollup(rollup.merge_rollups(table, key=key), key)
 
 
 def newest_batch(table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,11 +147,6 @@ def newest_batch(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return newest.select(*keys, "row.*")
 
 
-def start_rollup_job(messages: DataFrame, run: Run, keep: Sequence[str] = (), **options) -> StreamingQuery:
-    """Binary messages to rolled-up sensor rows."""
-    return start_rollup_stream(decode_readings(messages, keep=keep), run, **options)
-
-
 def start_alert_job(messages: DataFrame, run: Run, on_error: str = "skip") -> StreamingQuery:
     """Integer JSON messages; active readings and their alerts to two tables."""
     rows = decode_json(messages, schemas.JSON_INTEGER, on_error=on_error)
@@ -139,12 +174,15 @@ def read_hourly(table: DataFrame) -> DataFrame:
 
 
 def start_hybrid(
-    messages: DataFrame, raw: Run, rolled: Run, keep: Sequence[str] = (), **options,
+    messages: DataFrame, raw: Run, rolled: Run, keep: Sequence[str] = (), on_error: str = "fail", **options,
 ) -> tuple[StreamingQuery, StreamingQuery]:
     """Raw rows (to be kept for a day) and roll-ups (kept long) of one topic.
 
     Two queries with a checkpoint each, so that a slow sink of one does not
     hold up the other; the raw table is trimmed with ``apply_retention``.
     """
-    rows = decode_readings(messages, keep=keep)
-    return start(rows, table_sink(raw.output, LAYOUTS["sensors"]), raw), start_rollup_stream(rows, rolled, **options)
+    rows = decode_readings(messages, on_error, keep)
+    return (
+        start(rows, table_sink(raw.output, LAYOUTS["sensors"]), raw),
+        start_rollup_job(messages, rolled, keep=keep, on_error=on_error, **options),
+    )
