@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,14 +28,19 @@ def decode_json(
         raise ValueError(f"on_error: {on_error}")
     text = F.col(column).cast("string")
     if on_error == "fail":
-        parsed = df.select(*keep, F.from_json(text, schema, {"mode": "FAILFAST"}).alias("m"))
-        return parsed.select(*keep, "m.*")
+        return df.select(*keep, _parsed(text, schema, "FAILFAST"))
     with_flag = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = df.select(*keep, text.alias("_text"), F.from_json(text, with_flag, options).alias("m"))
+    texts = df.select(*keep, text.alias("_text"))
+    parsed = texts.select(*keep, "_text", _parsed(F.col("_text"), with_flag, "PERMISSIVE"))
     # A null message has no parse at all; it counts as unreadable too.
-    corrupt = F.when(F.col("_text").isNull(), F.lit("")).otherwise(F.col(f"m.{CORRUPT}"))
-    fields = [F.col(f"m.{name}").alias(name) for name in schema.fieldNames()]
+    corrupt = F.when(F.col("_text").isNull(), F.lit("")).otherwise(F.col(CORRUPT))
     if on_error == "skip":
-        return parsed.filter(corrupt.isNull()).select(*keep, *fields)
-    return parsed.select(*keep, *fields, corrupt.alias(CORRUPT))
+        return parsed.filter(corrupt.isNull()).select(*keep, *schema.fieldNames())
+    return parsed.select(*keep, *schema.fieldNames(), corrupt.alias(CORRUPT))
+
+
+def _parsed(text: Column, schema: T.StructType, mode: str) -> Column:
+    """The fields of one parse.  As output of a generator they are plain columns:
+    a filter on them is not rewritten into a second parse of the text."""
+    options = {"mode": mode, "columnNameOfCorruptRecord": CORRUPT}
+    return F.inline_outer(F.array(F.from_json(text, schema, options)))
