@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidegauge.functions import labels
 from tidegauge.functions.rules import has_alert
-from tidegauge.sources.json_messages import decode_json
+from tidegauge.sources.json_messages import CORRUPT, parse_json, parse_once
 
 # What a reading is taken to be where the message lacks it.
 READING_DEFAULTS = {
@@ -45,6 +45,7 @@ CANONICAL_COLUMNS = (
 )
 
 _WHOLE = {"motion_detected": "int", **dict.fromkeys(COUNTER_DEFAULTS, "long")}
+_WHOLE_IN_JSON = {name: {"int": "integer"}.get(kind, kind) for name, kind in _WHOLE.items()}
 
 # Other names a field may have in a message, in order of preference.
 _FALLBACK_NAMES = {
@@ -94,14 +95,21 @@ def canonicalize_avro(df: DataFrame, keep: tuple[str, ...] = (), with_time: bool
     return df.select(*keep, *[column(name) for name in CANONICAL_COLUMNS], *extra)
 
 
-def _message_schema() -> T.StructType:
-    """Every known field as text: a field may hold a number or a word."""
-    names: list[str] = []
+_TEXT_FIELDS = ("device_id", "device_type", "customer_id", "site_id", "status")
+
+
+def _message_schema(typed: bool) -> T.StructType:
+    """Every known field; ``typed`` readings are numbers, otherwise all is text."""
+    schema = T.StructType()
     for column in CANONICAL_COLUMNS:
-        names.extend(_FALLBACK_NAMES.get(column, (column,)))
-    names.extend(("time", "timestamp"))
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in dict.fromkeys(names)])
-    place = T.StructType([T.StructField(n, T.StringType()) for n in ("latitude", "longitude")])
+        kind = "string" if column in _TEXT_FIELDS or not typed else _WHOLE_IN_JSON.get(column, "double")
+        for name in _FALLBACK_NAMES.get(column, (column,)):
+            schema.add(name, kind)
+    for name in ("time", "timestamp"):
+        schema.add(name, "string")
+    place = T.StructType()
+    for name in ("latitude", "longitude"):
+        place.add(name, "double" if typed else "string")
     return schema.add("metadata", place)
 
 
@@ -113,43 +121,62 @@ def canonicalize_json(
     A field is taken from the first of its known names that is present; an
     explicit null counts as absent.  A field that is present but not a number
     reads as 0, an absent one as its default.  Text that is not JSON is dropped.
+
+    Messages whose numbers are numbers are parsed into numbers directly.  Only a
+    message that does not fit is parsed again as text, field by field.
     """
-    messages = decode_json(df, _message_schema(), column, on_error="skip", keep=keep)
+    typed, as_text = _message_schema(True), _message_schema(False)
+    messages = df.select(*keep, F.col(column).cast("string").alias("_text"))
+    messages = messages.select(*keep, "_text", parse_once(F.col("_text"), typed).alias("m"))
+    again = F.get(F.transform(F.array(parse_json(F.col("_text"), as_text)), lambda t: _lenient(t, typed)), F.lit(0))
+    messages = messages.select(*keep, "_text", F.when(F.col(f"m.{CORRUPT}").isNull(), F.col("m")).otherwise(again).alias("m"))
+    messages = messages.filter(F.col("_text").isNotNull() & F.col(f"m.{CORRUPT}").isNull())
 
-    def text(name: str) -> Column:
-        return F.coalesce(*[F.col(n) for n in _FALLBACK_NAMES.get(name, (name,))])
-
-    def number(value: Column, default: float, kind: str = "double") -> Column:
-        parsed = F.coalesce(value.try_cast("double"), F.lit(0.0))
-        if kind != "double":
-            # Whole numbers directly: a large counter would lose digits as a double.
-            parsed = F.coalesce(value.try_cast(kind), parsed.try_cast(kind), F.lit(0).cast(kind))
-        return F.when(value.isNull(), F.lit(default).cast(kind)).otherwise(parsed)
+    def first(name: str, default) -> Column:
+        known = [F.col(f"m.{n}") for n in _FALLBACK_NAMES.get(name, (name,))]
+        return F.coalesce(*known, F.lit(default).cast(_WHOLE.get(name, "double")) if name not in _TEXT_FIELDS else F.lit(default))
 
     def coordinate(name: str) -> Column:
-        return F.when(
-            F.col("metadata").isNotNull(), number(F.col(f"metadata.{name}"), 0.0)
-        ).otherwise(number(F.col(name), 0.0))
+        inside = F.when(F.col("m.metadata").isNotNull(), F.col(f"m.metadata.{name}")).otherwise(F.col(f"m.{name}"))
+        return F.coalesce(inside, F.lit(0.0))
 
     columns = {
-        "device_id": F.coalesce(text("device_id"), F.lit(UNKNOWN_DEVICE)),
-        "device_type": F.coalesce(text("device_type"), F.lit(UNKNOWN_TYPE)),
-        "customer_id": F.coalesce(text("customer_id"), F.lit(DEFAULT_CUSTOMER)),
-        "site_id": F.coalesce(text("site_id"), F.lit(DEFAULT_SITE)),
+        "device_id": first("device_id", UNKNOWN_DEVICE),
+        "device_type": first("device_type", UNKNOWN_TYPE),
+        "customer_id": first("customer_id", DEFAULT_CUSTOMER),
+        "site_id": first("site_id", DEFAULT_SITE),
         "latitude": coordinate("latitude"),
         "longitude": coordinate("longitude"),
-        "altitude": number(F.col("altitude"), 0.0),
-        "status": labels.status_code(F.col("status")),
+        "altitude": first("altitude", 0.0),
+        "status": labels.status_code(F.col("m.status")),
     }
-    for name, default in {**READING_DEFAULTS, **COUNTER_DEFAULTS}.items():
-        columns[name] = number(text(name), default, _WHOLE.get(name, "double"))
-    extra = [message_time().alias("time")] if with_time else []
-    return messages.select(*keep, *[columns[n].alias(n) for n in CANONICAL_COLUMNS], *extra)
+    columns |= {name: first(name, default) for name, default in {**READING_DEFAULTS, **COUNTER_DEFAULTS}.items()}
+    if with_time:
+        columns["time"] = message_time(F.coalesce(F.col("m.time"), F.col("m.timestamp")))
+    names = [*CANONICAL_COLUMNS, *(["time"] if with_time else [])]
+    return messages.select(*keep, *[columns[n].alias(n) for n in names])
+
+
+def _lenient(text: Column, typed: T.StructType) -> Column:
+    """A message of text fields as the typed message: what is no number reads as 0."""
+    def field(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            inner = F.struct(*[field(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+            return F.when(value.isNotNull(), inner)
+        if isinstance(kind, T.StringType):
+            return value
+        number = F.coalesce(value.try_cast("double"), F.lit(0.0))
+        if not isinstance(kind, T.DoubleType):
+            # Whole numbers directly: a large counter would lose digits as a double.
+            number = F.coalesce(value.try_cast(kind), number.try_cast(kind), F.lit(0).cast(kind))
+        return F.when(value.isNotNull(), number)
+
+    fields = [*typed.fields, T.StructField(CORRUPT, T.StringType())]
+    return F.struct(*[field(text.getField(f.name), f.dataType).alias(f.name) for f in fields])
 
 
-def message_time() -> Column:
+def message_time(text: Column) -> Column:
     """Event time of a text message: epoch milliseconds or an ISO timestamp."""
-    text = F.coalesce(F.col("time"), F.col("timestamp"))
     millis = F.when(text.rlike(r"^-?\d+$"), F.timestamp_millis(text.try_cast("long")))
     return F.coalesce(millis, text.try_cast("timestamp"))
 

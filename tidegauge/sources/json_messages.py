@@ -27,20 +27,30 @@ def decode_json(
     if on_error not in ("skip", "quarantine", "fail"):
         raise ValueError(f"on_error: {on_error}")
     text = F.col(column).cast("string")
+    names = schema.fieldNames()
     if on_error == "fail":
-        return df.select(*keep, _parsed(text, schema, "FAILFAST"))
-    with_flag = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+        parsed = df.select(*keep, parse_once(text, schema, "FAILFAST").alias("m"))
+        return parsed.select(*keep, *[F.col(f"m.{n}").alias(n) for n in names])
     texts = df.select(*keep, text.alias("_text"))
-    parsed = texts.select(*keep, "_text", _parsed(F.col("_text"), with_flag, "PERMISSIVE"))
+    parsed = texts.select(*keep, "_text", parse_once(F.col("_text"), schema).alias("m"))
     # A null message has no parse at all; it counts as unreadable too.
-    corrupt = F.when(F.col("_text").isNull(), F.lit("")).otherwise(F.col(CORRUPT))
+    corrupt = F.when(F.col("_text").isNull(), F.lit("")).otherwise(F.col(f"m.{CORRUPT}"))
+    fields = [F.col(f"m.{n}").alias(n) for n in names]
     if on_error == "skip":
-        return parsed.filter(corrupt.isNull()).select(*keep, *schema.fieldNames())
-    return parsed.select(*keep, *schema.fieldNames(), corrupt.alias(CORRUPT))
+        return parsed.filter(corrupt.isNull()).select(*keep, *fields)
+    return parsed.select(*keep, *fields, corrupt.alias(CORRUPT))
 
 
-def _parsed(text: Column, schema: T.StructType, mode: str) -> Column:
-    """The fields of one parse.  As output of a generator they are plain columns:
-    a filter on them is not rewritten into a second parse of the text."""
-    options = {"mode": mode, "columnNameOfCorruptRecord": CORRUPT}
-    return F.inline_outer(F.array(F.from_json(text, schema, options)))
+def parse_json(text: Column, schema: T.StructType, mode: str = "PERMISSIVE") -> Column:
+    """A struct of the fields and, unless ``mode`` is FAILFAST, the text of a
+    message that does not fit in ``_corrupt``."""
+    if mode == "FAILFAST":
+        return F.from_json(text, schema, {"mode": mode})
+    with_flag = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return F.from_json(text, with_flag, {"mode": mode, "columnNameOfCorruptRecord": CORRUPT})
+
+
+def parse_once(text: Column, schema: T.StructType, mode: str = "PERMISSIVE") -> Column:
+    """``parse_json`` as the output of a generator: a filter on it is not
+    rewritten into a second parse of the text."""
+    return F.explode_outer(F.array(parse_json(text, schema, mode)))
