@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from tidegauge.operators import tables
 from tidegauge.plans import reports, views
 
 
@@ -49,6 +50,15 @@ def test_newest_rows_skip_old_row_groups(spark):
     assert [r.seq for r in rows.collect()] == [r.seq for r in expected.collect()]
 
 
+def test_newest_rows_open_only_the_newest_days(spark, tmp_path):
+    df = views.sensors(spark, SMALL)
+    tables.write_table(df, str(tmp_path / "t"), tables.LAYOUTS["sensors"])
+    rows = reports.newest_rows(tables.read_table(spark, str(tmp_path / "t")), 50)
+    assert "PartitionFilters: [isnotnull(day" in rows._jdf.queryExecution().executedPlan().toString()
+    expected = df.orderBy(F.desc("time"), F.desc("seq")).limit(50)
+    assert [r.seq for r in rows.collect()] == [r.seq for r in expected.collect()]
+
+
 def test_newest_rows_with_ties_and_few_rows(spark):
     df = spark.sql("select id as seq, timestamp'2024-01-01' as time from range(10)")
     assert [r.seq for r in reports.newest_rows(df, 3).collect()] == [9, 8, 7]

@@ -105,4 +105,11 @@ def test_compaction_keeps_every_row_once(spark, sensor_rows, tmp_path):
     tables.compact_batches(spark, source, target, LAYOUTS["sensors"], upto=1)
     rows = tables.read_compacted(spark, source, target, upto=1)
     assert sorted(r.seq for r in rows.collect()) == list(range(18))
+    tables.write_batch(df.withColumn("seq", F.col("seq") + 100), 3, source, LAYOUTS["sensors"])
+    for _ in range(2):
+        tables.compact_batches(spark, source, target, LAYOUTS["sensors"], upto=2, after=1)
+    rows = tables.read_compacted(spark, source, target, upto=2)
+    assert sorted(r.seq for r in rows.collect()) == [*range(18), *range(100, 118)]
+    rows = rows.filter("seq < 100")
+    assert sorted(r.seq for r in rows.collect()) == list(range(18))
     assert "day" in rows.columns and "batch_id" not in rows.columns

@@ -85,19 +85,24 @@ def read_table(spark: SparkSession, path: str, like: DataFrame | None = None) ->
     return spark.read.schema(schema).parquet(path)
 
 
-def compact_batches(spark: SparkSession, source: str, target: str, layout: Layout, upto: int) -> None:
-    """Rewrite the folders of batches ``<= upto`` as one clustered table.
-
-    The copy goes to a new folder: readers take ``target`` plus the batches
-    after ``upto`` (``read_compacted``), and a lost job is simply run again.
+def compact_batches(
+    spark: SparkSession, source: str, target: str, layout: Layout, upto: int, after: int = -1,
+) -> None:
+    """Rewrite the folders of batches ``after < id <= upto`` as clustered files.
+
+    The copy goes to ``target/upto=...``; a lost job is simply run again.  Each
+    call takes only the batches since the last one.  Readers use
+    ``read_compacted`` with the ``upto`` of the last call.
     """
-    rows = spark.read.parquet(source).filter(F.col("batch_id") <= upto).drop("batch_id", layout.by)
-    write_table(rows, target, layout, mode="overwrite")
+    batches = spark.read.parquet(source).filter((F.col("batch_id") > after) & (F.col("batch_id") <= upto))
+    write_table(batches.drop("batch_id", layout.by), f"{target}/upto={upto}", layout, mode="overwrite")
 
 
 def read_compacted(spark: SparkSession, source: str, target: str, upto: int) -> DataFrame:
+    """The compacted files, and the batches that came after them."""
     fresh = spark.read.parquet(source).filter(F.col("batch_id") > upto).drop("batch_id")
-    return spark.read.parquet(target).unionByName(fresh)
+    old = spark.read.parquet(target).filter(F.col("upto") <= upto).drop("upto")
+    return old.unionByName(fresh)
 
 
 def apply_retention(df: DataFrame, time: str, keep_days: int, as_of: Moment) -> DataFrame:
@@ -120,7 +125,7 @@ def drop_expired_days(spark: SparkSession, path: str, keep_days: int, as_of: Mom
     root = hadoop.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     dropped = []
-    for pattern in ("day=*", "batch_id=*/day=*"):
+    for pattern in ("day=*", "batch_id=*/day=*", "upto=*/day=*"):
         for status in files.globStatus(hadoop.Path(root, pattern)) or []:
             folder = status.getPath()
             value = folder.getName().removeprefix("day=")

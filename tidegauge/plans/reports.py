@@ -11,6 +11,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegauge.functions.timeparts import Moment, bucketed, in_hours, last, on_day, time_range
 
@@ -58,7 +59,8 @@ def single_day_many(df: DataFrame, kind: str, params: DataFrame) -> DataFrame:
     pre-aggregated on the map side; only these rows meet the parameters.  A
     device with a third of all readings has at most 24 rows a day in the join,
     and nothing is broadcast unless the planner measures it as small.  Every
-    parameter gets a row, with null figures where nothing matches.
+    parameter gets a row, with null figures where nothing matches.  Only the
+    days between the first and the last parameter's are read.
     """
     key, figures = SINGLE_DAY[kind]
     partial, final = [F.count("*").alias("hour_readings")], []
@@ -69,7 +71,10 @@ def single_day_many(df: DataFrame, kind: str, params: DataFrame) -> DataFrame:
         else:
             partial += [F.max(F.expr(of)).alias(f"{name}_max")]
             final += [F.max(f"{name}_max").alias(name)]
-    hourly = df.groupBy(
+    bounds = params.agg(F.min("day").alias("first"), F.date_add(F.max("day"), 1).alias("end"))
+    kind = df.schema["time"].dataType
+    first, end = [bounds.select(F.col(c).cast(kind)).scalar() for c in ("first", "end")]
+    hourly = df.filter((F.col("time") >= first) & (F.col("time") < end)).groupBy(
         F.col(key).alias("entity"), F.to_date("time").alias("day"), F.hour("time").alias("hour")
     ).agg(*partial)
     wanted = params.withColumn("hour", F.explode_outer(F.array_distinct("hours"))).drop("hours")
@@ -113,15 +118,30 @@ def host_current_status(
 def newest_rows(df: DataFrame, n: int, time: str = "time", tie: Sequence[str] = ("seq",)) -> DataFrame:
     """The newest ``n`` rows with all their columns.
 
-    The n-th newest time is found from the time column alone and handed to the
+    On a table with a ``day`` partition only the newest days are opened.  The
+    n-th newest time is found from the time column alone and handed to the
     wide scan as a filter, so row groups older than it are skipped instead of
     reading every column of the whole table.
     """
+    if "day" in df.columns:
+        df = _newest_days(df, n)
     edge = df.select(time).orderBy(F.desc(time)).limit(n).agg(F.min(time).alias("edge"))
     recent = df.filter(F.col(time) >= edge.scalar())
     return _top(recent, n, F.desc(time), *[F.desc(c) for c in tie])
 
 
+def _newest_days(df: DataFrame, n: int) -> DataFrame:
+    """The fewest newest day partitions that hold ``n`` rows.
+
+    Rows per day come from the file footers.  One task orders the days: there
+    are as many as the retention of the table.
+    """
+    days = df.groupBy("day").agg(F.count("*").alias("rows"))
+    newer = F.sum("rows").over(Window.orderBy(F.desc("day"))) - F.col("rows")
+    oldest = days.withColumn("newer", newer).filter(F.col("newer") < n).agg(F.min("day").alias("day"))
+    return df.filter(F.col("day") >= oldest.scalar())
+
+
 # ---------------------------------------------------------------------------
 # Grouped reports
 # ---------------------------------------------------------------------------

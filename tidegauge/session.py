@@ -81,7 +81,7 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     Where that setting is missing a temporary folder is used, but only in local
     mode: on a cluster the executors could not see the driver's disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -69,8 +69,9 @@ def start_rollup_stream(
     """Roll up canonical rows into ``run.output``.
 
     ``append``: a window is written once, when the watermark has passed its
-    end; rows later than ``lateness`` are dropped and counted in the progress.
-    ``update``: a window is written again whenever it changes.
+    end.  ``update``: a window is written again whenever it changes.  In both,
+    windows more than ``lateness`` old leave the state; rows for them are
+    dropped and counted in the progress.
     ``deltas``: every batch writes its own mergeable states and keeps nothing
     between batches, so no row is ever too late; readers merge.
     Read the result with ``read_rollups`` and the same mode.
@@ -123,8 +124,7 @@ def _start_rollup(
     if mode == "deltas":
         layout = ROLLUPS if "device_id" in rows.columns else READINGS
         return start(rows, table_sink(run.output, layout, lambda batch: states(batch, time)), run)
-    if mode == "append":
-        rows = rows.withWatermark(time, lateness)
+    rows = rows.withWatermark(time, lateness)
     return start(finish(states(rows, time)), table_sink(run.output, ROLLUPS), run, mode)
 
 
