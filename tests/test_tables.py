@@ -3,6 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from tidegauge.functions.timeparts import time_range
 from tidegauge.operators import tables
 from tidegauge.operators.tables import LAYOUTS
 
@@ -55,6 +56,12 @@ def test_month_partitions(spark, tmp_path):
     df = spark.sql("select 's' as service, 'h' as hostname, timestamp'2024-02-29 10:00:00' as time")
     tables.write_table(df, str(tmp_path / "cpu"), LAYOUTS["cpu"])
     assert os.path.isdir(tmp_path / "cpu" / "month=2024-02-01")
+    table = tables.read_table(spark, str(tmp_path / "cpu"))
+    picked = time_range(table, "2024-02-10 00:00:00", "2024-03-01 00:00:00")
+    assert picked.count() == 1 and "PartitionFilters: [isnotnull(month" in picked._jdf.queryExecution().executedPlan().toString()
+    assert time_range(table, "2024-03-01 00:00:00").count() == 0
+    assert tables.drop_expired(spark, str(tmp_path / "cpu"), 90, "2024-05-29 00:00:00", by="month") == []
+    assert len(tables.drop_expired(spark, str(tmp_path / "cpu"), 90, "2024-05-30 00:00:00", by="month")) == 1
 
 
 def test_retention_edge(sensor_rows):
@@ -69,13 +76,13 @@ def test_expired_days_go_and_the_rest_is_hidden(spark, sensor_rows, tmp_path):
     tables.write_table(readings(sensor_rows), path, LAYOUTS["sensors"])
     tables.write_batch(readings(sensor_rows), 3, str(tmp_path / "batches"), LAYOUTS["sensors"])
     as_of = "2024-01-11 10:00:00"
-    assert len(tables.drop_expired_days(spark, path, 7, as_of)) == 3
+    assert len(tables.drop_expired(spark, path, 7, as_of)) == 3
     assert days_on_disk(path)[0] == "day=2024-01-04"
     kept = tables.apply_retention(tables.read_table(spark, path), "time", 7, as_of)
     assert kept.agg(F.min("time")).first()[0] == dt.datetime(2024, 1, 4, 12)
-    tables.drop_expired_days(spark, str(tmp_path / "batches"), 7, as_of)
+    tables.drop_expired(spark, str(tmp_path / "batches"), 7, as_of)
     assert days_on_disk(tmp_path / "batches")[0] == "day=2024-01-04"
-    assert tables.drop_expired_days(spark, path, 7, as_of) == []
+    assert tables.drop_expired(spark, path, 7, as_of) == []
 
 
 def test_a_repeated_batch_replaces_its_rows(spark, sensor_rows, tmp_path):
@@ -113,3 +120,21 @@ def test_compaction_keeps_every_row_once(spark, sensor_rows, tmp_path):
     rows = rows.filter("seq < 100")
     assert sorted(r.seq for r in rows.collect()) == list(range(18))
     assert "day" in rows.columns and "batch_id" not in rows.columns
+
+
+def test_a_hot_device_is_split_over_files(spark, tmp_path):
+    """One device holds nearly all rows of a day; its rows go to several files."""
+    rows = spark.range(0, 200000, 1, 8).selectExpr(
+        "id as seq", "if(id % 50 = 0, concat('d', id % 7), 'hot') as device_id",
+        "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, cast(id % 86400 as decimal(18,6))) as time", "uuid() as payload")
+    path, key = str(tmp_path / "t"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1m")
+    try:
+        tables.write_table(rows, path, LAYOUTS["sensors"])
+    finally:
+        spark.conf.set(key, before)
+    table = tables.read_table(spark, path)
+    assert table.count() == 200000 and table.select("seq").distinct().count() == 200000
+    files = table.filter("device_id = 'hot'").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 4 and max(r["count"] for r in files) < 100000

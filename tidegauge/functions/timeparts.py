@@ -2,7 +2,7 @@
 
 Every "now" of a report is an explicit ``as_of`` argument.  Predicates leave
 the time column bare so that they reach the file scan; where a frame has a
-``day`` partition column the same range is also stated on it.
+``day`` or ``month`` partition column the same range is also stated on it.
 """
 
 from __future__ import annotations
@@ -25,28 +25,37 @@ def _literal(df: DataFrame, column: str, moment: dt.datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast(kind)
 
 
+def _partition(df: DataFrame) -> str | None:
+    """The date column a table is partitioned by, if the frame has one."""
+    kinds = dict(df.dtypes)
+    return next((name for name in ("day", "month") if kinds.get(name) == "date"), None)
+
+
+def _partition_date(moment: dt.datetime, partition: str) -> Column:
+    return F.lit(moment.date() if partition == "day" else moment.date().replace(day=1))
+
+
 def time_range(
     df: DataFrame,
     start: Moment | None = None,
     end: Moment | None = None,
     column: str = "time",
-    day: str = "day",
     after: bool = False,
 ) -> DataFrame:
     """Rows with ``start <= column < end`` (``start < column`` with ``after``),
-    pruned by day partition if there is one."""
-    conditions = []
+    pruned by day or month partition if there is one."""
+    partition, conditions = _partition(df), []
     if start is not None:
         start = as_moment(start)
         edge = _literal(df, column, start)
         conditions.append(F.col(column) > edge if after else F.col(column) >= edge)
-        if day in df.columns:
-            conditions.append(F.col(day) >= F.lit(start.date()))
+        if partition:
+            conditions.append(F.col(partition) >= _partition_date(start, partition))
     if end is not None:
         end = as_moment(end)
         conditions.append(F.col(column) < _literal(df, column, end))
-        if day in df.columns:
-            conditions.append(F.col(day) <= F.lit(end.date()))
+        if partition:
+            conditions.append(F.col(partition) <= _partition_date(end, partition))
     for condition in conditions:
         df = df.filter(condition)
     return df

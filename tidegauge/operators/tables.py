@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.functions.timeparts import Moment, as_moment
+from tidegauge.functions.timeparts import Moment, as_moment, last
 
 
 @dataclass(frozen=True)
@@ -106,30 +106,31 @@ def read_compacted(spark: SparkSession, source: str, target: str, upto: int) ->
 
 
 def apply_retention(df: DataFrame, time: str, keep_days: int, as_of: Moment) -> DataFrame:
-    """Rows not yet expired.  On a table with a ``day`` partition expired days
-    are not even listed."""
-    cutoff = as_moment(as_of) - dt.timedelta(days=keep_days)
-    kind = df.schema[time].dataType.simpleString()
-    kept = df.filter(F.col(time) > F.lit(cutoff.isoformat(sep=" ")).cast(kind))
-    return kept.filter(F.col("day") >= F.lit(cutoff.date())) if "day" in df.columns else kept
+    """Rows not yet expired.  On a partitioned table expired days or months are
+    not even listed."""
+    return last(df, as_of, time, after=True, days=keep_days)
 
 
-def drop_expired_days(spark: SparkSession, path: str, keep_days: int, as_of: Moment) -> list[str]:
-    """Delete the ``day=`` folders that are expired as a whole.
+def drop_expired(
+    spark: SparkSession, path: str, keep_days: int, as_of: Moment, by: str = "day",
+) -> list[str]:
+    """Delete the ``day=`` (or ``month=``) folders that are expired as a whole.
 
-    Rows of the boundary day stay on disk until the day is over; readers hide
+    Rows of the boundary partition stay on disk until it is over; readers hide
     them with ``apply_retention``.  Only folder names pass the driver.
     """
     cutoff = (as_moment(as_of) - dt.timedelta(days=keep_days)).date()
+    oldest_kept = cutoff if by == "day" else cutoff.replace(day=1)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     dropped = []
-    for pattern in ("day=*", "batch_id=*/day=*", "upto=*/day=*"):
-        for status in files.globStatus(hadoop.Path(root, pattern)) or []:
+    for above in ("", "batch_id=*/", "upto=*/"):
+        for status in files.globStatus(hadoop.Path(root, f"{above}{by}=*")) or []:
             folder = status.getPath()
-            value = folder.getName().removeprefix("day=")
-            if not value.startswith("__") and dt.date.fromisoformat(value) < cutoff:
+            value = folder.getName().removeprefix(f"{by}=")
+            # Rows without a time are in a folder that has no date.
+            if not value.startswith("__") and dt.date.fromisoformat(value) < oldest_kept:
                 files.delete(folder, True)
                 dropped.append(folder.toString())
     return sorted(dropped)

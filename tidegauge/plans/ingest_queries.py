@@ -105,7 +105,7 @@ def quarantine_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a5_quarantine_avro", over_sensors(f"""
-  select seq, status = 4 as quarantined, case when status <> 4 then {SENSOR_ID} end as "sensorId" from sensors"""))
+  select seq, status = 4 as quarantined, case when status <> 4 then {SENSOR_ID} else -1 end as "sensorId" from sensors"""))
 def quarantine_avro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of sensors in error lose their last bytes."""
     readings = views.avro_readings(views.sensors(spark, sf_dir))
@@ -113,7 +113,8 @@ def quarantine_avro(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.expr("substring(value, 1, length(value) - 3)")
     messages = messages.select("seq", F.when(F.col("status") == 4, cut).otherwise(F.col("value")).alias("value"))
     decoded = decode_avro(messages, on_error="quarantine", keep=("seq",))
-    return decoded.select("seq", F.col(CORRUPT).isNotNull().alias("quarantined"), "sensorId")
+    number = F.coalesce("sensorId", F.lit(-1)).alias("sensorId")
+    return decoded.select("seq", F.col(CORRUPT).isNotNull().alias("quarantined"), number)
 
 
 @query("a6_tsv_by_name", over_sensors(f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,14 @@ def query(name: str, sql: str | None = None):
     def register(run: Runner) -> Runner:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = Query(run, sql)
+
+        @wraps(run)
+        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # The tables hold UTC wall clock, and so does the SQL.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return run(spark, sf_dir)
+
+        QUERIES[name] = Query(in_utc, sql)
         return run
 
     return register

@@ -215,7 +215,7 @@ def drop_expired_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On a stored table: old day folders go, the filter hides the rest."""
     out = work_dir(spark, "f4")
     tables.write_table(views.sensors(spark, sf_dir), out, tables.LAYOUTS["sensors"])
-    tables.drop_expired_days(spark, out, 7, AS_OF)
+    tables.drop_expired(spark, out, 7, AS_OF)
     kept = tables.apply_retention(tables.read_table(spark, out), "time", 7, AS_OF)
     return kept.select("seq", "device_id", "time")
 
