@@ -189,7 +189,7 @@ _spans("g24_device_quality", lambda where: f"""
 _spans("g24_window_counts", lambda where: f"""
   select device_id, count(*) as windows, avg(temperature) as avg_temp,
     cast(sum(error_count) as bigint) as total_errors from sensors {where} group by device_id""",
-       lambda df, **span: reports.window_counts(df, AS_OF, **span), ("5 minute", {}), ONE_DAY[:1] + ({"days": 1},))
+       lambda df, **span: reports.window_counts(df, AS_OF, **span), ("5 minute", {}), ("1 day", {"days": 1}))
 
 _register("g14_ingestion_rate_newest", over_sensors(f"""
   select date_trunc('minute', time) as t, count(*) as records from sensors {_since('10 minute')} group by 1"""),
