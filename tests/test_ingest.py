@@ -111,6 +111,14 @@ def test_json_errors(spark):
         decode_json(df, on_error="fail").collect()
 
 
+def test_empty_messages_are_unreadable(spark):
+    df = text(spark, "", "  ", "null", None, "5", LOCAL)
+    assert [r.seq for r in decode_json(df, keep=("seq",)).collect()] == [5]
+    assert [r.seq for r in canonical.canonicalize_json(df, keep=("seq",)).collect()] == [5]
+    rows = decode_json(df, on_error="quarantine", keep=("seq",)).orderBy("seq").collect()
+    assert [r[CORRUPT] is None for r in rows] == [False] * 5 + [True]
+
+
 def test_bytes_are_read_as_text(spark):
     df = text(spark, LOCAL).withColumn("value", F.encode("value", "UTF-8"))
     assert decode_json(df).first().sensorId == "sensor-1"

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidegauge.functions import labels
 from tidegauge.functions.rules import has_alert
-from tidegauge.sources.json_messages import CORRUPT, parse_json, parse_once
+from tidegauge.sources.json_messages import CORRUPT, fits, parse_json, parse_once
 
 # What a reading is taken to be where the message lacks it.
 READING_DEFAULTS = {
@@ -130,7 +130,7 @@ def canonicalize_json(
     messages = messages.select(*keep, "_text", parse_once(F.col("_text"), typed).alias("m"))
     again = F.get(F.transform(F.array(parse_json(F.col("_text"), as_text)), lambda t: _lenient(t, typed)), F.lit(0))
     messages = messages.select(*keep, "_text", F.when(F.col(f"m.{CORRUPT}").isNull(), F.col("m")).otherwise(again).alias("m"))
-    messages = messages.filter(F.col("_text").isNotNull() & F.col(f"m.{CORRUPT}").isNull())
+    messages = messages.filter(fits(F.col("m")))
 
     def first(name: str, default) -> Column:
         known = [F.col(f"m.{n}") for n in _FALLBACK_NAMES.get(name, (name,))]

@@ -33,14 +33,19 @@ def decode_json(
         return parsed.select(*keep, *[F.col(f"m.{n}").alias(n) for n in names])
     texts = df.select(*keep, text.alias("_text"))
     parsed = texts.select(*keep, "_text", parse_once(F.col("_text"), schema).alias("m"))
-    # A null message has no parse at all; it counts as unreadable too.
-    corrupt = F.when(F.col("_text").isNull(), F.lit("")).otherwise(F.col(f"m.{CORRUPT}"))
     fields = [F.col(f"m.{n}").alias(n) for n in names]
     if on_error == "skip":
-        return parsed.filter(corrupt.isNull()).select(*keep, *fields)
+        return parsed.filter(fits(F.col("m"))).select(*keep, *fields)
+    # A null or empty message has no parse at all.
+    corrupt = F.when(F.col("m").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.col(f"m.{CORRUPT}"))
     return parsed.select(*keep, *fields, corrupt.alias(CORRUPT))
 
 
+def fits(parsed: Column) -> Column:
+    """True for a message that was read whole; null and empty ones are not."""
+    return parsed.isNotNull() & parsed.getField(CORRUPT).isNull()
+
+
 def parse_json(text: Column, schema: T.StructType, mode: str = "PERMISSIVE") -> Column:
     """A struct of the fields and, unless ``mode`` is FAILFAST, the text of a
     message that does not fit in ``_corrupt``."""
