@@ -143,8 +143,8 @@ class TestQuality:
         right = rng.random((20_000, 4)) < accuracy
         votes = np.where(right == good[:, None], 1, -1) * (rng.random((20_000, 4)) < 0.8)
         patterns, counts = np.unique(votes, axis=0, return_counts=True)
-        prior, found = quality.fit(patterns, counts.astype(float))
-        assert abs(prior - 0.7) < 0.05 and np.abs(found - accuracy).max() < 0.06
+        model = quality.fit(patterns, counts.astype(float), trust=0.01)
+        assert abs(model.prior - 0.7) < 0.05 and np.abs(model.accuracy - accuracy).max() < 0.06
 
     def test_empty(self, empty):
         m = quality.measure(empty)

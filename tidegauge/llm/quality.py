@@ -1,8 +1,9 @@
 """Quality by weak supervision: rules that vote or abstain, combined by their accuracies.
 
 Each rule looks at a document's statistics and votes good (+1), bad (-1) or abstains
-(0).  A label model (one accuracy per rule, a prior of good documents) is fitted to
-the votes alone by expectation maximisation, and a document is kept if its
+(0).  A label model (the prior of good documents and, per rule, how likely each vote is
+in good and in bad ones, hence its accuracy) is fitted to the votes alone by
+expectation maximisation, and a document is kept if its
 posterior probability of being good reaches ``THRESHOLD``.
 
 The fit sees only counts of equal vote patterns, of which there are at most
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,14 @@ from pyspark.sql import functions as F
 from tidegauge.llm.batches import annotate, buffer_of, encode, row_sums, word_spans
 
 THRESHOLD = 0.5
+#: Weight of the beliefs about a rule against what the votes say.
+TRUST = 0.2
 FIELDS = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-          "n_lines bigint, n_upper bigint, n_letters bigint, n_ends bigint, max_word bigint")
+          "n_lines bigint, n_upper bigint, n_letters bigint, n_ends bigint, max_word bigint, n_unlettered bigint, n_marks bigint")
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _LETTER = _UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange(256) >= 0xC0)
+_MARK = np.isin(np.arange(256), [ord(c) for c in "!?"])
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
@@ -54,6 +59,7 @@ def statistics(texts: pa.Array) -> list[np.ndarray]:
     codes, _ = encode(raw, starts, ends)
     lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # code points before each byte
     word_len = lead[ends] - lead[starts]
+    letters = np.concatenate(([0], np.cumsum(_LETTER[raw])))
     by_byte = lambda table: row_sums(table[raw].astype(np.int64), offsets)
 
     # Lines: split at \n, so rows begin lines as well.
@@ -92,7 +98,8 @@ def statistics(texts: pa.Array) -> list[np.ndarray]:
     stop_end = _STOP[raw[line_end - 1]] if len(line_end) else np.zeros(0, bool)
     return [np.diff(rows), row_sums(word_len, rows), by_byte(_SYMBOL), np.bincount(line_row[dup], minlength=n),
             row_sums(repeated.astype(np.int64), rows), np.bincount(line_row, minlength=n), by_byte(_UPPER), by_byte(_LETTER),
-            np.bincount(line_row[stop_end], minlength=n), word_max]
+            np.bincount(line_row[stop_end], minlength=n), word_max, row_sums((letters[ends] == letters[starts]).astype(np.int64), rows),
+            by_byte(_MARK)]
 
 
 def base_failed(s: Column) -> Column:
@@ -112,6 +119,7 @@ def votes(s: Column) -> list[Column]:
     mean = s["word_chars"] / n
     return [
         rule(s["n_symbols"] > 0.1 * n, s["n_symbols"] <= 0.02 * n),
+        rule(s["n_symbols"] > 0.5 * n, s["n_symbols"] <= 0.1 * n),
         rule(s["n_dup_lines"] > 0.3 * lines, s["n_dup_lines"] == 0),
         rule(s["n_repeat_words"] > 0.2 * n, s["n_repeat_words"] <= 0.05 * n),
         rule((mean < 2.5) | (mean > 12), (mean >= 3) & (mean <= 10)),
@@ -119,61 +127,80 @@ def votes(s: Column) -> list[Column]:
         rule(s["n_words"] < 50, s["n_words"] >= 80),
         rule(s["n_ends"] < 0.1 * lines, s["n_ends"] >= 0.5 * lines),
         rule(s["max_word"] > 1000, s["max_word"] <= 60),
+        rule(s["n_unlettered"] > 0.2 * n, s["n_unlettered"] <= 0.05 * n),
+        rule(s["n_marks"] > 0.2 * n, s["n_marks"] <= 0.1 * n),
     ]
 
 
-RULES = 8
+RULES = 11
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """Prior of good, and per rule its accuracy among good and among bad documents.
+class Model(NamedTuple):
+    """Prior of good, and the probability of each rule's votes (-1, 0, +1) in bad and in good documents."""
 
-    A vote counts only where it is cast.  Accuracies start above one half, which
-    decides which of the two classes is the good one, and keep within 0.5 to 0.99: a
-    rule may turn out useless, not misleading.  Two pseudo-votes keep empty counts
-    defined.
+    prior: float
+    votes: np.ndarray  # 2 x rules x 3
+
+    @property
+    def accuracy(self) -> np.ndarray:
+        """Per rule, how often a vote that is cast is right."""
+        share = np.array([1 - self.prior, self.prior])[:, None, None] * self.votes
+        return (share[0, :, 0] + share[1, :, 2]) / (share[..., 0] + share[..., 2]).sum(0)
+
+
+def _posterior(patterns: np.ndarray, model: Model) -> np.ndarray:
+    base, weights = _weights(model)
+    odds = base + sum(weights[r][patterns[:, r] + 1] for r in range(patterns.shape[1]))
+    return 1 / (1 + np.exp(-odds))
+
+
+def _weights(model: Model) -> tuple[float, np.ndarray]:
+    """Log odds of the prior, and of each rule's vote -1, 0 and +1."""
+    return math.log(model.prior / (1 - model.prior)), np.log(model.votes[1] / model.votes[0])
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, trust: float = TRUST, rounds: int = 500) -> Model:
+    """Expectation maximisation over distinct vote patterns and how often each occurs.
+
+    What is believed of a rule beforehand (bad votes are rare among good documents and
+    not among bad ones) keeps a weight of ``trust`` throughout, so the classes cannot
+    change places and no probability is zero.  A rule that comes out misleading (a bad
+    vote likelier among good documents) counts for nothing.
     """
-    weight = counts / max(counts.sum(), 1)
-    prior, accuracy = 0.8, np.full((2, patterns.shape[1]), 0.75)
-    cast, up = patterns != 0, patterns == 1
+    rules = patterns.shape[1]
+    believed = np.stack([np.tile([0.4, 0.2, 0.4], (rules, 1)), np.tile([0.01, 0.19, 0.8], (rules, 1))])
+    model = Model(0.8, believed)
+    cast = np.stack([patterns == v for v in (-1, 0, 1)], 2)
     total = float(counts.sum())
     for _ in range(rounds):
-        p = _posterior(patterns, prior, accuracy)
-        good, bad = (weight * p)[:, None] * total, (weight * (1 - p))[:, None] * total
-        new = np.stack([((good * (cast & up)).sum(0) + 1.5) / ((good * cast).sum(0) + 2),
-                        ((bad * (cast & ~up)).sum(0) + 1.5) / ((bad * cast).sum(0) + 2)])
-        new = np.clip(new, 0.5, 0.99)
-        new_prior = float(np.clip((weight * p).sum() if total else 0.5, 0.05, 0.95))
-        done = abs(new_prior - prior) < 1e-9 and np.abs(new - accuracy).max() < 1e-9
-        prior, accuracy = new_prior, new
+        p = _posterior(patterns, model)
+        tables = []
+        for weight, belief in zip((counts * (1 - p), counts * p), believed, strict=True):
+            table = (weight[:, None, None] * cast).sum(0) + belief
+            tables.append((1 - trust) * table / table.sum(1, keepdims=True) + trust * belief)
+        votes_ = np.stack(tables)
+        misled = votes_[1, :, 0] > votes_[0, :, 0]
+        votes_[:, misled] = votes_[:, misled].mean(0)
+        new = Model(float(np.clip((counts * p).sum() / total, 0.05, 0.95)) if total else 0.5, votes_)
+        done = abs(new.prior - model.prior) < 1e-9 and np.abs(new.votes - model.votes).max() < 1e-9
+        model = new
         if done:
             break
-    return prior, accuracy
-
-
-def _weights(prior: float, accuracy: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log odds of the prior, of a good vote and of a bad vote of each rule."""
-    good, bad = accuracy
-    return math.log(prior / (1 - prior)), np.log(good / (1 - bad)), np.log((1 - good) / bad)
-
-
-def _posterior(patterns: np.ndarray, prior: float, accuracy: np.ndarray) -> np.ndarray:
-    base, up, down = _weights(prior, accuracy)
-    return 1 / (1 + np.exp(-(base + (patterns == 1) @ up + (patterns == -1) @ down)))
+    return model
 
 
-def posterior(vote_columns: list[Column], prior: float, accuracy: np.ndarray) -> Column:
-    """The posterior as an expression over votes."""
-    base, up, down = _weights(prior, accuracy)
-    odds = reduce(lambda a, b: a + b, [F.when(v == 1, float(u)).when(v == -1, float(d)).otherwise(0.0)
-                                       for v, u, d in zip(vote_columns, up, down, strict=True)], F.lit(base))
+def posterior(vote_columns: list[Column], model: Model) -> Column:
+    """The probability of good as an expression over votes."""
+    base, weights = _weights(model)
+    odds = reduce(lambda a, b: a + b, [F.when(v == 1, float(w[2])).when(v == -1, float(w[0])).otherwise(float(w[1]))
+                                       for v, w in zip(vote_columns, weights, strict=True)], F.lit(base))
     return 1 / (1 + F.exp(-odds))
 
 
-def fit_votes(measured: DataFrame) -> tuple[float, np.ndarray]:
-    """Fit the label model to all rows of a frame with the struct ``out`` of statistics."""
+def fit_votes(measured: DataFrame) -> Model:
+    """Fit the label model to a frame with the struct ``out`` of statistics: all rows that pass the base rules."""
     names = [f"v{i}" for i in range(RULES)]
-    rows = (measured.select(*[v.alias(n) for v, n in zip(votes(F.col("out")), names, strict=True)])
+    rows = (measured.where(~base_failed(F.col("out"))).select(*[v.alias(n) for v, n in zip(votes(F.col("out")), names, strict=True)])
             .groupBy(*names).count().collect())  # at most 3^rules rows
     patterns = np.array([[r[n] for n in names] for r in rows], np.int64).reshape(-1, RULES)
     return fit(patterns, np.array([r["count"] for r in rows], float))
@@ -184,9 +211,9 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     return annotate(docs, text, lambda: statistics, FIELDS, keep)
 
 
-def judge(measured: DataFrame, model: tuple[float, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+def judge(measured: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Adds base_failed, quality (the posterior) and kept."""
     s = F.col("out")
     return (measured.withColumn("base_failed", base_failed(s))
-            .withColumn("quality", posterior(votes(s), *model))
+            .withColumn("quality", posterior(votes(s), model))
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)))

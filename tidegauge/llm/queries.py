@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm import (
     binary_output, bpe, decontaminate, kneser_ney, language, quality, secret_scan, sharding, simhash,
 )
+from tidegauge.llm.components import written
 from tidegauge.session import work_dir
 
 
@@ -35,8 +36,6 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The statistics are a few numbers a document; kept, they spare a second pass over the texts.
-    from tidegauge.llm.components import written
-
     measured = written(quality.measure(documents(spark, sf_dir), keep=["doc_id"]), "statistics")
     judged = quality.judge(measured, quality.fit_votes(measured))
     return judged.select("row.doc_id", *[F.col(f"out.{c}") for c in (
@@ -86,7 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_sharding, op8_decontamination, op10_secret_scan)
 }
 
-_WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
-_SECRETS = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-
+# The same rows in DuckDB, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {}
