@@ -72,6 +72,7 @@ def kneser_ney(train, texts):
         return out
 
     kinds = Counter(w for _, w in pairs)
+    beyond = {}
     d2, d1 = discounts(pairs.values()), discounts(kinds.values())
     context, types = Counter(), {}
     for (a, _), n in pairs.items():
@@ -79,10 +80,11 @@ def kneser_ney(train, texts):
         types.setdefault(a, []).append(n)
     t = len(pairs)
 
+    left = sum(d1[min(k, 3)] for k in kinds.values()) / max(t, 1)
+
     def word(w):
         if not t:
             return 1.0
-        left = sum(d1[min(k, 3)] for k in kinds.values()) / t
         k = kinds.get(w, 0)
         return max(k - d1[min(k, 3)], 0) / t + left / (vocabulary + 1)
 
@@ -90,7 +92,9 @@ def kneser_ney(train, texts):
         if a not in context:
             return word(w)
         c = pairs.get((a, w), 0)
-        back = sum(d2[min(n, 3)] for n in types[a]) / context[a]
+        back = beyond.get(a)
+        if back is None:
+            back = beyond[a] = sum(d2[min(n, 3)] for n in types[a]) / context[a]
         return max(c - d2[min(c, 3)], 0) / context[a] + back * word(w)
 
     out = []
@@ -191,3 +195,24 @@ def secrets_row(text):
     spans = base_secrets(text)
     joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
     return (*(sum(s[1] == k for s in spans) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest())
+
+
+def passages(rows, size=50):
+    """op9: per (id, text) the maximal stretches of windows of words that stand in another document."""
+    docs = {(d, t): words(t) for d, t in rows if t is not None}
+    where = {}
+    for key, w in docs.items():
+        for i in range(len(w) - size + 1):
+            where.setdefault(tuple(w[i:i + size]), set()).add(key)
+    out = []
+    for key, w in docs.items():
+        spans = []
+        for i in range(len(w) - size + 1):
+            if len(where[tuple(w[i:i + size])]) > 1:
+                if spans and spans[-1][1] >= i:
+                    spans[-1][1] = i + size
+                else:
+                    spans.append([i, i + size])
+        if spans:
+            out.append((key[0], len(w), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans)))
+    return out

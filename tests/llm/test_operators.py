@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import SMALL, by_id
 from tidegauge.llm import (
-    binary_output, bpe, components, decontaminate, kneser_ney, language, quality, secret_scan, sharding, simhash,
+    binary_output, bpe, components, decontaminate, kneser_ney, language, quality, secret_scan, sharding, simhash, suffix_arrays,
 )
 from tidegauge.session import work_dir
 
@@ -314,6 +314,29 @@ class TestDecontamination:
         assert decontaminate.contamination(empty, none).count() == 0
 
 
+class TestSuffixArrays:
+    @pytest.mark.parametrize("group", [suffix_arrays.GROUP, 3])
+    def test_against_plain(self, spark, docs, rows, group):
+        rng = np.random.default_rng(11)
+        passage = [f"p{i}" for i in range(70)]
+        noise = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+        extra = []
+        for i in range(60):  # one passage cut, shifted and changed in many surroundings, down to 49 words
+            a = int(rng.integers(0, 15))
+            cut = passage[a:a + int(rng.integers(49, 62))]
+            if i % 4 == 0:
+                cut[int(rng.integers(len(cut)))] = "changed"
+            extra.append((70_000 + i, " ".join(noise(int(rng.integers(0, 60))) + cut + noise(int(rng.integers(0, 60))))))
+        extra.append((71_000, " ".join(["same"] * 400)))
+        extra.append((71_001, " ".join(["x"] + ["same"] * 120 + ["y"])))
+        extra.append((71_002, " ".join(["alone"] * 200)))
+        frame = docs.select("doc_id", "text").unionAll(spark.createDataFrame(extra, "doc_id long, text string"))
+        assert plain(suffix_arrays.passages(frame, group=group)) == by_id(brute.passages([*rows, *extra]))
+
+    def test_empty(self, empty):
+        assert suffix_arrays.passages(empty).count() == 0
+
+
 class TestSecrets:
     def test_fixed_forms(self, docs, rows):
         found = secret_scan.scan(docs, {}, keep=["doc_id"])

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.batches import pieces
+from tidegauge.llm.hash_arrays import folder_uri, make_folder
 from tidegauge.llm.segments import SegmentCache, segment
 
 MAGIC = b"TOKBITS1"
@@ -179,10 +180,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             [pa.array([number]), pa.array([path]), pa.array([len(n)]), pa.array([int(n.sum())])],
             ["number", "path", "documents", "tokens"])
 
-    uri = folder if "://" in folder else folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{folder}"
-    folder = uri
-    filesystem, base = pafs.FileSystem.from_uri(uri)
-    filesystem.create_dir(base, recursive=True)
+    folder = make_folder(folder)
     files = ranged.mapInArrow(run, "number long, path string, documents long, tokens long").collect()
     return [(f.path, f.documents, f.tokens) for f in sorted(files, key=lambda f: f.number)]
 
@@ -193,7 +191,7 @@ def read_tokens(spark, folder: str, files: list[tuple[str, int, int]], arrays: b
     ``start`` counts the ids of all documents before it, ``ids_crc32`` is over the
     document's ids as little-endian unsigned 32-bit integers.
     """
-    uri = folder if "://" in folder else folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{folder}"
+    uri = folder_uri(folder)
     base = np.concatenate(([0], np.cumsum([f[2] for f in files]))).tolist()
     least = np.iinfo(np.int64).min
 

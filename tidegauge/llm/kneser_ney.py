@@ -21,17 +21,15 @@ as empty and has the end only.  Without training tokens every score is 0.
 from __future__ import annotations
 
 import json
-import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm import hash_arrays
 from tidegauge.llm.components import written
 from tidegauge.llm.batches import annotate, buffer_of, encode, lower, pieces, row_sums, word_spans
 
@@ -145,34 +143,6 @@ def _rows(kind: str, items, stats: str = ""):
 SCHEMA = "kind string, bucket int, block binary, stats string"
 
 
-def _save(uri: str, name: str, data: np.ndarray) -> None:
-    filesystem, base = pafs.FileSystem.from_uri(uri)
-    attempt = f"{base}/{name}.{uuid.uuid4().hex}"
-    with filesystem.open_output_stream(attempt) as out:
-        out.write(np.ascontiguousarray(data).tobytes())
-    filesystem.move(attempt, f"{base}/{name}")
-
-
-@lru_cache(maxsize=4096)
-def _map(uri: str, name: str, dtype: str) -> np.ndarray:
-    """An array of the model, mapped where the folder is mounted and read where it is not."""
-    filesystem, base = pafs.FileSystem.from_uri(uri)
-    path = f"{base}/{name}"
-    size = filesystem.get_file_info(path).size or 0
-    if not size:
-        return np.zeros(0, dtype)
-    if isinstance(filesystem, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, "r")
-    with filesystem.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
-
-
-def folder_uri(folder: str) -> str:
-    if "://" in folder:
-        return folder
-    return "file://" + folder.removeprefix("file:")
-
-
 def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = None) -> dict:
     """Count all documents and write the model's arrays; gives its sums and discounts.
 
@@ -180,11 +150,9 @@ def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = N
     many as the session's shuffle partitions.
     """
     spark = docs.sparkSession
-    uri = folder_uri(folder)
+    uri = hash_arrays.make_folder(folder)
     if bits is None:
         bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    filesystem, base = pafs.FileSystem.from_uri(uri)
-    filesystem.create_dir(base, recursive=True)
     pair_shift, word_shift = np.uint64(64 - bits), np.uint64(48 - bits)
 
     def count(batches):
@@ -217,8 +185,8 @@ def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = N
             first, second, n = (np.concatenate(c) for c in zip(*(_unpack(b, 3) for b in blocks), strict=True))
             key, (n,), one = _merge(_mix(first, second), [n])
             first, second = first[one], second[one]
-            _save(uri, f"pair-{bucket}.keys", key.astype("<u8"))
-            _save(uri, f"pair-{bucket}.n", np.minimum(n, 2**32 - 1).astype("<u4"))
+            hash_arrays.save(uri, f"pair-{bucket}.keys", key.astype("<u8"))
+            hash_arrays.save(uri, f"pair-{bucket}.n", np.minimum(n, 2**32 - 1).astype("<u4"))
             sums += [len(n), *((n == k).sum() for k in (1, 2, 3, 4))]
             # Of each word: as a token n and continuations, as a context n and kinds seen once, twice, more.
             one_each = np.ones(len(n), np.int64)
@@ -234,8 +202,8 @@ def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = N
         for bucket, blocks in _by_bucket(batches):
             key, *columns = (np.concatenate(c) for c in zip(*(_unpack(b, 7) for b in blocks), strict=True))
             key, columns, _ = _merge(key, columns)
-            _save(uri, f"word-{bucket}.keys", key.astype("<u8"))
-            _save(uri, f"word-{bucket}.sums", np.stack(columns, 1).astype("<i8"))
+            hash_arrays.save(uri, f"word-{bucket}.keys", key.astype("<u8"))
+            hash_arrays.save(uri, f"word-{bucket}.sums", np.stack(columns, 1).astype("<i8"))
             n, kinds = columns[:2]
             sums += [n.sum(), (n > 0).sum(), *((kinds == k).sum() for k in (1, 2, 3, 4)), (kinds > 2).sum()]
         yield _rows("sums", [(0, b"")], json.dumps(sums.tolist()))
@@ -277,12 +245,12 @@ def _find(uri: str, name: str, bits: int, shift: int, keys: np.ndarray, values:
     cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
     for b in np.flatnonzero(np.diff(cuts)):
         a, e = cuts[b], cuts[b + 1]
-        own = _map(uri, f"{name}-{b}.keys", "<u8")
+        own = hash_arrays.load(uri, f"{name}-{b}.keys", "<u8")
         if not len(own):
             continue
         i = np.minimum(np.searchsorted(own, keys[a:e]), len(own) - 1)
         found = own[i] == keys[a:e]
-        data = _map(uri, f"{name}-{b}.{values}", dtype)
+        data = hash_arrays.load(uri, f"{name}-{b}.{values}", dtype)
         data = data.reshape(-1, width) if width > 1 else data
         out[a:e][found] = data[i[found]]
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import (
-    binary_output, bpe, decontaminate, kneser_ney, language, quality, secret_scan, sharding, simhash,
+    binary_output, bpe, decontaminate, kneser_ney, language, quality, secret_scan, sharding, simhash, suffix_arrays,
 )
 from tidegauge.llm.components import written
 from tidegauge.session import work_dir
@@ -70,6 +70,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "out.*")
 
 
+def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.passages(documents(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = secret_scan.scan(docs, secret_scan.thresholds(docs), keep=["doc_id"])
@@ -82,8 +86,30 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_binary_output, op2_lm_scoring, op3_quality_rules, op4_language_id, op5_byte_bpe, op6_simhash,
-        op7_sharding, op8_decontamination, op10_secret_scan)
+        op7_sharding, op8_decontamination, op9_suffix_arrays, op10_secret_scan)
 }
 
 # The same rows in DuckDB, where SQL can express them.
-ORACLE_SQL: dict[str, str] = {}
+_CONTENT = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": f"""
+with docs as (select doc_id, {_CONTENT} as w from documents),
+items as (select item_id, {_CONTENT} as w from benchmark),
+windows as (
+  select distinct i.item_id, least(10, len(w)) as n, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') as win
+  from items i, unnest(range(1, len(w) - least(10, len(w)) + 2)) r(p) where len(w) > 0),
+found as (
+  select d.doc_id, p, n, item_id
+  from (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as win
+        from docs, (select distinct n from windows), unnest(range(1, len(w) - n + 2)) r(p)) d
+  join windows using (n, win)),
+hit as (select doc_id, count(distinct k) as n_hit from found, unnest(range(p, p + n)) h(k) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+          from (select distinct doc_id, item_id::varchar as item_id from found) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join hit using (doc_id) left join named using (doc_id)
+""",
+}
