@@ -80,3 +80,14 @@ def test_success_rate(spark):
     df = spark.sql("""select * from values (timestamp'2024-01-01 00:00:00', true), (timestamp'2024-01-01 00:00:04', false),
       (timestamp'2024-01-01 00:00:01', true), (timestamp'2024-01-01 00:00:02', true) as t(at, ok)""")
     assert tuple(health.success_rate(df, F.col("ok"), "at").first()) == (4, 3, 75.0, 1.0)
+
+
+def test_latency_of_seconds_and_nan(spark):
+    """Small values spread over many buckets; NaN ranks last, as Spark sorts it."""
+    df = spark.range(20000).selectExpr("0.004 + id / 1e8 as s")
+    assert df.select(health._bucket(F.col("s")).alias("b")).distinct().count() > 40
+    row = health.latency_summary(df, "s").first()
+    assert row.p95 == 0.004 + 19000 / 1e8
+    mixed = spark.createDataFrame([(float(i),) for i in range(1, 101)] + [(float("nan"),)], "ms double")
+    row = health.latency_summary(mixed, "ms").first()
+    assert (row.total, row.p50, row.p95) == (101, 51.0, 96.0)

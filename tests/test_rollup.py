@@ -163,3 +163,25 @@ def test_alert_rows(sensor_rows):
     assert rows_of(alerting.alert_rows(named, "time"), "sensor_id") == [("a",), ("b",)]
     assert rows_of(alerting.alert_counts(alerting.alert_rows(named, "time")), "alert_type", "alert_count") == [
         ("HIGH_TEMPERATURE", 2)]
+
+
+def test_nulls_do_not_count_in_averages(spark, sensor_rows):
+    rows = sensor_rows([(i, "d", T0 + dt.timedelta(seconds=i), None if i % 2 else float(i), None if i % 3 else 4)
+                        for i in range(12)], "seq long, device_id string, time timestamp, temperature double, status int")
+    got = rollup.rollup_sensors(rows, "1 minute").first()
+    assert got.temperature == 5.0 and got.status == 4 and got.reading_count == 12
+    none = rollup.rollup_sensors(rows.withColumns({"temperature": F.lit(None).cast("double"), "status": F.lit(None).cast("int")})).first()
+    assert none.temperature is None and none.status is None
+
+
+def test_first_reading_by_long_positions(spark):
+    """Positions beyond 2^36 of one microsecond, and windows of any length."""
+    rows = spark.createDataFrame(
+        [(1, 2 if seq == 2**36 - 1 else 3, 1, 20.0, T0, seq) for seq in (2**36 - 1, 2**36, 2**62)],
+        "sensorId int, sensorType int, status int, temperature double, time timestamp, seq long")
+    rows = rows.withColumns({c: F.lit(1.0) for c in ("humidity", "pressure", "batteryLevel")})
+    for window in ("1 minute", "7 days"):
+        states = rollup.reading_states(rows, window)
+        assert states.first().first_seen.first_type == 2
+        plan = states._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan

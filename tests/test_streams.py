@@ -67,11 +67,22 @@ def test_append_writes_closed_windows_once(spark, split_events, tmp_path):
     # One batch: files written together come in no order of time, and rows of
     # a later batch could be late.
     run = run_at(tmp_path)
-    jobs.start_rollup_stream(views.to_sensors(stream(spark, split_events, 8)), run, "1 hour").awaitTermination()
+    jobs.start_rollup_stream(views.to_sensors(stream(spark, split_events, 8)), run, "1 hour", mode="append", lateness="2 minutes").awaitTermination()
     rows = batch_sensors(spark)
     edge = rows.agg((F.max("time") - F.expr("interval 2 minutes")).alias("edge")).first().edge
     expected = rollup.rollup_sensors(rows, "1 hour").filter(F.col("window_end") <= F.lit(edge))
-    assert same(jobs.read_rollups(tables.read_table(spark, run.output)), expected)
+    assert same(jobs.read_rollups(tables.read_table(spark, run.output), "append"), expected)
+    # The windows it still holds come from the states of the default mode.
+    other = run_at(tmp_path, "deltas")
+    jobs.start_rollup_stream(views.to_sensors(stream(spark, split_events, 8)), other, "1 hour").awaitTermination()
+    closed, current = (jobs.read_rollups(tables.read_table(spark, r.output), m) for r, m in ((run, "append"), (other, "deltas")))
+    assert same(jobs.with_open_windows(closed, current), rollup.rollup_sensors(rows, "1 hour"))
+
+
+def test_lateness_has_to_be_given(spark, split_events, tmp_path):
+    for mode in ("append", "update"):
+        with pytest.raises(ValueError, match="give the lateness"):
+            jobs.start_rollup_stream(views.to_sensors(stream(spark, split_events)), run_at(tmp_path), mode=mode)
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
@@ -86,7 +97,7 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
 
     def go():
         rows = spark.readStream.schema(views.EVENTS).parquet(f"{source}/*").withColumn("ts", F.col("ts").cast("timestamp"))
-        query = jobs.start_rollup_stream(views.to_sensors(rows), run, "1 minute", lateness="5 minutes")
+        query = jobs.start_rollup_stream(views.to_sensors(rows), run, "1 minute", mode="append", lateness="5 minutes")
         query.awaitTermination()
         return progress.progress_frame(spark, query.recentProgress).agg(F.sum("rows_dropped_late")).first()[0]
 
@@ -95,7 +106,7 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert go() == 0
     put("b", [event(2, 0), event(3, 27), event(4, 40)])
     assert go() == 1
-    rows = jobs.read_rollups(tables.read_table(spark, run.output)).orderBy("window_start").collect()
+    rows = jobs.read_rollups(tables.read_table(spark, run.output), "append").orderBy("window_start").collect()
     assert [(r.window_start.minute, r.reading_count) for r in rows] == [(0, 1), (27, 1), (30, 1)]
 
 
@@ -103,7 +114,7 @@ def test_resume_after_some_batches(spark, split_events, tmp_path):
     """The sink fails in the third batch; the restarted query repeats it."""
     run = run_at(tmp_path)
     rows = views.to_sensors(stream(spark, split_events))
-    sink = sinks.table_sink(run.output, jobs.ROLLUPS, lambda b: rollup.rollup_states(b, "1 hour"))
+    sink = sinks.table_sink(run.output, jobs.ROLLUPS, lambda b: rollup.rollup_states(b, "1 hour"), writer="w")
 
     def failing(batch, batch_id):
         sink(batch, batch_id)
@@ -122,7 +133,7 @@ def test_fan_out_replaces_both_tables(spark, sensor_rows, tmp_path):
     rows = sensor_rows([(0, "a", dt.datetime(2024, 1, 1), 40.0, 1), (1, "b", dt.datetime(2024, 1, 1), 20.0, 2)],
                        "seq long, sensor_id string, timestamp timestamp, temperature double, status int")
     rows = rows.withColumnRenamed("device_type", "sensor_type").withColumnRenamed("site_id", "location")
-    write = sinks.raw_and_alerts_sink(str(tmp_path), active=F.col("status") == 1)
+    write = sinks.raw_and_alerts_sink(str(tmp_path), active=F.col("status") == 1, writer="w")
     write(rows, 0)
     write(rows, 0)
     assert spark.read.parquet(str(tmp_path / "sensor_raw_data")).count() == 1
@@ -146,21 +157,23 @@ def test_live_message_gives_a_raw_row_and_an_alert(spark, tmp_path):
 
 def test_append_only_sink_counts_a_batch_once(spark, tmp_path):
     rows, ledger = str(tmp_path / "rows"), str(tmp_path / "ledger")
-    spark.createDataFrame([], "batch_id long, attempt string").write.parquet(ledger)
+    spark.createDataFrame([], "writer string, batch_id long, attempt string").write.parquet(ledger)
 
     def append(path):
         return lambda df: df.write.mode("append").parquet(path)
 
-    sink = sinks.append_only_sink(append(rows), append(ledger), lambda s: s.read.parquet(ledger))
-    dying = sinks.append_only_sink(append(rows), lambda df: 1 / 0, lambda s: s.read.parquet(ledger))
+    sink = sinks.append_only_sink(append(rows), append(ledger), lambda s: s.read.parquet(ledger), "a")
+    other = sinks.append_only_sink(append(rows), append(ledger), lambda s: s.read.parquet(ledger), "b")
+    dying = sinks.append_only_sink(append(rows), lambda df: 1 / 0, lambda s: s.read.parquet(ledger), "a")
     with pytest.raises(ZeroDivisionError):
         dying(spark.range(3), 0)
     sink(spark.range(3), 0)
     sink(spark.range(3), 0)
     sink(spark.range(10, 12), 1)
-    assert spark.read.parquet(rows).count() == 8
+    other(spark.range(20, 21), 0)
+    assert spark.read.parquet(rows).count() == 9
     kept = sinks.committed(spark.read.parquet(rows), spark.read.parquet(ledger))
-    assert sorted(r.id for r in kept.collect()) == [0, 1, 2, 10, 11]
+    assert sorted(r.id for r in kept.collect()) == [0, 1, 2, 10, 11, 20]
 
 
 def test_database_writes_are_batched():
@@ -207,7 +220,7 @@ def test_progress_table(spark, split_events, tmp_path):
 
     for p in query.recentProgress:
         listener.onQueryProgress(Event(p))
-    listener.onQueryTerminated(None)
+    listener.flush()
     total = progress.throughput(spark.read.parquet(path)).first()
     assert total.total_in == 1000 and total.batches == len(query.recentProgress)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.timeparts import time_range
 from tidegauge.operators import tables
 from tidegauge.operators.tables import LAYOUTS
+from tidegauge.streaming.jobs import ROLLUPS
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -74,7 +75,7 @@ def test_retention_edge(sensor_rows):
 def test_expired_days_go_and_the_rest_is_hidden(spark, sensor_rows, tmp_path):
     path = str(tmp_path / "sensors")
     tables.write_table(readings(sensor_rows), path, LAYOUTS["sensors"])
-    tables.write_batch(readings(sensor_rows), 3, str(tmp_path / "batches"), LAYOUTS["sensors"])
+    tables.write_batch(readings(sensor_rows), 3, str(tmp_path / "batches"), LAYOUTS["sensors"], "w")
     as_of = "2024-01-11 10:00:00"
     assert len(tables.drop_expired(spark, path, 7, as_of)) == 3
     assert days_on_disk(path)[0] == "day=2024-01-04"
@@ -88,9 +89,9 @@ def test_expired_days_go_and_the_rest_is_hidden(spark, sensor_rows, tmp_path):
 def test_a_repeated_batch_replaces_its_rows(spark, sensor_rows, tmp_path):
     path = str(tmp_path / "t")
     df = readings(sensor_rows, days=2)
-    tables.write_batch(df, 0, path, LAYOUTS["sensors"])
-    tables.write_batch(df.limit(5), 1, path, LAYOUTS["sensors"])
-    tables.write_batch(df, 1, path, LAYOUTS["sensors"])
+    tables.write_batch(df, 0, path, LAYOUTS["sensors"], "w")
+    tables.write_batch(df.limit(5), 1, path, LAYOUTS["sensors"], "w")
+    tables.write_batch(df, 1, path, LAYOUTS["sensors"], "w")
     table = tables.read_table(spark, path)
     assert [tuple(r) for r in table.groupBy("batch_id").count().orderBy("batch_id").collect()] == [(0, 12), (1, 12)]
 
@@ -98,28 +99,53 @@ def test_a_repeated_batch_replaces_its_rows(spark, sensor_rows, tmp_path):
 def test_empty_batches_and_tables(spark, sensor_rows, tmp_path):
     path = str(tmp_path / "t")
     df = readings(sensor_rows, days=1)
-    tables.write_batch(df.limit(0), 0, path, LAYOUTS["sensors"])
-    assert tables.read_table(spark, path, like=df).count() == 0
-    tables.write_batch(df, 1, path, LAYOUTS["sensors"])
-    assert tables.read_table(spark, path, like=df).filter("batch_id = 1").count() == 6
+    tables.write_batch(df.limit(0), 0, path, LAYOUTS["sensors"], "w")
+    assert tables.read_table(spark, path, like=df, layout=LAYOUTS["sensors"], batches=True).count() == 0
+    tables.write_batch(df, 1, path, LAYOUTS["sensors"], "w")
+    assert tables.read_table(spark, path, like=df, layout=LAYOUTS["sensors"], batches=True).filter("batch_id = 1").count() == 6
 
 
 def test_compaction_keeps_every_row_once(spark, sensor_rows, tmp_path):
     source, target = str(tmp_path / "src"), str(tmp_path / "dst")
     df = readings(sensor_rows, days=3)
     for i in range(3):
-        tables.write_batch(df.filter(F.col("seq") % 3 == i), i, source, LAYOUTS["sensors"])
+        tables.write_batch(df.filter(F.col("seq") % 3 == i), i, source, LAYOUTS["sensors"], "w")
     tables.compact_batches(spark, source, target, LAYOUTS["sensors"], upto=1)
-    rows = tables.read_compacted(spark, source, target, upto=1)
+    rows = tables.read_compacted(spark, source, target)
     assert sorted(r.seq for r in rows.collect()) == list(range(18))
-    tables.write_batch(df.withColumn("seq", F.col("seq") + 100), 3, source, LAYOUTS["sensors"])
+    tables.write_batch(df.withColumn("seq", F.col("seq") + 100), 3, source, LAYOUTS["sensors"], "w")
+    tables.write_batch(df.withColumn("seq", F.col("seq") + 200), 0, source, LAYOUTS["sensors"], "other")
     for _ in range(2):
-        tables.compact_batches(spark, source, target, LAYOUTS["sensors"], upto=2, after=1)
-    rows = tables.read_compacted(spark, source, target, upto=2)
-    assert sorted(r.seq for r in rows.collect()) == [*range(18), *range(100, 118)]
-    rows = rows.filter("seq < 100")
-    assert sorted(r.seq for r in rows.collect()) == list(range(18))
-    assert "day" in rows.columns and "batch_id" not in rows.columns
+        tables.compact_batches(spark, source, target, LAYOUTS["sensors"])
+    every = [*range(18), *range(100, 118), *range(200, 218)]
+    assert sorted(r.seq for r in tables.read_compacted(spark, source, target).collect()) == every
+    # What a lost call wrote is never read.
+    tables.write_table(df.withColumns({"writer": F.lit("w"), "batch_id": F.lit(9)}), f"{target}/rows/run=lost", LAYOUTS["sensors"])
+    assert tables.remove_compacted(spark, source, target) == 5
+    rows = tables.read_compacted(spark, source, target)
+    assert sorted(r.seq for r in rows.collect()) == every
+    assert {"day", "writer", "batch_id"} <= set(rows.columns)
+
+
+def test_writers_do_not_replace_each_other(spark, sensor_rows, tmp_path):
+    path = str(tmp_path / "t")
+    df = readings(sensor_rows, days=1)
+    for writer in ("a", "b", "a"):
+        tables.write_batch(df, 0, path, LAYOUTS["sensors"], writer)
+    assert tables.read_table(spark, path).count() == 2 * df.count()
+
+
+def test_partitions_of_window_starts(spark, tmp_path):
+    """A report on window ends must not prune by the day of window starts."""
+    rows = spark.sql("""select timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id as int)) as window_start from range(5)""")
+    rows = rows.withColumns({"time": F.expr("window_start + interval 1 day"), "device_id": F.lit("d"), "reading_count": F.lit(1)})
+    path = str(tmp_path / "t")
+    tables.write_table(rows, path, ROLLUPS)
+    table = tables.read_table(spark, path)
+    assert time_range(table, "2024-01-03 00:00:00").count() == rows.filter("time >= '2024-01-03'").count() == 4
+    assert time_range(table, "2024-01-03 00:00:00", column="window_start").count() == 3
+    pruned = time_range(table, end="2024-01-02 00:00:00", column="window_start")
+    assert "PartitionFilters: [isnotnull(day" in pruned._jdf.queryExecution().executedPlan().toString()
 
 
 def test_a_hot_device_is_split_over_files(spark, tmp_path):

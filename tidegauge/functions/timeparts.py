@@ -25,12 +25,26 @@ def _literal(df: DataFrame, column: str, moment: dt.datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast(kind)
 
 
+# The time columns that tables are partitioned by, where a frame has several.
+_PARTITIONED_BY = ("window_start", "hour_window", "alert_time", "timestamp", "time")
+
+
 def _partition(df: DataFrame) -> str | None:
     """The date column a table is partitioned by, if the frame has one."""
     kinds = dict(df.dtypes)
     return next((name for name in ("day", "month") if kinds.get(name) == "date"), None)
 
 
+def _prunes(df: DataFrame, column: str, partition_of: str | None) -> tuple[bool, bool]:
+    """Whether a lower and an upper bound on ``column`` hold for the partition as well.
+
+    Both do for the column the partition is derived from.  A window begins no later
+    than it ends, so an upper bound on the end also bounds the start's partition.
+    """
+    source = partition_of or next((c for c in _PARTITIONED_BY if c in df.columns), column)
+    return source == column, source == column or (source == "window_start" and column in ("time", "window_end"))
+
+
 def _partition_date(moment: dt.datetime, partition: str) -> Column:
     return F.lit(moment.date() if partition == "day" else moment.date().replace(day=1))
 
@@ -41,20 +55,26 @@ def time_range(
     end: Moment | None = None,
     column: str = "time",
     after: bool = False,
+    partition_of: str | None = None,
 ) -> DataFrame:
     """Rows with ``start <= column < end`` (``start < column`` with ``after``),
-    pruned by day or month partition if there is one."""
+    pruned by day or month partition if there is one.
+
+    ``partition_of`` names the time column that the partition is derived from; by
+    default the start of the window, where the frame has one.
+    """
     partition, conditions = _partition(df), []
+    below, above = _prunes(df, column, partition_of)
     if start is not None:
         start = as_moment(start)
         edge = _literal(df, column, start)
         conditions.append(F.col(column) > edge if after else F.col(column) >= edge)
-        if partition:
+        if partition and below:
             conditions.append(F.col(partition) >= _partition_date(start, partition))
     if end is not None:
         end = as_moment(end)
         conditions.append(F.col(column) < _literal(df, column, end))
-        if partition:
+        if partition and above:
             conditions.append(F.col(partition) <= _partition_date(end, partition))
     for condition in conditions:
         df = df.filter(condition)

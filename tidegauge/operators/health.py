@@ -62,9 +62,12 @@ _STEPS = 1024
 
 
 def _bucket(value: Column) -> Column:
-    """A coarse number that never falls as the value rises."""
-    size = F.floor(F.log2(F.abs(value) + 1) * _STEPS)
-    return F.when(value < 0, -size).otherwise(size)
+    """A coarse number that never falls as the value rises; zero is apart, NaN is last."""
+    double = value.cast("double")
+    # 1100 lifts the exponents of the smallest numbers above zero.
+    size = F.floor((F.log2(F.abs(double)) + 1100) * _STEPS)
+    return (F.when(F.isnan(double), F.lit(1 << 62)).when(double == 0, F.lit(0).cast("long"))
+            .when(double < 0, -size).otherwise(size))
 
 
 def latency_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.operators.rollup import time_order
+
 HOUR_KEYS = ("sensor_id", "sensor_type", "location", "hour_window")
 
 
@@ -52,19 +54,11 @@ def latest_hours(states: DataFrame, hours: int = 24) -> DataFrame:
 def latest_status(metrics: DataFrame) -> DataFrame:
     """Newest window per (sensor, type, location).
 
-    One ``max`` over a struct led by the window end carries all four values, so
-    they come from the same row even when two windows end together.
+    One number for (window end, position) picks all four values, so they come from
+    the same row; without positions, windows that end together are one order.
     """
-    order = ["window_end", "seq"] if "seq" in metrics.columns else ["window_end"]
-    values = ["avg_temperature", "avg_humidity", "avg_pressure", "min_battery"]
-    newest = metrics.groupBy("sensor_id", "sensor_type", "location").agg(
-        F.max(F.struct(*order, *values)).alias("newest")
-    )
-    return newest.select(
-        "sensor_id", "sensor_type", "location",
-        F.col("newest.avg_temperature").alias("latest_temperature"),
-        F.col("newest.avg_humidity").alias("latest_humidity"),
-        F.col("newest.avg_pressure").alias("latest_pressure"),
-        F.col("newest.min_battery").alias("latest_battery"),
-        F.col("newest.window_end").alias("last_update"),
-    )
+    below = F.col("seq").cast("long") if "seq" in metrics.columns else F.lit(0)
+    values = {"avg_temperature": "latest_temperature", "avg_humidity": "latest_humidity",
+              "avg_pressure": "latest_pressure", "min_battery": "latest_battery"}
+    return metrics.withColumn("order", time_order("window_end", below)).groupBy("sensor_id", "sensor_type", "location").agg(
+        *[F.max_by(c, "order").alias(name) for c, name in values.items()], F.max("window_end").alias("last_update"))

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +29,7 @@ AVERAGED = (
 )
 USAGE = ("memory_usage", "cpu_usage")
 COUNTERS = ("error_count", "packets_sent", "packets_received", "bytes_sent", "bytes_received")
+COUNTED = (*AVERAGED, *USAGE, "status", "motion_detected")
 FIRST_SEEN = ("device_id", "device_type", "customer_id", "site_id", "latitude", "longitude", "altitude")
 
 # What a rolled-up row reports instead of measured usage.
@@ -54,6 +54,8 @@ def rollup_states(
             F.max(name).alias(f"max_{name}"),
         ]
     states += [F.sum(name).alias(f"sum_{name}") for name in USAGE + COUNTERS]
+    # An average is over the readings that have a value.
+    states += [F.count(name).alias(f"n_{name}") for name in COUNTED]
     states += [
         F.sum("status").alias("sum_status"),
         F.sum((F.col("motion_detected") == 1).cast("long")).alias("motion_count"),
@@ -96,13 +98,11 @@ def finish_rollup(
     columns = [F.col(key)]
     columns += [F.col(f"first_seen.{name}").alias(name) for name in FIRST_SEEN if name != key]
     columns += ["window_start", "window_end", F.col("window_end").alias("time")]
-    columns += [(F.col(f"sum_{name}") / count).alias(name) for name in AVERAGED]
-    columns += [(F.col("motion_count") * 2 > count).cast("short").alias("motion_detected")]
-    columns += [
-        (F.col(f"sum_{name}") / count if real_usage else F.lit(USAGE_PLACEHOLDERS[name])).alias(name)
-        for name in USAGE
-    ]
-    columns += [F.expr("cast(sum_status div reading_count as int)").alias("status")]
+    mean = lambda name: F.try_divide(F.col(f"sum_{name}"), F.col(f"n_{name}"))
+    columns += [mean(name).alias(name) for name in AVERAGED]
+    columns += [(F.col("motion_count") * 2 > F.col("n_motion_detected")).cast("short").alias("motion_detected")]
+    columns += [(mean(name) if real_usage else F.lit(USAGE_PLACEHOLDERS[name])).alias(name) for name in USAGE]
+    columns += [F.expr("cast(sum_status div nullif(n_status, 0) as int)").alias("status")]
     columns += [F.col(f"sum_{name}").cast("long").alias(name) for name in COUNTERS]
     columns += [count]
     if with_extremes:
@@ -125,12 +125,6 @@ def rollup_sensors(
     return finish_rollup(states, key, with_extremes, real_usage)
 
 
-# Bits of an ordering number that hold the position in the topic; the bits above
-# hold the milliseconds since the start of a window of up to a day.
-_SEQ_BITS = 36
-_LONGEST_PACKED = pd.Timedelta("1 day")
-
-
 def reading_states(
     df: DataFrame, window: str = "1 minute", time: str = "time", seq: str = "seq",
 ) -> DataFrame:
@@ -149,7 +143,7 @@ def reading_states(
         "window", "sensorId", F.coalesce("sensorType", F.lit(1)).alias("type"),
         F.coalesce("status", F.lit(ONLINE)).alias("status"),
         *[F.coalesce(sent, F.lit(READING_DEFAULTS[name])).alias(name) for sent, name in measured.items()],
-        _order_in_window(df, window, time, seq).alias("order"),
+        _order(df, time, seq).alias("order"),
     )
     states = [F.count("*").alias("reading_count")]
     for name in measured.values():
@@ -164,26 +158,23 @@ def reading_states(
     return grouped.select(
         "sensorId", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
         *[c for c in grouped.columns if c not in ("window", "sensorId", "first_order", "first_type")],
-        # Orders count from the start of their own window; merging windows
-        # compares the starts first.
-        F.struct(F.col("window.start").alias("first_window"), "first_order", "first_type").alias("first_seen"),
+        F.struct("first_order", "first_type").alias("first_seen"),
     )
 
 
-def _order_in_window(df: DataFrame, window: str, time: str, seq: str) -> Column:
-    """One number that orders the readings of a window by (time, position).
+def time_order(time: str, below: Column) -> Column:
+    """One number that orders rows by (time, ``below``, a long that is not negative).
 
-    Time and position share one long where they fit.  Of readings of the same
-    millisecond the position counts modulo 2^36, or, without positions, the
-    lower type code comes first.  Longer windows take a slower decimal.
+    A decimal of fixed width holds both whole, and aggregates in hash tables.
     """
-    millis = F.unix_millis(F.col(time).cast("timestamp"))
-    below = F.col(seq).cast("long") if seq in df.columns else F.coalesce("sensorType", F.lit(1)).cast("long")
-    low_bits = below.bitwiseAND(F.lit((1 << _SEQ_BITS) - 1))
-    if pd.Timedelta(window) <= _LONGEST_PACKED:
-        since = millis - F.unix_millis(F.col("window.start").cast("timestamp"))
-        return F.shiftleft(since, _SEQ_BITS).bitwiseOR(low_bits)
-    return millis.cast("decimal(19,0)") * F.lit(Decimal(1 << _SEQ_BITS)) + low_bits.cast("decimal(19,0)")
+    micros = F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(17,0)")
+    scale = F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+    return (micros * scale + F.coalesce(below, F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _order(df: DataFrame, time: str, seq: str) -> Column:
+    """Readings by (time, position in the topic); without positions the lower type code comes first."""
+    return time_order(time, F.col(seq).cast("long") if seq in df.columns else F.coalesce("sensorType", F.lit(1)).cast("long"))
 
 
 def finish_readings(states: DataFrame, with_extremes: bool = False) -> DataFrame:

@@ -8,10 +8,12 @@ for one device.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.timeparts import Moment, as_moment, last
 
@@ -51,58 +53,107 @@ def _writer(df: DataFrame, layout: Layout) -> DataFrameWriter:
 def write_table(df: DataFrame, path: str, layout: Layout, mode: str = "append") -> None:
     """Bulk write, clustered by (partition, key).
 
-    The rebalance hint lets the adaptive planner cut a partition that is too
-    large, such as a device holding a third of a day, and join small ones, so
-    files come out near the advisory size in a single pass.  Without adaptive
-    execution a range partitioning by (partition, key, time) does the same.
+    Ranges of (partition, key, time) keep a day in few files, of neighbouring
+    devices each, and cut a device that holds a third of a day by time.
     """
-    df = with_partition(df, layout)
-    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-        df = df.hint("rebalance", *[F.col(c) for c in (layout.by, *layout.keys)])
-    else:
-        df = df.repartitionByRange(layout.by, *layout.keys, layout.time)
+    df = with_partition(df, layout).repartitionByRange(layout.by, *layout.keys, layout.time)
     _writer(df, layout).mode(mode).parquet(path)
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str, layout: Layout) -> None:
-    """Write one micro-batch into its own folder, replacing what a failed or
-    repeated run of the same batch left there.  No shuffle: each task sorts and
-    writes the rows it holds."""
-    target = f"{path}/batch_id={batch_id}"
-    writer = _writer(with_partition(df, layout), layout)
-    writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(target)
+def write_batch(df: DataFrame, batch_id: int, path: str, layout: Layout, writer: str) -> None:
+    """Write one micro-batch of one writer into its own folder, replacing what a
+    failed or repeated run of the same batch left there.  No shuffle: each task
+    sorts and writes the rows it holds.
 
+    ``writer`` tells apart queries that write to one table, each of which counts
+    its batches from 0.
+    """
+    target = f"{path}/writer={writer}/batch_id={batch_id}"
+    rows = _writer(with_partition(df, layout), layout)
+    rows.mode("overwrite").option("partitionOverwriteMode", "static").parquet(target)
+
+
+# What a table of micro-batches has besides its rows.
+BATCH_COLUMNS = {"writer": "string", "batch_id": "long"}
 
-def read_table(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
-    """A table with its partition columns.  ``like`` gives the columns when the
-    table may still be empty."""
+
+def read_table(
+    spark: SparkSession, path: str, like: DataFrame | None = None, layout: Layout | None = None, batches: bool = False,
+) -> DataFrame:
+    """A table with its partition columns.
+
+    Where it may still be empty ``like`` gives its columns, ``layout`` its
+    partition, and ``batches`` says that micro-batches write it.
+    """
     if like is None:
         return spark.read.parquet(path)
-    schema = like.schema
-    for name, kind in (("day", "date"), ("batch_id", "long")):
+    schema = T.StructType(like.schema.fields[:])
+    partitions = ({layout.by: "date"} if layout else {}) | (BATCH_COLUMNS if batches else {})
+    for name, kind in partitions.items():
         if name not in schema.fieldNames():
             schema = schema.add(name, kind)
     return spark.read.schema(schema).parquet(path)
 
 
-def compact_batches(
-    spark: SparkSession, source: str, target: str, layout: Layout, upto: int, after: int = -1,
-) -> None:
-    """Rewrite the folders of batches ``after < id <= upto`` as clustered files.
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def _compacted(spark: SparkSession, target: str) -> DataFrame | None:
+    """The batches (writer, batch_id) that are compacted, and the run of each; None before the first."""
+    files, root = hadoop_path(spark, f"{target}/done")
+    if not files.exists(root):
+        return None
+    return spark.read.schema("writer string, batch_id long, run string").parquet(f"{target}/done")
 
-    The copy goes to ``target/upto=...``; a lost job is simply run again.  Each
-    call takes only the batches since the last one.  Readers use
-    ``read_compacted`` with the ``upto`` of the last call.
-    """
-    batches = spark.read.parquet(source).filter((F.col("batch_id") > after) & (F.col("batch_id") <= upto))
-    write_table(batches.drop("batch_id", layout.by), f"{target}/upto={upto}", layout, mode="overwrite")
 
+def compact_batches(spark: SparkSession, source: str, target: str, layout: Layout, upto: int | None = None) -> None:
+    """Rewrite the batches not compacted so far (up to ``upto``) as clustered files.
 
-def read_compacted(spark: SparkSession, source: str, target: str, upto: int) -> DataFrame:
-    """The compacted files, and the batches that came after them."""
-    fresh = spark.read.parquet(source).filter(F.col("batch_id") > upto).drop("batch_id")
-    old = spark.read.parquet(target).filter(F.col("upto") <= upto).drop("upto")
-    return old.unionByName(fresh)
+    The rows keep their writer and batch.  A call writes rows under a run of its own
+    and then lists its batches in ``target/done``; what a lost call wrote is not
+    listed and never read.  One call at a time.
+    """
+    batches = spark.read.parquet(source)
+    if upto is not None:
+        batches = batches.filter(F.col("batch_id") <= upto)
+    done = _compacted(spark, target)
+    if done is not None:
+        batches = batches.join(done, ["writer", "batch_id"], "left_anti")
+    # Batches that come in meanwhile are left for the next call.
+    listed = [(r.writer, r.batch_id) for r in batches.select("writer", "batch_id").distinct().collect()]
+    if not listed:
+        return
+    run = uuid.uuid4().hex
+    chosen = spark.createDataFrame([(w, b, run) for w, b in listed], "writer string, batch_id long, run string")
+    rows = batches.join(chosen.drop("run"), ["writer", "batch_id"], "left_semi").drop(layout.by)
+    write_table(rows, f"{target}/rows/run={run}", layout, mode="overwrite")
+    chosen.coalesce(1).write.mode("append").parquet(f"{target}/done")
+
+
+def read_compacted(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """The compacted rows, and the batches that are not compacted yet."""
+    done = _compacted(spark, target)
+    if done is None:
+        return spark.read.parquet(source)
+    old = spark.read.parquet(f"{target}/rows")
+    old = old.join(done.select("run").distinct(), "run", "left_semi").drop("run")
+    fresh = spark.read.schema(old.schema).parquet(source)
+    return old.unionByName(fresh.join(done, ["writer", "batch_id"], "left_anti"))
+
+
+def remove_compacted(spark: SparkSession, source: str, target: str) -> int:
+    """Delete the source folders of compacted batches; gives how many there were.
+
+    Only names of folders pass the driver.
+    """
+    done, removed = _compacted(spark, target), 0
+    for r in done.select("writer", "batch_id").collect() if done is not None else ():
+        files, folder = hadoop_path(spark, f"{source}/writer={r.writer}/batch_id={r.batch_id}")
+        removed += bool(files.delete(folder, True))
+    return removed
 
 
 def apply_retention(df: DataFrame, time: str, keep_days: int, as_of: Moment) -> DataFrame:
@@ -125,7 +176,7 @@ def drop_expired(
     root = hadoop.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     dropped = []
-    for above in ("", "batch_id=*/", "upto=*/"):
+    for above in ("", "writer=*/batch_id=*/", "rows/run=*/"):
         for status in files.globStatus(hadoop.Path(root, f"{above}{by}=*")) or []:
             folder = status.getPath()
             value = folder.getName().removeprefix(f"{by}=")

@@ -30,7 +30,7 @@ def stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, "parquet", {"pathGlobFilter": "events.parquet"}, schema=views.EVENTS, path=sf_dir
     )
     out = work_dir(spark, "a1")
-    sink = table_sink(out, Layout("ts", ("user_id",)))
+    sink = table_sink(out, Layout("ts", ("user_id",)), writer="a1")
     jobs.start(rows, sink, jobs.Run(out, work_dir(spark, "a1-checkpoint"), None)).awaitTermination()
     return read_table(spark, out).select("event_id", "ts", "user_id", "event_type", "value", "props")
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegauge.operators.rollup import time_order
 from tidegauge.functions.timeparts import Moment, bucketed, in_hours, last, on_day, time_range
 
 USAGE = "usage_user + usage_system"
@@ -88,12 +89,10 @@ def single_day_many(df: DataFrame, kind: str, params: DataFrame) -> DataFrame:
 # Current values
 # ---------------------------------------------------------------------------
 def _newest(df: DataFrame, key: str, values: dict[str, str], seen: str, tie: str) -> DataFrame:
-    """Values of the newest row per key, from one ``max`` over (time, tie, values)."""
-    order = ["time", tie] if tie in df.columns else ["time"]
-    newest = df.groupBy(key).agg(
-        F.max(F.struct(*order, *[F.expr(of).alias(name) for name, of in values.items()])).alias("newest")
-    )
-    return newest.select(key, *[F.col(f"newest.{n}").alias(n) for n in values], F.col("newest.time").alias(seen))
+    """Values of the newest row per key, by one number for (time, tie): all states are of fixed width."""
+    rows = df.withColumn("order", time_order("time", F.col(tie).cast("long") if tie in df.columns else F.lit(0)))
+    return rows.groupBy(key).agg(
+        *[F.max_by(F.expr(of), "order").alias(name) for name, of in values.items()], F.max("time").alias(seen))
 
 
 def device_current_status(

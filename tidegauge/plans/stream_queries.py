@@ -52,17 +52,45 @@ def processing_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("h2_event_time_append", rollup_sql(
-    "hour", select="*", source="sensors") + """
-  where window_end <= date_trunc('millisecond', (select max(time) from sensors)) - interval 2 minute""")
+@query("h2_event_time_append", rollup_sql("hour"))
 def event_time_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that the watermark has closed; the last one stays open."""
-    return plain_times(_rollups(spark, sf_dir, "h2", "append", "1 hour"))
+    """Windows that the watermark has closed, and those still open when the source ends."""
+    closed = _rollups(spark, sf_dir, "h2", "append", "1 hour", lateness="2 minutes")
+    return plain_times(jobs.with_open_windows(closed, _rollups(spark, sf_dir, "h2-open", "deltas", "1 hour")))
+
+
+def _in_four_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of four files by id, one per batch: times go back and forth."""
+    source = work_dir(spark, "events-by-id")
+    rows = views.events(spark, sf_dir)
+    rows.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4))).repartition(4, "part").drop("part").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return views.to_sensors(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("h8_unordered_files", rollup_sql("hour"))
+def unordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default mode over files out of time order: no reading is too late."""
+    run = _run(spark, "h8-unordered")
+    jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour").awaitTermination()
+    return plain_times(jobs.read_rollups(tables.read_table(spark, run.output)))
+
+
+@query("h7_new_checkpoint", over_sensors("""
+  select device_id, 2 * count(*) as rows from sensors group by device_id"""))
+def new_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second query on one table counts its batches from 0 as well and replaces nothing."""
+    first, second = _run(spark, "h7-a"), _run(spark, "h7-b")
+    for checkpoint in (first.checkpoint, second.checkpoint):
+        run = jobs.Run(first.output, checkpoint, every=None)
+        sink = jobs.table_sink(run.output, tables.LAYOUTS["sensors"], writer=run.writer)
+        jobs.start(_sensors(spark, sf_dir), sink, run).awaitTermination()
+    return tables.read_table(spark, first.output).groupBy("device_id").agg(F.count("*").alias("rows"))
 
 
 @query("h3_keyed_state_update", rollup_sql("hour"))
 def keyed_state_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain_times(_rollups(spark, sf_dir, "h3", "update", "1 hour"))
+    return plain_times(_rollups(spark, sf_dir, "h3", "update", "1 hour", lateness="60 days"))
 
 
 @query("h4_restart_from_checkpoint", rollup_sql("hour"))
@@ -90,10 +118,10 @@ def append_only_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     def read_ledger(session: SparkSession) -> DataFrame:
         return session.read.parquet(f"{out}/ledger")
 
-    append_ledger(spark.createDataFrame([], "batch_id long, attempt string"))
+    append_ledger(spark.createDataFrame([], "writer string, batch_id long, attempt string"))
 
-    sink = append_only_sink(append_rows, append_ledger, read_ledger)
-    lost = append_only_sink(append_rows, lambda df: None, read_ledger)
+    sink = append_only_sink(append_rows, append_ledger, read_ledger, run.writer)
+    lost = append_only_sink(append_rows, lambda df: None, read_ledger, run.writer)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         lost(batch, batch_id)
@@ -105,6 +133,22 @@ def append_only_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(committed(spark.read.parquet(f"{out}/rows"), spark.read.parquet(f"{out}/ledger")))
 
 
+@query("h5_two_writers", over_sensors("""
+  select 1 as writer, count(*) as rows from sensors union all select 2, count(*) from sensors"""))
+def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two queries append to one target: neither takes the other's batch 0 for its own."""
+    out = work_dir(spark, "h5-two")
+    append_rows = lambda df: df.write.mode("append").parquet(f"{out}/rows")
+    append_ledger = lambda df: df.write.mode("append").parquet(f"{out}/ledger")
+    append_ledger(spark.createDataFrame([], "writer string, batch_id long, attempt string"))
+    for number in (1, 2):
+        run = _run(spark, f"h5-{number}")
+        sink = append_only_sink(append_rows, append_ledger, lambda s: s.read.parquet(f"{out}/ledger"), run.writer)
+        jobs.start(_sensors(spark, sf_dir).select(F.lit(number).alias("source"), "seq"), sink, run).awaitTermination()
+    rows = committed(spark.read.parquet(f"{out}/rows"), spark.read.parquet(f"{out}/ledger"))
+    return rows.groupBy(F.col("source").alias("writer")).agg(F.count("*").alias("rows"))
+
+
 FAN_OUT_SQL = """
   select 'sensor_raw_data' as table_name, {id} as sensor_id, temperature, humidity, battery_level,
     '' as alert_type, date_trunc('millisecond', time) as time from sensors {active}
@@ -132,7 +176,7 @@ def _fan_out(spark: SparkSession, path: str) -> DataFrame:
 def fan_out_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, "d5")
     rows = sensor_names(_sensors(spark, sf_dir)).withColumnRenamed("time", "timestamp")
-    sink = raw_and_alerts_sink(run.output, active=F.col("status") == 1)
+    sink = raw_and_alerts_sink(run.output, active=F.col("status") == 1, writer=run.writer)
     jobs.start(rows, sink, run).awaitTermination()
     return _fan_out(spark, run.output)
 
@@ -142,7 +186,7 @@ def fan_out_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fan_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, "d6")
     rows = sensor_names(_sensors(spark, sf_dir)).withColumnRenamed("time", "timestamp")
-    jobs.start(rows, raw_and_alerts_sink(run.output), run).awaitTermination()
+    jobs.start(rows, raw_and_alerts_sink(run.output, writer=run.writer), run).awaitTermination()
     return _fan_out(spark, run.output)
 
 
@@ -153,18 +197,21 @@ def rollup_job_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(jobs.read_rollups(tables.read_table(spark, run.output), "deltas"))
 
 
-@query("h8_rollup_job_append", avro_rollup_sql("hour") + """
-  where window_end <= date_trunc('millisecond', (select max(time) from avro)) - interval 2 minute""")
+@query("h8_rollup_job_append", avro_rollup_sql("hour"))
 def rollup_job_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run(spark, "h8-append")
-    jobs.start_rollup_job(_avro(spark, sf_dir), run, "1 hour", keep=("seq",)).awaitTermination()
-    return plain_times(jobs.read_rollups(tables.read_table(spark, run.output)))
+    tables_ = {}
+    for mode, lateness in (("append", "2 minutes"), ("deltas", None)):
+        run = _run(spark, f"h8-{mode}")
+        jobs.start_rollup_job(
+            _avro(spark, sf_dir), run, "1 hour", keep=("seq",), mode=mode, lateness=lateness).awaitTermination()
+        tables_[mode] = jobs.read_rollups(tables.read_table(spark, run.output), mode)
+    return plain_times(jobs.with_open_windows(tables_["append"], tables_["deltas"]))
 
 
 @query("h8_rollup_job_day", avro_rollup_sql("day"))
 def rollup_job_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, "h8-day")
-    query_ = jobs.start_rollup_job(_avro(spark, sf_dir), run, keep=("seq",), mode="update", window="1 day")
+    query_ = jobs.start_rollup_job(_avro(spark, sf_dir), run, keep=("seq",), mode="update", window="1 day", lateness="60 days")
     query_.awaitTermination()
     return plain_times(jobs.read_rollups(tables.read_table(spark, run.output), "update"))
 
@@ -190,12 +237,43 @@ def compacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, "h7")
     compact = work_dir(spark, "h7-compact")
     layout = tables.LAYOUTS["sensors"]
-    jobs.start(_sensors(spark, sf_dir), jobs.table_sink(run.output, layout), run).awaitTermination()
-    tables.compact_batches(spark, run.output, compact, layout, upto=0)
-    rows = tables.read_compacted(spark, run.output, compact, upto=0)
+    jobs.start(_sensors(spark, sf_dir), jobs.table_sink(run.output, layout, writer=run.writer), run).awaitTermination()
+    tables.compact_batches(spark, run.output, compact, layout)
+    rows = tables.read_compacted(spark, run.output, compact)
     return plain_times(rows.select("seq", "device_id", "temperature", "status", "time"))
 
 
+@query("h7_compacted_twice", over_sensors("select seq, device_id, temperature, status, time from sensors"))
+def compacted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compacted between batches and after them, the old folders removed: every row once."""
+    run = _run(spark, "h7-twice")
+    compact = work_dir(spark, "h7-twice-compact")
+    layout = tables.LAYOUTS["sensors"]
+    sink = jobs.table_sink(run.output, layout, writer=run.writer)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id)
+        if batch_id == 1:
+            tables.compact_batches(spark, run.output, compact, layout)
+
+    jobs.start(_in_four_files(spark, sf_dir), write, run).awaitTermination()
+    for _ in range(2):
+        tables.compact_batches(spark, run.output, compact, layout)
+    tables.remove_compacted(spark, run.output, compact)
+    rows = tables.read_compacted(spark, run.output, compact)
+    return plain_times(rows.select("seq", "device_id", "temperature", "status", "time"))
+
+
+@query("h7_compacted_update", rollup_sql("hour"))
+def compacted_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of changing windows stays readable when its batches are compacted."""
+    run = _run(spark, "h7-update")
+    compact = work_dir(spark, "h7-update-compact")
+    jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour", mode="update", lateness="60 days").awaitTermination()
+    tables.compact_batches(spark, run.output, compact, jobs.ROLLUPS, upto=1)
+    return plain_times(jobs.read_rollups(tables.read_compacted(spark, run.output, compact), "update"))
+
+
 @query("f1_hourly_states_stream", over_metrics(HOURLY_SQL, "minute"))
 def hourly_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics table, read as a stream in several batches."""
@@ -233,9 +311,17 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
   select count(*) as total_in, cast(0 as bigint) as total_dropped_late,
     count(distinct concat(device_id, cast(date_trunc('hour', time) as varchar))) as total_emitted from sensors"""))
 def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in, emitted and dropped late, from the progress of a run."""
+    """Rows in, emitted and dropped late, from the progress table of a run."""
     run = _run(spark, "k2")
-    query_ = jobs.start_rollup_stream(_sensors(spark, sf_dir), run, "1 hour", mode="update")
-    query_.awaitTermination()
-    totals = progress.throughput(progress.progress_frame(spark, query_.recentProgress))
+    path = work_dir(spark, "k2-progress")
+    table = progress.ProgressTable(spark, path)
+    spark.streams.addListener(table)
+    try:
+        query_ = jobs.start_rollup_stream(_sensors(spark, sf_dir), run, "1 hour", mode="update", lateness="60 days")
+        query_.awaitTermination()
+        table.wait_for(query_)
+    finally:
+        spark.streams.removeListener(table)
+    own = spark.read.parquet(path).filter(F.col("run_id") == str(query_.runId))
+    totals = progress.throughput(own)
     return totals.select("total_in", "total_dropped_late", "total_emitted")

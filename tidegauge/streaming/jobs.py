@@ -7,6 +7,7 @@ sinks may see a batch twice.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -41,6 +42,11 @@ class Run:
     every: str | None = "60 seconds"
     name: str | None = None
 
+    @property
+    def writer(self) -> str:
+        """Who writes: a checkpoint counts its own batches, so it is the identity."""
+        return hashlib.sha256(self.checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
 
 def start(df: DataFrame, write: BatchWriter, run: Run, mode: str = "append") -> StreamingQuery:
     writer = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", run.checkpoint)
@@ -62,18 +68,18 @@ def start_rollup_stream(
     run: Run,
     window: str = "1 minute",
     key: str = "device_id",
-    mode: str = "append",
-    lateness: str = "2 minutes",
+    mode: str = "deltas",
+    lateness: str | None = None,
     clock: str = "event",
 ) -> StreamingQuery:
     """Roll up canonical rows into ``run.output``.
 
-    ``append``: a window is written once, when the watermark has passed its
-    end.  ``update``: a window is written again whenever it changes.  In both,
-    windows more than ``lateness`` old leave the state; rows for them are
-    dropped and counted in the progress.
     ``deltas``: every batch writes its own mergeable states and keeps nothing
     between batches, so no row is ever too late; readers merge.
+    ``append``: a window is written once, when the watermark has passed its
+    end; ``with_open_windows`` adds those it still holds.  ``update``: a window is written again whenever it changes.  In both,
+    windows more than ``lateness`` old leave the state, and rows for them are
+    dropped and counted in the progress; so ``lateness`` has to be given.
     Read the result with ``read_rollups`` and the same mode.
 
     ``clock="processing"`` puts rows into the window of their arrival instead
@@ -89,8 +95,8 @@ def start_rollup_job(
     messages: DataFrame,
     run: Run,
     window: str = "1 minute",
-    mode: str = "append",
-    lateness: str = "2 minutes",
+    mode: str = "deltas",
+    lateness: str | None = None,
     clock: str = "event",
     keep: Sequence[str] = (),
     on_error: str = "fail",
@@ -115,24 +121,34 @@ def _start_rollup(
     states: Callable[[DataFrame, str], DataFrame],
     finish: Callable[[DataFrame], DataFrame],
     mode: str,
-    lateness: str,
+    lateness: str | None,
     clock: str,
 ) -> StreamingQuery:
     time = "time"
+    if mode != "deltas" and clock == "event" and lateness is None:
+        raise ValueError(f"mode {mode} drops rows later than its watermark: give the lateness")
     if clock == "processing":
         rows, time, lateness = rows.withColumn("arrival", F.current_timestamp()), "arrival", "0 seconds"
     if mode == "deltas":
         layout = ROLLUPS if "device_id" in rows.columns else READINGS
-        return start(rows, table_sink(run.output, layout, lambda batch: states(batch, time)), run)
-    rows = rows.withWatermark(time, lateness)
-    return start(finish(states(rows, time)), table_sink(run.output, ROLLUPS), run, mode)
+        return start(rows, table_sink(run.output, layout, lambda batch: states(batch, time), writer=run.writer), run)
+    rolled = finish(states(rows.withWatermark(time, lateness), time))
+    return start(rolled, table_sink(run.output, ROLLUPS, writer=run.writer), run, mode)
+
+
+def with_open_windows(closed: DataFrame, current: DataFrame, key: str = "device_id") -> DataFrame:
+    """Closed windows as an ``append`` stream wrote them, and the others as a ``deltas`` stream has them now.
+
+    An ``append`` stream never writes the newest windows of a source that has ended.
+    """
+    return closed.unionByName(current.join(closed.select(key, "window_start"), [key, "window_start"], "left_anti"))
 
 
-def read_rollups(table: DataFrame, mode: str = "append", key: str = "device_id") -> DataFrame:
+def read_rollups(table: DataFrame, mode: str = "deltas", key: str = "device_id") -> DataFrame:
     """The roll-up rows of a table written by a roll-up stream or job."""
     if mode == "update":
-        table = newest_batch(table, (key, "window_start"))
-    table = table.drop("batch_id", "day")
+        table = newest_batch(table, (key, "window_start", "writer"))
+    table = table.drop("writer", "batch_id", "day")
     if mode != "deltas":
         return table
     if "sensorId" in table.columns:
@@ -150,14 +166,14 @@ def newest_batch(table: DataFrame, keys: Sequence[str]) -> DataFrame:
 def start_alert_job(messages: DataFrame, run: Run, on_error: str = "skip") -> StreamingQuery:
     """Integer JSON messages; active readings and their alerts to two tables."""
     rows = decode_json(messages, schemas.JSON_INTEGER, on_error=on_error)
-    return start(sensor_names(rows), raw_and_alerts_sink(run.output, active=F.col("status") == 1), run)
+    return start(sensor_names(rows), raw_and_alerts_sink(run.output, active=F.col("status") == 1, writer=run.writer), run)
 
 
 def start_raw_job(messages: DataFrame, run: Run, active: Column | None = None) -> StreamingQuery:
     """Nested local JSON messages; all readings and their alerts to two tables."""
     rows = decode_json(messages, schemas.JSON_LOCAL, on_error="skip")
     flat = canonical.flatten_local_json(rows, keep=("timestamp",))
-    return start(flat, raw_and_alerts_sink(run.output, active=active), run)
+    return start(flat, raw_and_alerts_sink(run.output, active=active, writer=run.writer), run)
 
 
 def start_hourly_stream(metrics: DataFrame, run: Run) -> StreamingQuery:
@@ -166,11 +182,11 @@ def start_hourly_stream(metrics: DataFrame, run: Run) -> StreamingQuery:
     Each batch adds its own states; ``read_hourly`` merges them.  Nothing is
     read back or rewritten, so the cost of a batch does not grow with history.
     """
-    return start(metrics, table_sink(run.output, HOURS, hourly.hourly_states), run)
+    return start(metrics, table_sink(run.output, HOURS, hourly.hourly_states, writer=run.writer), run)
 
 
 def read_hourly(table: DataFrame) -> DataFrame:
-    return hourly.merge_hourly_states(table.drop("batch_id", "day"))
+    return hourly.merge_hourly_states(table.drop("writer", "batch_id", "day"))
 
 
 def start_hybrid(
@@ -183,6 +199,6 @@ def start_hybrid(
     """
     rows = decode_readings(messages, on_error, keep)
     return (
-        start(rows, table_sink(raw.output, LAYOUTS["sensors"]), raw),
+        start(rows, table_sink(raw.output, LAYOUTS["sensors"], writer=raw.writer), raw),
         start_rollup_job(messages, rolled, keep=keep, on_error=on_error, **options),
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.listener import StreamingQueryProgress
 
 PROGRESS = (
@@ -46,6 +47,8 @@ class ProgressTable(StreamingQueryListener):
 
     def __init__(self, spark: SparkSession, path: str, every: int = 60):
         self.spark, self.path, self.every, self.held = spark, path, every, []
+        self._ended: set[str] = set()
+        self._change = threading.Condition()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -60,6 +63,15 @@ class ProgressTable(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         self.flush()
+        with self._change:
+            self._ended.add(str(event.runId))
+            self._change.notify_all()
+
+    def wait_for(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Until all progress of an ended query is in the table."""
+        with self._change:
+            if not self._change.wait_for(lambda: str(query.runId) in self._ended, seconds):
+                raise TimeoutError("the query's end was not reported")
 
     def flush(self) -> None:
         held, self.held = self.held, []

@@ -24,15 +24,20 @@ BatchWriter = Callable[[DataFrame, int], None]
 JDBC_BATCH = 5000
 
 
-def table_sink(path: str, layout: Layout, shape: Callable[[DataFrame], DataFrame] | None = None) -> BatchWriter:
-    """Write each micro-batch (after ``shape``) to its folder of the table."""
+def table_sink(
+    path: str, layout: Layout, shape: Callable[[DataFrame], DataFrame] | None = None, *, writer: str,
+) -> BatchWriter:
+    """Write each micro-batch (after ``shape``) to its folder of the table.
+
+    ``writer`` must differ between queries with a checkpoint each (``Run.writer``).
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(shape(batch) if shape else batch, batch_id, path, layout)
+        write_batch(shape(batch) if shape else batch, batch_id, path, layout, writer)
 
     return write
 
 
-def raw_and_alerts_sink(path: str, active: Column | None = None, time: str = "timestamp") -> BatchWriter:
+def raw_and_alerts_sink(path: str, active: Column | None = None, time: str = "timestamp", *, writer: str) -> BatchWriter:
     """Write the readings and the alerts among them to two tables.
 
     The decoded batch is kept (spilling to disk) between the two writes so that
@@ -42,10 +47,10 @@ def raw_and_alerts_sink(path: str, active: Column | None = None, time: str = "ti
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = (batch if active is None else batch.filter(active)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            write_batch(rows, batch_id, f"{path}/sensor_raw_data", LAYOUTS["sensor_raw_data"])
+            write_batch(rows, batch_id, f"{path}/sensor_raw_data", LAYOUTS["sensor_raw_data"], writer)
             alerts = alerting.alert_rows(rows, time)
             alerts = alerts.withColumn("processing_time", F.current_timestamp())
-            write_batch(alerts, batch_id, f"{path}/sensor_alerts", LAYOUTS["sensor_alerts"])
+            write_batch(alerts, batch_id, f"{path}/sensor_alerts", LAYOUTS["sensor_alerts"], writer)
         finally:
             rows.unpersist()
 
@@ -56,18 +61,20 @@ def append_only_sink(
     append_rows: Callable[[DataFrame], None],
     append_ledger: Callable[[DataFrame], None],
     read_ledger: Callable[[SparkSession], DataFrame],
+    writer: str,
 ) -> BatchWriter:
     """Effectively-once writes to a target that knows only appends.
 
-    A batch already in the ledger is skipped.  Rows of an attempt that died
+    Rows and ledger are tagged with writer, batch and attempt.  A batch of this
+    writer that is already in the ledger is skipped.  Rows of an attempt that died
     half-way stay behind but are never in the ledger.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if not read_ledger(spark).filter(F.col("batch_id") == batch_id).isEmpty():
+        if not read_ledger(spark).filter((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).isEmpty():
             return
         attempt = uuid.uuid4().hex
-        tags = {"batch_id": F.lit(batch_id).cast("long"), "attempt": F.lit(attempt)}
+        tags = {"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("long"), "attempt": F.lit(attempt)}
         append_rows(batch.withColumns(tags))
         append_ledger(spark.range(1).select(*[column.alias(name) for name, column in tags.items()]))
 
@@ -75,9 +82,9 @@ def append_only_sink(
 
 
 def committed(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows of completed attempts, one attempt per batch."""
-    chosen = ledger.groupBy("batch_id").agg(F.min("attempt").alias("attempt"))
-    return rows.join(chosen, ["batch_id", "attempt"], "left_semi").drop("batch_id", "attempt")
+    """Rows of completed attempts, one attempt per writer and batch."""
+    chosen = ledger.groupBy("writer", "batch_id").agg(F.min("attempt").alias("attempt"))
+    return rows.join(chosen, ["writer", "batch_id", "attempt"], "left_semi").drop("writer", "batch_id", "attempt")
 
 
 def jdbc_append(
@@ -99,7 +106,7 @@ def jdbc_append(
 
 
 def jdbc_sink(
-    url: str, table: str, ledger_table: str, properties: dict[str, str] | None = None,
+    url: str, table: str, ledger_table: str, writer: str, properties: dict[str, str] | None = None,
     batch_size: int = JDBC_BATCH, connections: int | None = None,
 ) -> BatchWriter:
     """The append-only sink over a database; both tables exist beforehand."""
@@ -109,5 +116,5 @@ def jdbc_sink(
     return append_only_sink(
         jdbc_append(url, table, properties, batch_size, connections),
         jdbc_append(url, ledger_table, properties, batch_size),
-        read_ledger,
+        read_ledger, writer,
     )
