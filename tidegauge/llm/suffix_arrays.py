@@ -166,10 +166,15 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group:
             at, seed = select(words, rows)
             row = np.searchsorted(rows, at, "right") - 1
             use = ~stands_back[row]
-            once = np.unique(np.stack((row[use].astype(np.uint64), seed[use])), axis=1)[1] if use.any() else seed[:0]
-            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64))], ["key"])
-
-    counted = keyed.mapInArrow(seeds, "key long").groupBy("key").agg(F.count("*").alias("value")).where("value > 1")
+            row, seed = row[use], seed[use]
+            order = np.lexsort((seed, row))
+            row, seed = row[order], seed[order]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (seed[1:] != seed[:-1]))[:len(row)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seed[first].view(np.int64)), pa.array(np.diff(np.append(first, len(row))))], ["key", "n"])
+
+    counted = (keyed.mapInArrow(seeds, "key long, n long").groupBy("key")
+               .agg(F.sum("n").alias("value"), F.count("*").alias("docs")).where("docs > 1").select("key", "value"))
     # Equal rows count twice here and are told apart in the comparison.
     repeated = hash_arrays.save_table(counted, work_dir(spark, "seeds"), bits)
 
@@ -190,6 +195,13 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group:
             ok_after, ok_before = after < rows[row + 1][:, None], before >= rows[row][:, None]
             right = np.where(ok_after, small[np.minimum(after, max(len(small) - 1, 0))] if len(small) else 0, 0).astype(">u4")
             left = np.where(ok_before, small[np.maximum(before, 0)] if len(small) else 0, 0).astype(">u4")
+            # Suffixes that follow each other and have all words in common (a repeated word or line) are one row.
+            new = np.ones(len(at), bool)
+            new[1:] = ((row[1:] != row[:-1]) | (seed[1:] != seed[:-1]) | (right[1:] != right[:-1]).any(1)
+                       | (left[1:] != left[:-1]).any(1))
+            first = np.flatnonzero(new)
+            final = at[np.append(first[1:], len(at))[:len(first)] - 1]
+            at, seed, row, many, right, left = (x[first] for x in (at, seed, row, many, right, left))
             packed = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
             # First the whole copies, which have no suffix, then the suffixes.
             k = len(whole)
@@ -199,11 +211,12 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group:
                 pa.array(np.concatenate((np.zeros(k, np.int64), seed.view(np.int64)))),
                 pa.array(np.concatenate((np.zeros(k, np.int64), many))),
                 pa.array(np.concatenate((np.full(k, -1), at - rows[row]))),
+                pa.array(np.concatenate((np.full(k, -1), final - rows[row]))),
                 pa.concat_arrays([pa.nulls(k, pa.binary()), packed(right)]), pa.concat_arrays([pa.nulls(k, pa.binary()), packed(left)]),
-            ], ["doc_id", "doc", "n_words", "seed", "many", "at", "right", "left"])
+            ], ["doc_id", "doc", "n_words", "seed", "many", "at", "final", "right", "left"])
 
     kept = written(keyed.mapInArrow(
-        suffixes, "doc_id long, doc long, n_words long, seed long, many long, at long, right binary, left binary"), "suffixes")
+        suffixes, "doc_id long, doc long, n_words long, seed long, many long, at long, final long, right binary, left binary"), "suffixes")
 
     def compare(batches):
         """Suffixes of whole seeds at a time; found stretches of each."""
@@ -226,7 +239,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group:
         part = table.take(pa.array(hit))
         at = part["at"].to_numpy()
         yield from pa.table({"doc_id": part["doc_id"], "doc": part["doc"], "n_words": part["n_words"],
-                             "start": pa.array(at - high[hit]), "stop": pa.array(at - low[hit] + PASSAGE)}).combine_chunks().to_batches()
+                             "start": pa.array(at - high[hit]), "stop": pa.array(part["final"].to_numpy() - low[hit] + PASSAGE)}).combine_chunks().to_batches()
 
     stretch = "doc_id long, doc long, n_words long, start long, stop long"
     sorted_ = (kept.where((F.col("at") >= 0) & (F.col("many") <= group)).repartition("seed").sortWithinPartitions("seed", "right"))
@@ -247,7 +260,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group:
                 part = pa.Table.from_batches([b]).take(pa.array(able))
                 at = part["at"].to_numpy()
                 yield from pa.table({"doc_id": part["doc_id"], "doc": part["doc"], "n_words": part["n_words"],
-                                     "start": pa.array(at - reach), "stop": pa.array(at - reach + PASSAGE),
+                                     "start": pa.array(at - reach), "stop": pa.array(part["final"].to_numpy() - reach + PASSAGE),
                                      "key": pa.array(key.view(np.int64))}).combine_chunks().to_batches()
 
     common = kept.where((F.col("at") >= 0) & (F.col("many") > group)).mapInArrow(hashed, stretch + ", key long")
