@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -34,10 +34,12 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(
+    batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array] = lambda b: b.column("text"),
+) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``PIECE_BYTES`` of text, none empty."""
     for batch in batches:
-        _, offsets = buffer_of(batch.column(text))
+        _, offsets = buffer_of(text(batch))
         at = 0
         while at < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1
@@ -56,20 +58,26 @@ def annotate(
     to one array per field.  Both sides are structs, so no name of the input can
     clash with a result's.
     """
-    kept = F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row")
+    columns = docs.columns if keep is None else keep
+    kept = F.struct(*[docs[c] for c in columns]).alias("row")
     names = [f.strip().split()[0] for f in fields.split(",")]
     row_type = docs.select(kept).schema["row"].dataType.simpleString()
+    # A text that is kept anyway is sent once.
+    inside = columns.index(text) if text in columns and docs.schema[text].dataType.simpleString() == "string" else None
+
+    def texts_of(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column("text") if inside is None else batch.column("row").flatten()[inside]
 
     def run(batches):
         work = make()
-        for piece in pieces(batches):
+        for piece in pieces(batches, texts_of):
             out = pa.StructArray.from_arrays([pa.array(a) if not isinstance(a, pa.Array) else a
-                                              for a in work(piece.column("text"))], names)
+                                              for a in work(texts_of(piece))], names)
             yield pa.RecordBatch.from_arrays([piece.column("row"), out], ["row", "out"])
 
     out_type = "struct<" + ",".join(":".join(f.split()) for f in fields.split(",")) + ">"
-    return docs.select(docs[text].cast("string").alias("text"), kept).mapInArrow(
-        run, f"row {row_type}, out {out_type}")
+    sent = docs.select(kept) if inside is not None else docs.select(docs[text].cast("string").alias("text"), kept)
+    return sent.mapInArrow(run, f"row {row_type}, out {out_type}")
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = _SPACE):
@@ -127,5 +135,7 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``values`` per row."""
-    total = np.concatenate((np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)))
-    return total[offsets[1:]] - total[offsets[:-1]]
+    kind = np.float64 if values.dtype.kind == "f" else np.int32 if values.dtype == bool and len(values) < 2**31 else np.int64
+    total = np.zeros(len(values) + 1, kind)
+    np.cumsum(values, dtype=kind, out=total[1:])
+    return (total[offsets[1:]] - total[offsets[:-1]]).astype(np.float64 if kind is np.float64 else np.int64)

@@ -51,16 +51,23 @@ def _same_before(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return earlier, any_other
 
 
+def _before(marks: np.ndarray) -> np.ndarray:
+    """How many marks stand before each place."""
+    out = np.zeros(len(marks) + 1, np.int64 if len(marks) >= 2**31 else np.int32)
+    np.cumsum(marks, out=out[1:])
+    return out
+
+
 def statistics(texts: pa.Array) -> list[np.ndarray]:
     """The columns of ``FIELDS`` for a batch."""
     raw, offsets = buffer_of(texts)
     n = len(offsets) - 1
     starts, ends, rows = word_spans(raw, offsets)
     codes, _ = encode(raw, starts, ends)
-    lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # code points before each byte
+    lead = _before((raw & 0xC0) != 0x80)  # code points before each byte
     word_len = lead[ends] - lead[starts]
-    letters = np.concatenate(([0], np.cumsum(_LETTER[raw])))
-    by_byte = lambda table: row_sums(table[raw].astype(np.int64), offsets)
+    letters = _before(_LETTER[raw])
+    by_byte = lambda table: row_sums(table[raw], offsets)
 
     # Lines: split at \n, so rows begin lines as well.
     inner = offsets[1:-1]
