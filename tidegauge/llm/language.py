@@ -139,7 +139,8 @@ def _sample(docs: DataFrame, lang: str, text: str, doc_id: str, size: int) -> Da
     order = Window.partitionBy("lang").orderBy("key")
     least = (keyed.select("lang", "key").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
              .groupBy("lang").agg(F.max("key").alias("most")))
-    chosen = keyed.join(least, "lang").where("key <= most")
+    # One row a language: without the hint all texts would be shuffled by language.
+    chosen = keyed.join(F.broadcast(least), "lang").where("key <= most")
     # Rows of one id, should they be many, are cut here.
     return (chosen.withColumn("rank", F.row_number().over(order.orderBy("key", F.xxhash64("text")))).where(F.col("rank") <= size)
             .select("lang", "text"))
