@@ -54,13 +54,17 @@ def test_every_family_is_registered():
 
 
 def test_entry_points(spark):
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries()) - WITHOUT_SQL
+    # Other packages may register more; some of theirs have no SQL.
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) & set(QUERIES) == set(QUERIES) - WITHOUT_SQL
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     flagship = entry_points.entry(spark)
     assert flagship.count() > 0 and "device_id" in flagship.columns
 
 
 # Plans that are built without running a stream or writing a table.
-LAZY = [n for n in QUERIES if re.match(r"[cdegk]\d", n) and n not in ("d5_fan_out_active", "d6_fan_out_all", "e9_merge_rollups", "k2_stream_throughput")]
+LAZY = [n for n in QUERIES if re.match(r"[cdegk]\d", n) and n not in ("d5_fan_out_active", "d6_fan_out_all", "e9_merge_rollups", "k2_stream_throughput")
+        and not n.endswith(("_stored", "_job")) and not n.startswith("c5_stored")]
 
 
 @pytest.mark.parametrize("name", sorted(LAZY))

@@ -20,7 +20,7 @@ from tidegauge.streaming.sinks import append_only_sink, committed, raw_and_alert
 AS_OF = views.AS_OF
 
 
-def _run(spark: SparkSession, name: str) -> jobs.Run:
+def run_of(spark: SparkSession, name: str) -> jobs.Run:
     return jobs.Run(work_dir(spark, name), work_dir(spark, f"{name}-checkpoint"), every=None)
 
 
@@ -28,12 +28,12 @@ def _sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.to_sensors(views.stream_events(spark, sf_dir))
 
 
-def _avro(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_avro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_readings(views.avro_readings(_sensors(spark, sf_dir)), schemas.AVRO_READING)
 
 
 def _rollups(spark: SparkSession, sf_dir: str, name: str, mode: str, window: str, **options) -> DataFrame:
-    run = _run(spark, name)
+    run = run_of(spark, name)
     jobs.start_rollup_stream(_sensors(spark, sf_dir), run, window, mode=mode, **options).awaitTermination()
     return jobs.read_rollups(tables.read_table(spark, run.output), mode)
 
@@ -42,7 +42,7 @@ def _rollups(spark: SparkSession, sf_dir: str, name: str, mode: str, window: str
   select device_id, count(*) as readings, avg(temperature) as avg_temp from sensors group by device_id"""))
 def processing_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which window a row arrives in depends on the clock; totals per device do not."""
-    run = _run(spark, "h1")
+    run = run_of(spark, "h1")
     rows = _sensors(spark, sf_dir)
     jobs.start_rollup_stream(rows, run, mode="update", clock="processing").awaitTermination()
     rolled = jobs.read_rollups(tables.read_table(spark, run.output), "update")
@@ -71,7 +71,7 @@ def _in_four_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h8_unordered_files", rollup_sql("hour"))
 def unordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default mode over files out of time order: no reading is too late."""
-    run = _run(spark, "h8-unordered")
+    run = run_of(spark, "h8-unordered")
     jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour").awaitTermination()
     return plain_times(jobs.read_rollups(tables.read_table(spark, run.output)))
 
@@ -80,7 +80,7 @@ def unordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
   select device_id, 2 * count(*) as rows from sensors group by device_id"""))
 def new_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second query on one table counts its batches from 0 as well and replaces nothing."""
-    first, second = _run(spark, "h7-a"), _run(spark, "h7-b")
+    first, second = run_of(spark, "h7-a"), run_of(spark, "h7-b")
     for checkpoint in (first.checkpoint, second.checkpoint):
         run = jobs.Run(first.output, checkpoint, every=None)
         sink = jobs.table_sink(run.output, tables.LAYOUTS["sensors"], writer=run.writer)
@@ -96,7 +96,7 @@ def keyed_state_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h4_restart_from_checkpoint", rollup_sql("hour"))
 def restart_from_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stopped and started again on the same checkpoint, nothing is counted twice."""
-    run = _run(spark, "h4")
+    run = run_of(spark, "h4")
     for _ in range(2):
         query_ = jobs.start_rollup_stream(_sensors(spark, sf_dir), run, "1 hour", mode="deltas")
         query_.awaitTermination()
@@ -108,7 +108,7 @@ def append_only_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An attempt that dies after its rows and before its ledger row, then a
     repeat, then another: the rows count once.  Files stand in for the database."""
     out = work_dir(spark, "h5")
-    run = _run(spark, "h5-run")
+    run = run_of(spark, "h5-run")
     def append_rows(df: DataFrame) -> None:
         df.write.mode("append").parquet(f"{out}/rows")
 
@@ -142,7 +142,7 @@ def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     append_ledger = lambda df: df.write.mode("append").parquet(f"{out}/ledger")
     append_ledger(spark.createDataFrame([], "writer string, batch_id long, attempt string"))
     for number in (1, 2):
-        run = _run(spark, f"h5-{number}")
+        run = run_of(spark, f"h5-{number}")
         sink = append_only_sink(append_rows, append_ledger, lambda s: s.read.parquet(f"{out}/ledger"), run.writer)
         jobs.start(_sensors(spark, sf_dir).select(F.lit(number).alias("source"), "seq"), sink, run).awaitTermination()
     rows = committed(spark.read.parquet(f"{out}/rows"), spark.read.parquet(f"{out}/ledger"))
@@ -174,7 +174,7 @@ def _fan_out(spark: SparkSession, path: str) -> DataFrame:
     id="device_id", active="where status = 1", and_active="and status = 1").replace(
         "date_trunc('millisecond', time)", "time")))
 def fan_out_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run(spark, "d5")
+    run = run_of(spark, "d5")
     rows = sensor_names(_sensors(spark, sf_dir)).withColumnRenamed("time", "timestamp")
     sink = raw_and_alerts_sink(run.output, active=F.col("status") == 1, writer=run.writer)
     jobs.start(rows, sink, run).awaitTermination()
@@ -184,7 +184,7 @@ def fan_out_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d6_fan_out_all", over_sensors(FAN_OUT_SQL.format(id="device_id", active="", and_active="").replace(
     "date_trunc('millisecond', time)", "time")))
 def fan_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run(spark, "d6")
+    run = run_of(spark, "d6")
     rows = sensor_names(_sensors(spark, sf_dir)).withColumnRenamed("time", "timestamp")
     jobs.start(rows, raw_and_alerts_sink(run.output, writer=run.writer), run).awaitTermination()
     return _fan_out(spark, run.output)
@@ -192,8 +192,8 @@ def fan_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h8_rollup_job_minute", avro_rollup_sql("minute"))
 def rollup_job_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run(spark, "h8")
-    jobs.start_rollup_job(_avro(spark, sf_dir), run, keep=("seq",), mode="deltas").awaitTermination()
+    run = run_of(spark, "h8")
+    jobs.start_rollup_job(stream_avro(spark, sf_dir), run, keep=("seq",), mode="deltas").awaitTermination()
     return plain_times(jobs.read_rollups(tables.read_table(spark, run.output), "deltas"))
 
 
@@ -201,17 +201,17 @@ def rollup_job_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rollup_job_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables_ = {}
     for mode, lateness in (("append", "2 minutes"), ("deltas", None)):
-        run = _run(spark, f"h8-{mode}")
+        run = run_of(spark, f"h8-{mode}")
         jobs.start_rollup_job(
-            _avro(spark, sf_dir), run, "1 hour", keep=("seq",), mode=mode, lateness=lateness).awaitTermination()
+            stream_avro(spark, sf_dir), run, "1 hour", keep=("seq",), mode=mode, lateness=lateness).awaitTermination()
         tables_[mode] = jobs.read_rollups(tables.read_table(spark, run.output), mode)
     return plain_times(jobs.with_open_windows(tables_["append"], tables_["deltas"]))
 
 
 @query("h8_rollup_job_day", avro_rollup_sql("day"))
 def rollup_job_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run(spark, "h8-day")
-    query_ = jobs.start_rollup_job(_avro(spark, sf_dir), run, keep=("seq",), mode="update", window="1 day", lateness="60 days")
+    run = run_of(spark, "h8-day")
+    query_ = jobs.start_rollup_job(stream_avro(spark, sf_dir), run, keep=("seq",), mode="update", window="1 day", lateness="60 days")
     query_.awaitTermination()
     return plain_times(jobs.read_rollups(tables.read_table(spark, run.output), "update"))
 
@@ -219,14 +219,14 @@ def rollup_job_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h9_alert_job", over_sensors(FAN_OUT_SQL.format(
     id=NUMBER, active="where status = 1", and_active="and status = 1")))
 def alert_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run(spark, "h9")
+    run = run_of(spark, "h9")
     jobs.start_alert_job(views.integer_messages(_sensors(spark, sf_dir)), run).awaitTermination()
     return _fan_out(spark, run.output)
 
 
 @query("h10_raw_job", over_sensors(FAN_OUT_SQL.format(id="device_id", active="", and_active="")))
 def raw_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run(spark, "h10")
+    run = run_of(spark, "h10")
     jobs.start_raw_job(views.local_messages(_sensors(spark, sf_dir)), run).awaitTermination()
     return _fan_out(spark, run.output)
 
@@ -234,7 +234,7 @@ def raw_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h7_compacted_table", over_sensors("select seq, device_id, temperature, status, time from sensors"))
 def compacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro-batch folders rewritten as one clustered table."""
-    run = _run(spark, "h7")
+    run = run_of(spark, "h7")
     compact = work_dir(spark, "h7-compact")
     layout = tables.LAYOUTS["sensors"]
     jobs.start(_sensors(spark, sf_dir), jobs.table_sink(run.output, layout, writer=run.writer), run).awaitTermination()
@@ -246,7 +246,7 @@ def compacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h7_compacted_twice", over_sensors("select seq, device_id, temperature, status, time from sensors"))
 def compacted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compacted between batches and after them, the old folders removed: every row once."""
-    run = _run(spark, "h7-twice")
+    run = run_of(spark, "h7-twice")
     compact = work_dir(spark, "h7-twice-compact")
     layout = tables.LAYOUTS["sensors"]
     sink = jobs.table_sink(run.output, layout, writer=run.writer)
@@ -267,7 +267,7 @@ def compacted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h7_compacted_update", rollup_sql("hour"))
 def compacted_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of changing windows stays readable when its batches are compacted."""
-    run = _run(spark, "h7-update")
+    run = run_of(spark, "h7-update")
     compact = work_dir(spark, "h7-update-compact")
     jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour", mode="update", lateness="60 days").awaitTermination()
     tables.compact_batches(spark, run.output, compact, jobs.ROLLUPS, upto=1)
@@ -282,7 +282,7 @@ def hourly_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.write_table(metrics, source, tables.LAYOUTS["sensor_metrics"])
     schema = tables.read_table(spark, source).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(source).drop("day")
-    run = _run(spark, "f1")
+    run = run_of(spark, "f1")
     jobs.start_hourly_stream(stream, run).awaitTermination()
     return plain_times(jobs.read_hourly(tables.read_table(spark, run.output)))
 
@@ -295,9 +295,9 @@ def hourly_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
   from avro group by 2, 3"""))
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows of the last day beside roll-ups of the whole time."""
-    raw, rolled = _run(spark, "f6-raw"), _run(spark, "f6-rollup")
+    raw, rolled = run_of(spark, "f6-raw"), run_of(spark, "f6-rollup")
     for query_ in jobs.start_hybrid(
-            _avro(spark, sf_dir), raw, rolled, keep=("seq",), mode="deltas", window="1 hour"):
+            stream_avro(spark, sf_dir), raw, rolled, keep=("seq",), mode="deltas", window="1 hour"):
         query_.awaitTermination()
     kept = tables.apply_retention(tables.read_table(spark, raw.output), "time", 1, AS_OF)
     rollups = jobs.read_rollups(tables.read_table(spark, rolled.output), "deltas")
@@ -312,7 +312,7 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(distinct concat(device_id, cast(date_trunc('hour', time) as varchar))) as total_emitted from sensors"""))
 def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in, emitted and dropped late, from the progress table of a run."""
-    run = _run(spark, "k2")
+    run = run_of(spark, "k2")
     path = work_dir(spark, "k2-progress")
     table = progress.ProgressTable(spark, path)
     spark.streams.addListener(table)

@@ -156,6 +156,11 @@ def read_rollups(table: DataFrame, mode: str = "deltas", key: str = "device_id")
     return rollup.finish_rollup(rollup.merge_rollups(table, key=key), key)
 
 
+def sensors_table(rolled: DataFrame) -> DataFrame:
+    """Roll-up rows as rows of the sensors table: its columns by name and narrowed, and ``has_alert`` over them."""
+    return canonical.with_has_alert(schemas.conform(rolled))
+
+
 def newest_batch(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of the rows with equal keys the one of the latest batch."""
     values = [c for c in table.columns if c not in (*keys, "batch_id")]
