@@ -15,7 +15,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
+from tidegauge import schemas  # noqa: E402
 from tidegauge.plans import catalogue, views  # noqa: E402
+from tidegauge.plans.messages import encode_readings  # noqa: E402
 from tidegauge.session import build_session, work_dir  # noqa: E402
 from tidegauge.streaming import jobs  # noqa: E402
 
@@ -57,14 +59,25 @@ def main() -> None:
         run()
         seconds[name] = round(min(timed(run) for _ in range(RUNS)), 4)
 
-    # The deployed pipeline: messages in, rolled-up rows in a table.
-    def stream() -> None:
-        job = jobs.Run(work_dir(spark, "bench"), work_dir(spark, "bench-checkpoint"), every=None)
-        messages = views.to_sensors(views.stream_events(spark, sf_dir))
-        jobs.start_rollup_stream(messages, job, mode="deltas").awaitTermination()
+    def job(spark_rows, start_job, **options):
+        def run() -> None:
+            target = jobs.Run(work_dir(spark, "bench"), work_dir(spark, "bench-checkpoint"), every=None)
+            start_job(spark_rows(), target, mode="deltas", **options).awaitTermination()
+        return run
+
+    # The stream from canonical rows, without decoding.
+    rows_job = job(lambda: views.to_sensors(views.stream_events(spark, sf_dir)), jobs.start_rollup_stream)
 
-    stream()
-    seconds["h8_rollup_stream_deltas"] = round(timed(stream), 4)
+    # The deployed pipeline: binary messages in, in a file per core, mergeable states in a table.
+    messages = work_dir(spark, "bench-messages")
+    encoded = encode_readings(views.avro_readings(views.sensors(spark, sf_dir)), schemas.AVRO_READING)
+    encoded.repartition(cpus).write.parquet(messages)
+    shape = spark.read.parquet(messages).schema
+    messages_job = job(lambda: spark.readStream.schema(shape).parquet(messages), jobs.start_rollup_job, keep=("seq",))
+
+    for name, run in (("h8_rollup_stream_deltas", rows_job), ("h8_rollup_job_messages", messages_job)):
+        run()
+        seconds[name] = round(timed(run), 4)
 
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({
@@ -75,6 +88,7 @@ def main() -> None:
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "rows": rows,
         "rollup_rows_per_second": round(rows / seconds["e1_rollup_readings_minute"]),
+        "messages_per_second": round(rows / seconds["h8_rollup_job_messages"]),
     }))
     spark.stop()
 

@@ -103,3 +103,24 @@ def test_lines_of_text(spark):
     assert reports.reading_lines(df).first()[0] == "s1: 42.5°C, 65.0% humidity, 88.0% battery"
     assert reports.alert_lines(df).first()[0] == "s1 - HIGH_TEMPERATURE (42.5°C)"
     assert {r[0] for r in reports.count_lines(raw=df, other=df.limit(0)).collect()} == {"raw: 1", "other: 0"}
+
+
+def test_parameters_prune_partitions(spark, tmp_path):
+    out = str(tmp_path / "sensors")
+    tables.write_table(views.sensors(spark, SMALL), out, tables.LAYOUTS["sensors"])
+    stored = tables.read_table(spark, out)
+    params = spark.sql("select 1 as param_id, 'sensor_7' as entity, date'2024-01-15' as day, array(1, 2) as hours")
+    rows = reports.single_day_many(stored, "temp", params)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "day#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert rows.first().readings == reports.single_day(stored, "temp", "2024-01-15", [1, 2], entity="sensor_7").first().readings
+
+
+def test_stored_reports_prune_days_and_push_the_device(spark, tmp_path):
+    out = str(tmp_path / "sensors")
+    tables.write_table(views.sensors(spark, SMALL), out, tables.LAYOUTS["sensors"])
+    rows = reports.device_current_status(tables.read_table(spark, out), views.AS_OF, device="sensor_7", days=2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "day#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    # The plan's text cuts long lists of filters.
+    assert "EqualTo(device" in plan and "SortAggregate" not in plan

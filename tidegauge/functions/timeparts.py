@@ -89,6 +89,22 @@ def last(df: DataFrame, as_of: Moment, column: str = "time", after: bool = False
     return time_range(df, as_moment(as_of) - dt.timedelta(**span), column=column, after=after)
 
 
+def between(df: DataFrame, bounds: DataFrame, column: str = "time", partition_of: str | None = None) -> DataFrame:
+    """Rows with ``first <= column < end``, of the one row (first, end) of dates in ``bounds``.
+
+    The bounds are known before the scan is planned, and prune its partitions too.
+    """
+    kind = df.schema[column].dataType
+    first, end = [bounds.select(F.col(c).cast(kind)).scalar() for c in ("first", "end")]
+    partition, (below, above) = _partition(df), _prunes(df, column, partition_of)
+    df = df.filter((F.col(column) >= first) & (F.col(column) < end))
+    if partition and below:
+        df = df.filter(F.col(partition) >= bounds.select(F.trunc("first", "month") if partition == "month" else F.col("first")).scalar())
+    if partition and above:
+        df = df.filter(F.col(partition) <= bounds.select("end").scalar())
+    return df
+
+
 def on_day(df: DataFrame, day: dt.date | str, column: str = "time") -> DataFrame:
     start = dt.datetime.combine(dt.date.fromisoformat(str(day)), dt.time())
     return time_range(df, start, start + dt.timedelta(days=1), column=column)

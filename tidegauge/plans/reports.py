@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.operators.rollup import time_order
-from tidegauge.functions.timeparts import Moment, bucketed, in_hours, last, on_day, time_range
+from tidegauge.functions.timeparts import Moment, between, bucketed, in_hours, last, on_day, time_range
 
 USAGE = "usage_user + usage_system"
 
@@ -61,7 +61,7 @@ def single_day_many(df: DataFrame, kind: str, params: DataFrame) -> DataFrame:
     device with a third of all readings has at most 24 rows a day in the join,
     and nothing is broadcast unless the planner measures it as small.  Every
     parameter gets a row, with null figures where nothing matches.  Only the
-    days between the first and the last parameter's are read.
+    days, and partitions, between the first and the last parameter's are read.
     """
     key, figures = SINGLE_DAY[kind]
     partial, final = [F.count("*").alias("hour_readings")], []
@@ -73,9 +73,7 @@ def single_day_many(df: DataFrame, kind: str, params: DataFrame) -> DataFrame:
             partial += [F.max(F.expr(of)).alias(f"{name}_max")]
             final += [F.max(f"{name}_max").alias(name)]
     bounds = params.agg(F.min("day").alias("first"), F.date_add(F.max("day"), 1).alias("end"))
-    kind = df.schema["time"].dataType
-    first, end = [bounds.select(F.col(c).cast(kind)).scalar() for c in ("first", "end")]
-    hourly = df.filter((F.col("time") >= first) & (F.col("time") < end)).groupBy(
+    hourly = between(df, bounds).groupBy(
         F.col(key).alias("entity"), F.to_date("time").alias("day"), F.hour("time").alias("hour")
     ).agg(*partial)
     wanted = params.withColumn("hour", F.explode_outer(F.array_distinct("hours"))).drop("hours")

@@ -81,6 +81,33 @@ _OVER_STORED = {
     "g12_prefix_alerts": lambda s, d: reports.prefix_alerts(_stored_sensors(s, d), AS_OF),
 }
 
+
+def _few_parameters(rows: DataFrame, key: str) -> DataFrame:
+    """Every entity on one day, as a table of parameters."""
+    entities = rows.select(F.col(key).alias("entity")).distinct()
+    return entities.select(
+        F.col("entity").alias("param_id"), "entity", F.lit(report_queries.DAY).cast("date").alias("day"),
+        F.array(*[F.lit(h) for h in report_queries.HOURS]).alias("hours"))
+
+
+def _register_parameters(number: int, kind: str) -> None:
+    table, key, figures = report_queries.SINGLE_DAY_SQL[kind]
+    stored = _stored_sensors if table == "sensors" else _stored_cpu
+
+    @query(f"g{number}_single_day_{kind}_parameters_stored", over_sensors(f"""
+      , hits as (select * from {table} where cast(time as date) = date '{report_queries.DAY}'
+        and extract(hour from time) in {report_queries.HOURS}),
+      entities as (select distinct {key} from {table})
+      select p.{key} as entity, {figures}, count(h.seq) as readings
+      from entities p left join hits h on h.{key} = p.{key} group by p.{key}"""))
+    def many(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = stored(spark, sf_dir)
+        return reports.single_day_many(rows, kind, _few_parameters(rows, key)).drop("param_id", "day")
+
+
+for _number, _kind in enumerate(report_queries.SINGLE_DAY_SQL, 1):
+    _register_parameters(_number, _kind)
+
 for _name, _run in _OVER_STORED.items():
     query(f"{_name}_stored", QUERIES[_name].sql)(_run)
 
