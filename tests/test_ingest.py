@@ -159,6 +159,20 @@ def test_canonical_from_json(spark):
     assert g.latitude == 0.0
 
 
+def test_only_the_fields_of_the_wanted_columns_are_parsed(spark):
+    df = text(spark, '{"deviceId":"d","temperature":"hot","latitude":1.5,"metadata":{"longitude":2.5}}', "no json",
+              '{"device_id":"e","humidity":3,"time":"2024-01-15T10:30:45Z"}', LOCAL)
+    wanted = ("time", "temperature", "longitude", "device_id")
+    whole = canonical.canonicalize_json(df, keep=("seq",), with_time=True).select("seq", *wanted)
+    part = canonical.canonicalize_json(df, keep=("seq",), columns=wanted)
+    assert part.columns == ["seq", *wanted]
+    assert sorted(map(str, part.collect())) == sorted(map(str, whole.collect()))
+    plan = canonical.canonicalize_json(df, columns=("humidity",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "humidity" in plan and "temperature" not in plan and "metadata" not in plan
+    with pytest.raises(ValueError, match="no such columns"):
+        canonical.canonicalize_json(df, columns=("speed",))
+
+
 def test_message_times(spark):
     df = text(spark, '{"timestamp":1704067200123}', '{"time":"2024-01-15T10:30:45.123Z"}', '{"time":"soon"}', '{}')
     got = canonical.canonicalize_json(df, with_time=True).select(F.unix_millis("time")).collect()

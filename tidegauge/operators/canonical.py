@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,26 +100,31 @@ def canonicalize_avro(df: DataFrame, keep: tuple[str, ...] = (), with_time: bool
 _TEXT_FIELDS = ("device_id", "device_type", "customer_id", "site_id", "status")
 
 
-def _message_schema(typed: bool) -> T.StructType:
-    """Every known field; ``typed`` readings are numbers, otherwise all is text."""
+def _message_schema(typed: bool, columns: Sequence[str]) -> T.StructType:
+    """The known fields of ``columns``; ``typed`` readings are numbers, otherwise all is text."""
     schema = T.StructType()
-    for column in CANONICAL_COLUMNS:
+    for column in (c for c in CANONICAL_COLUMNS if c in columns):
         kind = "string" if column in _TEXT_FIELDS or not typed else _WHOLE_IN_JSON.get(column, "double")
         for name in _FALLBACK_NAMES.get(column, (column,)):
             schema.add(name, kind)
-    for name in ("time", "timestamp"):
+    for name in ("time", "timestamp") if "time" in columns else ():
         schema.add(name, "string")
     place = T.StructType()
-    for name in ("latitude", "longitude"):
+    for name in (c for c in ("latitude", "longitude") if c in columns):
         place.add(name, "double" if typed else "string")
-    return schema.add("metadata", place)
+    return schema.add("metadata", place) if place.fields else schema
 
 
 def canonicalize_json(
     df: DataFrame, column: str = "value", keep: tuple[str, ...] = (), with_time: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Text messages of any dialect to the 24-column row.
 
+    ``columns`` names those wanted (``time`` included), in their order; only the
+    fields they come from are parsed, and a message is dropped for these only.  By
+    default all are.
+
     A field is taken from the first of its known names that is present; an
     explicit null counts as absent.  A field that is present but not a number
     reads as 0, an absent one as its default.  Text that is not JSON is dropped.
@@ -125,7 +132,10 @@ def canonicalize_json(
     Messages whose numbers are numbers are parsed into numbers directly.  Only a
     message that does not fit is parsed again as text, field by field.
     """
-    typed, as_text = _message_schema(True), _message_schema(False)
+    names = list(columns) if columns is not None else [*CANONICAL_COLUMNS, *(["time"] if with_time else [])]
+    if unknown := set(names) - {*CANONICAL_COLUMNS, "time"}:
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    typed, as_text = _message_schema(True, names), _message_schema(False, names)
     messages = df.select(*keep, F.col(column).cast("string").alias("_text"))
     messages = messages.select(*keep, "_text", parse_once(F.col("_text"), typed).alias("m"))
     again = F.get(F.transform(F.array(parse_json(F.col("_text"), as_text)), lambda t: _lenient(t, typed)), F.lit(0))
@@ -140,21 +150,21 @@ def canonicalize_json(
         inside = F.when(F.col("m.metadata").isNotNull(), F.col(f"m.metadata.{name}")).otherwise(F.col(f"m.{name}"))
         return F.coalesce(inside, F.lit(0.0))
 
-    columns = {
-        "device_id": first("device_id", UNKNOWN_DEVICE),
-        "device_type": first("device_type", UNKNOWN_TYPE),
-        "customer_id": first("customer_id", DEFAULT_CUSTOMER),
-        "site_id": first("site_id", DEFAULT_SITE),
-        "latitude": coordinate("latitude"),
-        "longitude": coordinate("longitude"),
-        "altitude": first("altitude", 0.0),
-        "status": labels.status_code(F.col("m.status")),
+    defaults = {
+        "device_id": UNKNOWN_DEVICE, "device_type": UNKNOWN_TYPE, "customer_id": DEFAULT_CUSTOMER, "site_id": DEFAULT_SITE,
+        "altitude": 0.0, **READING_DEFAULTS, **COUNTER_DEFAULTS,
     }
-    columns |= {name: first(name, default) for name, default in {**READING_DEFAULTS, **COUNTER_DEFAULTS}.items()}
-    if with_time:
-        columns["time"] = message_time(F.coalesce(F.col("m.time"), F.col("m.timestamp")))
-    names = [*CANONICAL_COLUMNS, *(["time"] if with_time else [])]
-    return messages.select(*keep, *[columns[n].alias(n) for n in names])
+
+    def value(name: str) -> Column:
+        if name in ("latitude", "longitude"):
+            return coordinate(name)
+        if name == "status":
+            return labels.status_code(F.col("m.status"))
+        if name == "time":
+            return message_time(F.coalesce(F.col("m.time"), F.col("m.timestamp")))
+        return first(name, defaults[name])
+
+    return messages.select(*keep, *[value(n).alias(n) for n in names])
 
 
 def _lenient(text: Column, typed: T.StructType) -> Column:

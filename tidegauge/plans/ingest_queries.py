@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegauge import schemas
 from tidegauge.functions import labels
@@ -248,20 +247,19 @@ def column_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("seq", "latitude", "co2_level", "packets_sent", "memory_usage", "signal_strength")
 
 
-def _narrow_sql() -> str:
-    kinds = {"float": "float", "short": "smallint", "long": "bigint", "double": "double", "string": "varchar"}
-    columns = [
-        f"{MILLIS} as time" if f.name == "time" else f"cast({f.name} as {kinds[_kind(f)]}) as {f.name}"
-        for f in schemas.SENSORS.fields
-    ]
-    return over_sensors(f"select seq, {', '.join(columns)} from sensors")
+# The narrow types of the table, written out.
+_NARROW = over_sensors(f"""
+  select seq, device_id, device_type, customer_id, site_id, latitude, longitude, {MILLIS} as time,
+    altitude::float as altitude, temperature::float as temperature, humidity::float as humidity, pressure::float as pressure,
+    battery_level::float as battery_level, status::smallint as status, co2_level::float as co2_level,
+    noise_level::float as noise_level, light_level::float as light_level, motion_detected::smallint as motion_detected,
+    signal_strength::float as signal_strength, memory_usage::float as memory_usage, cpu_usage::float as cpu_usage,
+    error_count::bigint as error_count, packets_sent::bigint as packets_sent, packets_received::bigint as packets_received,
+    bytes_sent::bigint as bytes_sent, bytes_received::bigint as bytes_received
+  from sensors""")
 
 
-def _kind(field: T.StructField) -> str:
-    return field.dataType.typeName()
-
-
-@query("b10_conform_types", _narrow_sql())
+@query("b10_conform_types", _NARROW)
 def conform_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.conform(views.sensors(spark, sf_dir), keep=("seq",))
 

@@ -12,12 +12,15 @@ from tidegauge.plans import reports, views
 from tidegauge.plans.registry import over_metrics, over_sensors, query
 
 AS_OF = views.AS_OF
-NOW = f"timestamp '{AS_OF}'"
 DAY, HOURS = "2024-01-15", (2, 9, 14, 20)
 
 
-def _since(span: str, column: str = "time", op: str = ">=") -> str:
-    return f"where {column} {op} {NOW} - interval {span}"
+# No event is of the month's last hour, so the panels of an hour are asked for half a day earlier.
+PANEL_AS_OF = "2024-01-30 12:30:00"
+
+
+def _since(span: str, column: str = "time", op: str = ">=", now: str = AS_OF) -> str:
+    return f"where {column} {op} timestamp '{now}' - interval {span}"
 
 
 def _register(name: str, sql: str, run: Callable[[SparkSession, str], DataFrame]) -> None:
@@ -257,8 +260,10 @@ for _name, _span, _kw in (("", "1 hour", {}), ("_wide", "7 day", {"days": 7})):
         lambda s, d, kw=_kw: reports.stats_by_type(views.metrics(s, d, "1 minute"), AS_OF, **kw))
     for _key, _value in (("sensor_id", "avg_temperature"), ("location", "avg_humidity"), ("sensor_id", "min_battery")):
         _register(f"g30_panel_{_value}{_name}", over_metrics(f"""
-          select window_start as time, {_key}, {_value} from metrics {_since(_span, 'window_start', '>')}"""),
-            lambda s, d, k=_key, v=_value, kw=_kw: reports.panel_series(views.metrics(s, d), k, v, AS_OF, **kw))
+          select window_start as time, {_key}, {_value} from metrics
+          {_since(_span, 'window_start', '>', AS_OF if _kw else PANEL_AS_OF)}"""),
+            lambda s, d, k=_key, v=_value, kw=_kw: reports.panel_series(
+                views.metrics(s, d), k, v, AS_OF if kw else PANEL_AS_OF, **kw))
     _register(f"g31_active_sensors{_name}", over_metrics(f"""
       select count(distinct sensor_id) as active_sensors
       from metrics {_since('5 minute' if not _kw else _span, 'window_start', '>')}"""),

@@ -14,6 +14,15 @@ from tidegauge.session import work_dir
 
 AS_OF = views.AS_OF
 
+# The columns of a roll-up by how they are rolled up, and the usage it
+# reports instead of a measured one.  Written out, not taken from the operators, so that
+# the SQL notices an error there.
+FIRST_SEEN = ("device_id", "device_type", "customer_id", "site_id", "latitude", "longitude", "altitude")
+AVERAGED = (
+    "temperature", "humidity", "pressure", "co2_level", "noise_level", "light_level", "battery_level", "signal_strength")
+SUMMED = ("error_count", "packets_sent", "packets_received", "bytes_sent", "bytes_received")
+USAGE = {"memory_usage": "50.0", "cpu_usage": "30.0"}
+
 
 def rollup_sql(
     unit: str = "minute", key: str = "device_id", start: str | None = None, length: str | None = None,
@@ -23,14 +32,14 @@ def rollup_sql(
     start = start or f"date_trunc('{unit}', time)"
     length = length or f"interval 1 {unit}"
     first = ", ".join(
-        f"min_by({c}, row(time, seq)) as {c}" for c in rollup.FIRST_SEEN if c != key)
-    averages = ", ".join(f"avg({c}) as {c}" for c in rollup.AVERAGED)
+        f"min_by({c}, row(time, seq)) as {c}" for c in FIRST_SEEN if c != key)
+    averages = ", ".join(f"avg({c}) as {c}" for c in AVERAGED)
     usage = ", ".join(
         f"avg({c}) as {c}" if real_usage else f"{value}E0 as {c}"
-        for c, value in rollup.USAGE_PLACEHOLDERS.items())
-    sums = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in rollup.COUNTERS)
+        for c, value in USAGE.items())
+    sums = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in SUMMED)
     more = "".join(
-        f", min({c}) as min_{c}, max({c}) as max_{c}" for c in rollup.AVERAGED) if extremes else ""
+        f", min({c}) as min_{c}, max({c}) as max_{c}" for c in AVERAGED) if extremes else ""
     return over_sensors(f""", rolled as (
       select {key}, {first}, {start} as window_start, {start} + {length} as window_end,
         {start} + {length} as time, {averages},
@@ -103,11 +112,11 @@ def _daily(*columns: str):
     return register
 
 
-_daily(*rollup.AVERAGED)("e2_averages")
+_daily(*AVERAGED)("e2_averages")
 _daily("device_type", "customer_id", "site_id", "latitude", "longitude", "altitude")("e4_first_seen")
 _daily("motion_detected")("e5_motion_majority")
 _daily("status")("e6_status_mean")
-_daily(*rollup.COUNTERS)("e7_counter_sums")
+_daily(*SUMMED)("e7_counter_sums")
 _daily("reading_count")("e13_reading_count")
 
 
@@ -188,8 +197,14 @@ def latest_status_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Retention and layout
 # ---------------------------------------------------------------------------
-def _kept(table: str, time: str, columns: str, days: int) -> str:
-    return f"select {columns} from {table} where {time} > timestamp '{AS_OF}' - interval {days} day"
+# The events span a month, so the longer retentions are asked for at a later day: one that
+# some rows have reached and others not.
+ALERTS_AS_OF = "2024-02-15 00:00:00"
+METRICS_AS_OF = "2024-04-15 00:00:00"
+
+
+def _kept(table: str, time: str, columns: str, days: int, as_of: str = AS_OF) -> str:
+    return f"select {columns} from {table} where {time} > timestamp '{as_of}' - interval {days} day"
 
 
 @query("f4_retention_raw", over_sensors(_kept("sensors", "time", "seq, device_id, time", 7)))
@@ -198,16 +213,16 @@ def retention_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.apply_retention(rows, "time", schemas.RETENTION_DAYS["sensor_raw_data"], AS_OF)
 
 
-@query("f4_retention_alerts", over_sensors(_kept("alerts", "alert_time", "seq, sensor_id, alert_time", 30)))
+@query("f4_retention_alerts", over_sensors(_kept("alerts", "alert_time", "seq, sensor_id, alert_time", 30, ALERTS_AS_OF)))
 def retention_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.alerts(spark, sf_dir).select("seq", "sensor_id", "alert_time")
-    return tables.apply_retention(rows, "alert_time", schemas.RETENTION_DAYS["sensor_alerts"], AS_OF)
+    return tables.apply_retention(rows, "alert_time", schemas.RETENTION_DAYS["sensor_alerts"], ALERTS_AS_OF)
 
 
-@query("f4_retention_metrics", over_metrics(_kept("metrics", "window_start", "sensor_id, window_start, seq", 90)))
+@query("f4_retention_metrics", over_metrics(_kept("metrics", "window_start", "sensor_id, window_start, seq", 90, METRICS_AS_OF)))
 def retention_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.metrics(spark, sf_dir).select("sensor_id", "window_start", "seq")
-    return tables.apply_retention(rows, "window_start", schemas.RETENTION_DAYS["sensor_metrics"], AS_OF)
+    return tables.apply_retention(rows, "window_start", schemas.RETENTION_DAYS["sensor_metrics"], METRICS_AS_OF)
 
 
 @query("f4_drop_expired_days", over_sensors(_kept("sensors", "time", "seq, device_id, time", 7)))

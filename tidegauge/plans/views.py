@@ -158,7 +158,10 @@ def wide_messages(sensor_rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # The same tables as SQL
 # ---------------------------------------------------------------------------
-_TYPE_CASES = " ".join(f"when {i} then '{name}'" for i, name in enumerate(labels.SENSOR_TYPES, 1))
+# Fixed values, written out so that the SQL notices an error in the library's own list.
+_TYPE_CASES = """
+  when 1 then 'temperature_sensor' when 2 then 'humidity_sensor' when 3 then 'pressure_sensor' when 4 then 'motion_sensor'
+  when 5 then 'light_sensor' when 6 then 'co2_sensor' when 7 then 'noise_sensor' when 8 then 'multisensor'"""
 _SERVICE_CASES = " ".join(f"when {i} then '{name}'" for i, name in enumerate(SERVICES))
 
 SENSORS_SQL = f"""
