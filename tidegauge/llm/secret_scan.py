@@ -93,9 +93,9 @@ def _tests(text: Column) -> Column:
     Candidates with characters of one kind (letters of one case, digits) and capitalised
     words are left out.
     """
-    found = F.transform(_spans(text, CANDIDATE, 3), lambda s: F.struct(
-        s["start"].alias("start"), s["stop"].alias("stop"),
-        F.substring(text, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")).alias("token")))
+    # The matches themselves: cutting each out of the text would pass over the text once a match.
+    found = F.zip_with(_spans(text, CANDIDATE, 3), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda s, token: F.struct(
+        s["start"].alias("start"), s["stop"].alias("stop"), token.alias("token")))
 
     def infer(x: Column) -> Column:
         token = x["token"]
