@@ -33,7 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Groups by the least own hash serve rows without an id as well.
     groups = simhash.groups(prints.select(F.col("own").alias("doc_id"), "fingerprint"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("own"))
-    stay = (prints.join(groups, "fingerprint").groupBy("component_id").agg(F.min(order).alias("first"))
+    # Copies are summed up by fingerprint first, so a large group of them is one row in the join.
+    least = prints.groupBy("fingerprint").agg(F.min(order).alias("first"))
+    stay = (least.join(groups, "fingerprint").groupBy("component_id").agg(F.min("first").alias("first"))
             .select(F.col("first.own").alias("own")))
     rows = docs.select(F.struct("*").alias("row"), own.alias("own")).join(stay.withColumnRenamed("own", "first"), F.col("own") == F.col("first"))
     # Equal rows have one hash; of those more than one, one stays.
