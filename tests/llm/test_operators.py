@@ -333,6 +333,17 @@ class TestSuffixArrays:
         frame = docs.select("doc_id", "text").unionAll(spark.createDataFrame(extra, "doc_id long, text string"))
         assert plain(suffix_arrays.passages(frame, group=group)) == by_id(brute.passages([*rows, *extra]))
 
+    @pytest.mark.parametrize("group", [suffix_arrays.GROUP, 3])
+    def test_far_apart_repeats_are_two_stretches(self, spark, group):
+        rows = []
+        for k in range(20):  # a document with one passage twice, unique words between, and another that shares half of it
+            passage = [f"d{k}p{i}" for i in range(120)]
+            between = [f"d{k}n{i}" for i in range(500)]
+            rows.append((2 * k, " ".join(passage + between + passage)))
+            rows.append((2 * k + 1, " ".join([f"d{k}x"] * 5 + passage[30:90] + [f"d{k}y"] * 5)))
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert plain(suffix_arrays.passages(frame, group=group)) == by_id(brute.passages(rows))
+
     def test_empty(self, empty):
         assert suffix_arrays.passages(empty).count() == 0
 

@@ -195,10 +195,11 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group:
             ok_after, ok_before = after < rows[row + 1][:, None], before >= rows[row][:, None]
             right = np.where(ok_after, small[np.minimum(after, max(len(small) - 1, 0))] if len(small) else 0, 0).astype(">u4")
             left = np.where(ok_before, small[np.maximum(before, 0)] if len(small) else 0, 0).astype(">u4")
-            # Suffixes that follow each other and have all words in common (a repeated word or line) are one row.
+            # Suffixes that follow each other and have all words in common (a repeated word or line) are one row,
+            # where they are near enough for their passages to touch; suffixes between them may have been left out.
             new = np.ones(len(at), bool)
-            new[1:] = ((row[1:] != row[:-1]) | (seed[1:] != seed[:-1]) | (right[1:] != right[:-1]).any(1)
-                       | (left[1:] != left[:-1]).any(1))
+            new[1:] = ((row[1:] != row[:-1]) | (seed[1:] != seed[:-1]) | (at[1:] - at[:-1] > PASSAGE)
+                       | (right[1:] != right[:-1]).any(1) | (left[1:] != left[:-1]).any(1))
             first = np.flatnonzero(new)
             final = at[np.append(first[1:], len(at))[:len(first)] - 1]
             at, seed, row, many, right, left = (x[first] for x in (at, seed, row, many, right, left))
