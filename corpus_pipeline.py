@@ -8,11 +8,11 @@ the shared folder and reads it again, so that a lost executor repeats one stage
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, decontaminate, quality, secret_scan, simhash
-from tidegauge.llm.components import written
+from tidegauge.llm import bpe, decontaminate, near_copies, quality, secret_scan, simhash
+from tidegauge.llm.components import components, written
 
 
 def _rows(df: DataFrame) -> DataFrame:
@@ -25,6 +25,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _rows(quality.judge(quality.measure(docs), model).where("kept"))
 
 
+def _staying(docs: DataFrame, own: Column, prints: DataFrame, stay: DataFrame) -> DataFrame:
+    """The documents whose hash is in ``stay``, each once."""
+    rows = docs.select(F.struct("*").alias("row"), own.alias("own")).join(stay.withColumnRenamed("own", "first"), F.col("own") == F.col("first"))
+    # Equal rows have one hash; of those more than one, one stays.
+    many = prints.groupBy("own").count().where("count > 1").select(F.col("own").alias("repeated"))
+    rows = rows.join(many, F.col("own") == F.col("repeated"), "left")
+    single = _rows(rows.where("repeated is null"))
+    return single.unionByName(_rows(rows.where("repeated is not null").dropDuplicates(["own"])))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of least id, nulls last; of rows of one id, that of least text hash."""
     own = F.xxhash64(F.col("doc_id"), F.col("text"))
@@ -37,12 +47,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     least = prints.groupBy("fingerprint").agg(F.min(order).alias("first"))
     stay = (least.join(groups, "fingerprint").groupBy("component_id").agg(F.min("first").alias("first"))
             .select(F.col("first.own").alias("own")))
-    rows = docs.select(F.struct("*").alias("row"), own.alias("own")).join(stay.withColumnRenamed("own", "first"), F.col("own") == F.col("first"))
-    # Equal rows have one hash; of those more than one, one stays.
-    many = prints.groupBy("own").count().where("count > 1").select(F.col("own").alias("repeated"))
-    rows = rows.join(many, F.col("own") == F.col("repeated"), "left")
-    single = _rows(rows.where("repeated is null"))
-    return single.unionByName(_rows(rows.where("repeated is not null").dropDuplicates(["own"])))
+    return _staying(docs, own, prints, stay)
+
+
+def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies that the two bits of ``near_duplicates`` leave go too: of each group one document stays, as there."""
+    own = F.xxhash64(F.col("doc_id"), F.col("text"))
+    # A null text is one without words.
+    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    texts = docs.select("doc_id", "text", own.alias("own"), node.alias("node"))
+    stars = components(near_copies.links(texts))
+    prints = texts.drop("text")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("own"))
+    least = prints.groupBy("node").agg(F.min(order).alias("first"))
+    stay = (least.join(stars, F.col("node") == F.col("a"), "left").groupBy(F.coalesce("b", "node").alias("root"))
+            .agg(F.min("first").alias("first")).select(F.col("first.own").alias("own")))
+    return _staying(docs, own, prints, stay)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +88,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
-    ("secrets", secrets), ("tokens", tokens),
+    ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("similar_texts", similar_texts),
+    ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens),
 ]
 
 #: The label model and the merges are no SQL; tests compare the rows with a plain version.

@@ -1,0 +1,87 @@
+"""Near copies against a plain version, and planted ones through the stage."""
+
+import numpy as np
+import pyarrow as pa
+
+import corpus_pipeline
+from tests.llm import brute
+from tests.llm.conftest import SMALL
+from tidegauge.llm import near_copies
+
+
+def shingles(text):
+    w = brute.words((text or "").translate(brute.LOWER))
+    return {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def planted(n, seed=5):
+    """Texts and, of each, a copy with words changed that keeps a similarity of 0.8 or more."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        size = int(rng.integers(60, 600))
+        own = [f"w{x}" for x in rng.zipf(1.3, size) % 5000]
+        copy = list(own)
+        for at in rng.integers(0, size, size):
+            changed = [*copy[:at], f"new{k}x{at}", *copy[at + 1:]]
+            if similarity(" ".join(own), " ".join(changed)) < 0.8:
+                break
+            copy = changed
+        out.append((" ".join(own), " ".join(copy)))
+    return out
+
+
+def test_similarity():
+    texts = [None, "", "a b", "A  b", "a b c d e f", "a b c d e g", "x " * 50] + [t for pair in planted(5) for t in pair]
+    sets, cuts = near_copies.shingle_sets(pa.array(texts))
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            assert near_copies.jaccard(sets[cuts[i]:cuts[i + 1]], sets[cuts[j]:cuts[j + 1]]) == similarity(x, y)
+
+
+def test_planted_recall():
+    pairs = planted(300)
+    one, two = (near_copies.fingerprints(pa.array(x)) for x in zip(*pairs))
+    bits = np.bitwise_count(one ^ two)
+    assert (bits <= 2).mean() < 0.1
+    assert (bits <= near_copies.RADIUS).mean() >= 0.99
+
+
+def test_near_copies_go(spark):
+    pairs = planted(40)
+    apart = [" ".join(f"t{k}x{i}" for i in range(80)) for k in range(20)]
+    texts = [t for pair in pairs for t in pair] + apart
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL) if name in ("near_duplicates", "similar_texts") else docs
+    got = sorted(r.doc_id for r in docs.collect())
+    close = {2 * k + 1 for k, (a, b) in enumerate(pairs)
+             if (brute.fingerprint(a) ^ brute.fingerprint(b)).bit_count() <= near_copies.RADIUS}
+    assert len(close) > 35 and got == [i for i in range(len(texts)) if i not in close]
+
+
+def test_only_similar_texts_are_linked(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "node long, text string")
+    got = [(r.a, r.b) for r in near_copies.links(frame, radius=64, blocks=5).collect()]
+    assert all(similarity(rows[a][1], rows[b][1]) >= 0.8 for a, b in got)
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in got:
+        parent[root(a)] = root(b)
+    sets = [shingles(t) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                assert root(i) == root(j)

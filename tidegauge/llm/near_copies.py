@@ -1,0 +1,171 @@
+"""Near copies: SimHash candidates, kept where the five-word shingles agree.
+
+Distinct texts are dealt over blocks by their hash.  A block is a set of arrays in
+the shared folder, sorted by the number of a text's shingles: fingerprints and
+shingle hashes.  Blocks are compared two at a time and tile by tile, with numpy
+exclusive-or and bit counts, between texts whose numbers of shingles allow the
+similarity.  A pair within ``RADIUS`` bits is a candidate; it is a link if the
+Jaccard similarity of its shingle sets is ``SIMILARITY`` or more.  Candidates of one
+component already are not tested again, so a large group of near copies costs about
+as many tests as it has members in each block.
+
+A null text, like one without words, has one shingle; one of fewer than ``SHINGLE``
+words has all of them as one.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidegauge.llm import hash_arrays
+from tidegauge.llm.batches import buffer_of, encode, gather, lower, pieces, word_spans
+from tidegauge.llm.simhash import _forest, fingerprints
+from tidegauge.session import work_dir
+
+SHINGLE = 5
+SIMILARITY = 0.8
+RADIUS = 14
+TILE = 1024
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the shingles of each row, and the n+1 offsets of the rows."""
+    raw, offsets = buffer_of(texts)
+    raw = lower(raw)
+    starts, ends, rows = word_spans(raw, offsets)
+    codes, distinct = encode(raw, starts, ends)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    words = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
+    n = np.diff(rows)
+    count = np.maximum(n - size + 1, 1)
+    row = np.repeat(np.arange(len(n)), count)
+    first = gather(rows[:-1], count)
+    total = np.zeros(len(first), np.uint64)
+    for k in range(size):  # a short row ends before its shingle does
+        there = first + k < rows[1:][row]
+        word = np.zeros(len(first), np.uint64)
+        word[there] = words[(first + k)[there]] | np.uint64(1)
+        total = (total ^ word) * _P
+        total ^= total >> np.uint64(32)
+    order = np.lexsort((total, row))
+    total, row = total[order], row[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (total[1:] != total[:-1]))[:len(row)]
+    return total[new], np.searchsorted(row[new], np.arange(len(n) + 1))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets."""
+    both = np.sort(np.concatenate((a, b)))
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
+
+
+class _Block:
+    def __init__(self, uri: str, number: int):
+        self.node, self.prints, self.cuts, self.sets = (
+            hash_arrays.load(uri, f"{number}.{name}", kind) for name, kind in (("node", "<i8"), ("prints", "<u8"), ("cuts", "<i8"), ("sets", "<u8")))
+        self.n = np.diff(self.cuts)
+
+    def set_of(self, i: int) -> np.ndarray:
+        return self.sets[self.cuts[i]:self.cuts[i + 1]]
+
+
+def block_links(x: _Block, y: _Block, radius: int, similarity: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two blocks (or within one): a forest of all pairs that pass."""
+    same, at_y = x is y, 0 if x is y else len(x.node)
+    label = np.arange(at_y + len(y.node))
+    a, b = [], []
+    for i0 in range(0, len(x.node), tile):
+        i1 = min(i0 + tile, len(x.node))
+        # Sizes are sorted; a margin of one shingle makes up for rounding.
+        low = int(np.searchsorted(y.n, similarity * x.n[i0] - 1))
+        high = int(np.searchsorted(y.n, x.n[i1 - 1] / similarity + 1, "right"))
+        for j0 in range(max(low, i0) if same else low, high, tile):
+            j1 = min(j0 + tile, high)
+            i, j = np.nonzero(np.bitwise_count(x.prints[i0:i1, None] ^ y.prints[None, j0:j1]) <= radius)
+            i, j = i + i0, j + j0
+            use = (i < j) if same else np.ones(len(i), bool)
+            use &= np.minimum(x.n[i], y.n[j]) >= similarity * np.maximum(x.n[i], y.n[j]) - 1
+            i, j = i[use], j[use]
+            while True:
+                open_ = label[i] != label[j + at_y]
+                i, j = i[open_], j[open_]
+                if not len(i):
+                    break
+                # One pair of each text at a time; those that pass settle most of the others.
+                _, now = np.unique(i, return_index=True)
+                good = [k for k in now.tolist() if jaccard(x.set_of(i[k]), y.set_of(j[k])) >= similarity]
+                if good:
+                    a.append(x.node[i[good]])
+                    b.append(y.node[j[good]])
+                    every = np.arange(len(label))
+                    label = _forest(len(label), np.concatenate((i[good], every)), np.concatenate((j[good] + at_y, label)))
+                rest = np.ones(len(i), bool)
+                rest[now] = False
+                i, j = i[rest], j[rest]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def links(docs: DataFrame, node: str = "node", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY,
+          blocks: int | None = None) -> DataFrame:
+    """(a, b): links that connect all near copies; ``node`` is a hash of the text."""
+    spark = docs.sparkSession
+    uri = hash_arrays.make_folder(work_dir(spark, "blocks"))
+    blocks = blocks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def measure(batches):
+        """Each text that a task sees, once."""
+        seen: set = set()
+        for piece in pieces(batches):
+            node_of = piece.column("node").to_pylist()
+            new = [i for i, x in enumerate(node_of) if not (x in seen or seen.add(x))]
+            if not new:
+                continue
+            piece = piece.take(pa.array(new))
+            sets, cuts = shingle_sets(piece.column("text"))
+            packed = [sets[p:q].tobytes() for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            prints = fingerprints(piece.column("text")).view(np.int64)
+            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(prints), pa.array(packed, pa.binary())], ["node", "prints", "shingles"])
+
+    def save(batches):
+        held: dict = {}
+        for batch in batches:
+            block = batch.column("block").to_pylist()
+            for k, *row in zip(block, *(batch.column(c).to_pylist() for c in ("node", "prints", "shingles")), strict=True):
+                held.setdefault(k, {})[row[0]] = row
+        for k, rows in held.items():
+            rows = sorted(rows.values(), key=lambda r: (len(r[2]), r[0]))
+            node_of, prints, sets = zip(*rows, strict=True)
+            hash_arrays.save(uri, f"{k}.node", np.array(node_of, "<i8"))
+            hash_arrays.save(uri, f"{k}.prints", np.array(prints, "<i8"))
+            hash_arrays.save(uri, f"{k}.cuts", np.concatenate(([0], np.cumsum([len(s) // 8 for s in sets]))).astype("<i8"))
+            hash_arrays.save(uri, f"{k}.sets", np.frombuffer(b"".join(sets), "<u8"))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], ["block"])
+
+    deal = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    measured = docs.select(docs[node].alias("node"), docs[text].cast("string").alias("text")).mapInArrow(
+        measure, "node long, prints long, shingles binary")
+    saved = measured.withColumn("block", deal).repartition(blocks, "block").mapInArrow(save, "block int")
+    there = {r.block for r in saved.collect()}  # the numbers of the blocks
+
+    def compare(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                if k not in there:
+                    continue
+                x = _Block(uri, k)
+                # Each block meets half of the others, so that tasks are even.
+                for step in range(blocks // 2 + 1):
+                    other = (k + step) % blocks
+                    if other not in there or (2 * step == blocks and k > other):
+                        continue
+                    a, b = block_links(x, x if not step else _Block(uri, other), radius, similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return spark.range(0, blocks, 1, blocks).mapInArrow(compare, "a long, b long")
