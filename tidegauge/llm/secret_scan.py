@@ -28,12 +28,16 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Candidates: runs of characters of some encoding.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+# A run with characters of both 64-letter encodings is none of either: its parts are.
+PARTS = (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}")
 LEAST_ASSIGNED = 6
 FALSE_DISCOVERIES = 0.1
 BINS = 20
 # Encodings from the narrowest alphabet to the widest: name, form, alphabet.
 ENCODINGS = (
+    ("digits", "[0-9]+", "0123456789"),
     ("hex", "[0-9a-f]+|[0-9A-F]+", "0123456789abcdef"),
+    ("letters", "[a-z]+|[A-Z]+", "abcdefghijklmnopqrstuvwxyz"),
     ("base32", "[A-Z2-7]+=*", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "[0-9a-z]+|[0-9A-Z]+", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base62", "[A-Za-z0-9]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
@@ -90,12 +94,18 @@ def _normal_tail(z: Column) -> Column:
 def _tests(text: Column) -> Column:
     """Array of the candidates of a text: start, stop, encoding, band and p (of randomness).
 
-    Candidates with characters of one kind (letters of one case, digits) and capitalised
-    words are left out.
+    A run that mixes encodings gives its longest parts of one encoding, which may overlap.
+    Runs without a letter or digit are left out.
     """
     # The matches themselves: cutting each out of the text would pass over the text once a match.
-    found = F.zip_with(_spans(text, CANDIDATE, 3), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda s, token: F.struct(
-        s["start"].alias("start"), s["stop"].alias("stop"), token.alias("token")))
+    def tokens(t: Column, pattern: str, at: Column) -> Column:
+        return F.zip_with(_spans(t, pattern, 3), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda s, token: F.struct(
+            (at + s["start"]).alias("start"), (at + s["stop"]).alias("stop"), token.alias("token")))
+
+    mixed = lambda x: x["token"].rlike("[+/]") & x["token"].rlike("[_-]")
+    whole = tokens(text, CANDIDATE, F.lit(0).cast("long"))
+    found = F.when(F.exists(whole, mixed), F.flatten(F.transform(whole, lambda x: F.when(
+        mixed(x), F.array_union(*[tokens(x["token"], p, x["start"]) for p in PARTS])).otherwise(F.array(x))))).otherwise(whole)
 
     def infer(x: Column) -> Column:
         token = x["token"]
@@ -155,7 +165,7 @@ def _tests(text: Column) -> Column:
                         (F.exp(-h) * (1 + h + h * h / 2)).alias("p"))
 
     kinds = lambda x: sum((x["token"].rlike(c).cast("int") for c in ("[0-9]", "[a-z]", "[A-Z]")), F.lit(0))
-    out = F.filter(F.transform(F.filter(found, lambda x: (kinds(x) >= 2) & ~x["token"].rlike("^[A-Z][a-z]+$")), infer), lambda x: x["encoding"].isNotNull())
+    out = F.filter(F.transform(F.filter(found, lambda x: kinds(x) >= 1), infer), lambda x: x["encoding"].isNotNull())
     for step in (symbols, sums, combine, fisher):
         out = F.transform(out, step)
     return out
@@ -186,7 +196,7 @@ def thresholds(docs: DataFrame, text: str = "text", rate: float = FALSE_DISCOVER
 def scan(docs: DataFrame, limits: dict[tuple[str, int], float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``row``, ``base`` and ``spans``: sorted (start, rank of the kind, stop).
 
-    ``spans`` are those of the fixed forms and the accepted candidates that overlap none of them.
+    ``spans`` are those of the fixed forms and the accepted candidates that do not lie within one of them.
     """
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row"),
@@ -196,7 +206,7 @@ def scan(docs: DataFrame, limits: dict[tuple[str, int], float], text: str = "tex
     if limit is None:
         added = none
     else:
-        clear = lambda x: ~F.exists(F.col("base"), lambda s: (s["start"] < x["stop"]) & (x["start"] < s["stop"]))
+        clear = lambda x: ~F.exists(F.col("base"), lambda s: (s["start"] <= x["start"]) & (x["stop"] <= s["stop"]))
         least = lambda x: F.element_at(limit, F.concat_ws(":", x["encoding"], x["band"].cast("string")))
         accepted = F.filter(_tests(F.col("text")), lambda x: (x["p"] >= least(x)) & clear(x))
         added = F.when(F.col("text").rlike(CANDIDATE), F.transform(accepted, lambda x: F.struct(
