@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import (
-    binary_output, bpe, decontaminate, kneser_ney, language, quality, secret_scan, sharding, simhash, suffix_arrays,
+    binary_output, bpe, decontaminate, jaccard_join, kneser_ney, language, quality, secret_scan, sharding, simhash, suffix_arrays,
 )
 from tidegauge.llm.components import written
 from tidegauge.session import work_dir
@@ -83,16 +83,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(documents(spark, sf_dir), size=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_binary_output, op2_lm_scoring, op3_quality_rules, op4_language_id, op5_byte_bpe, op6_simhash,
-        op7_sharding, op8_decontamination, op9_suffix_arrays, op10_secret_scan)
+        op7_sharding, op8_decontamination, op9_suffix_arrays, op10_secret_scan, op12_jaccard_join)
 }
 
 # The same rows in DuckDB, where SQL can express them.
 _CONTENT = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
+_SPACED = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+           r"'[^\x20\x09-\x0D]+')")
+
 ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": f"""
 with docs as (select doc_id, {_CONTENT} as w from documents),
@@ -111,5 +118,16 @@ named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by i
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs d left join hit using (doc_id) left join named using (doc_id)
+""",
+    "op12_jaccard_join": f"""
+with recursive docs as (select doc_id, {_SPACED} as w from documents),
+sets as (select distinct doc_id, array_to_string(w[p:p + 3], ' ') as gram
+         from docs, unnest(range(1, greatest(len(w) - 2, 2))) r(p) where len(w) > 0),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+pairs as (select x.doc_id as a, y.doc_id as b, count(*) as c from sets x join sets y on x.gram = y.gram and x.doc_id <> y.doc_id group by all),
+links as (select a, b from pairs join sizes s on s.doc_id = a join sizes t on t.doc_id = b where 100 * c >= 85 * (s.n + t.n - c)),
+reach as (select distinct a as first, a as node from links union select first, b from reach join links on a = node)
+select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, least(d.doc_id, min(node)) as component_id
+from docs d left join sizes s on s.doc_id = d.doc_id left join reach on first = d.doc_id group by d.doc_id
 """,
 }
