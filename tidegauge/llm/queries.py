@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import (
-    binary_output, bpe, decontaminate, jaccard_join, kneser_ney, language, quality, secret_scan, sharding, simhash, suffix_arrays,
+    binary_output, bpe, decontaminate, fill_in_middle, jaccard_join, kneser_ney, language, quality, secret_scan, sharding, simhash, suffix_arrays,
 )
 from tidegauge.llm.components import written
 from tidegauge.session import work_dir
@@ -87,10 +87,18 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(documents(spark, sf_dir), size=4, percent=85)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(documents(spark, sf_dir), keep=["doc_id"])
+    text = fill_in_middle.restored(F.col("out.output"), F.col("out.form"))
+    return made.select(
+        "row.doc_id", "out.n", "out.form", "out.prefix_chars", "out.middle_chars",
+        F.sha2(F.col("out.output").cast("binary"), 256).alias("output_sha256"), F.sha2(text.cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_binary_output, op2_lm_scoring, op3_quality_rules, op4_language_id, op5_byte_bpe, op6_simhash,
-        op7_sharding, op8_decontamination, op9_suffix_arrays, op10_secret_scan, op12_jaccard_join)
+        op7_sharding, op8_decontamination, op9_suffix_arrays, op10_secret_scan, op12_jaccard_join, op13_fill_in_middle)
 }
 
 # The same rows in DuckDB, where SQL can express them.
@@ -129,5 +137,27 @@ links as (select a, b from pairs join sizes s on s.doc_id = a join sizes t on t.
 reach as (select distinct a as first, a as node from links union select first, b from reach join links on a = node)
 select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, least(d.doc_id, min(node)) as component_id
 from docs d left join sizes s on s.doc_id = d.doc_id left join reach on first = d.doc_id group by d.doc_id
+""",
+    "op13_fill_in_middle": r"""
+with units as (
+  select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(doc_id::varchar, '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u
+  from documents),
+hashes as (
+  select *, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+         ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from units),
+cuts as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+              when h4 % 100 < 80 then 'spm' else 'psm' end as form from hashes),
+parts as (
+  select *, coalesce(array_to_string(u[1:lo], ''), '') as p, coalesce(array_to_string(u[lo + 1:hi], ''), '') as m,
+         coalesce(array_to_string(u[hi + 1:n], ''), '') as s from cuts)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars,
+       case when form <> 'plain' then length(m) end::bigint as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(p || m || s) as restored_sha256
+from parts
 """,
 }
