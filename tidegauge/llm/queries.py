@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import (
-    binary_output, bpe, decontaminate, fill_in_middle, jaccard_join, kneser_ney, language, quality, secret_scan, sharding, simhash, suffix_arrays,
+    binary_output, bpe, decontaminate, fill_in_middle, jaccard_join, kneser_ney, language, phrases, quality, secret_scan, sharding, simhash, suffix_arrays,
 )
 from tidegauge.llm.components import written
 from tidegauge.session import work_dir
@@ -83,6 +83,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(documents(spark, sf_dir), size=4, percent=85)
 
@@ -98,7 +102,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_binary_output, op2_lm_scoring, op3_quality_rules, op4_language_id, op5_byte_bpe, op6_simhash,
-        op7_sharding, op8_decontamination, op9_suffix_arrays, op10_secret_scan, op12_jaccard_join, op13_fill_in_middle)
+        op7_sharding, op8_decontamination, op9_suffix_arrays, op10_secret_scan, op11_phrase_mining, op12_jaccard_join, op13_fill_in_middle)
 }
 
 # The same rows in DuckDB, where SQL can express them.
@@ -126,6 +130,33 @@ named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by i
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs d left join hit using (doc_id) left join named using (doc_id)
+""",
+    "op11_phrase_mining": r"""
+with split as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from split),
+totals as (select lang, sum(len(w))::bigint as n from words group by lang),
+frequent as (
+  select lang, k, array_to_string(w[p:p + k - 1], ' ') as phrase, count(*) as a
+  from words, unnest(range(1, 5)) s(k), unnest(range(1, len(w) - k + 2)) t(p) group by all having count(*) >= 30),
+parts as (select *, string_split(phrase, ' ') as w from frequent where k > 1),
+cuts as (
+  select x.lang, x.k, x.phrase, x.a, c, l.a as l, r.a as r, (2000000::hugeint * x.a) // (l.a + r.a) as score
+  from (select *, unnest(range(1, k)) as c from parts) x
+  join frequent l on l.lang = x.lang and l.phrase = array_to_string(x.w[1:c], ' ')
+  join frequent r on r.lang = x.lang and r.phrase = array_to_string(x.w[c + 1:x.k], ' ')),
+lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inside as (
+  select lang, array_to_string(w[p:p + m - 1], ' ') as phrase, max(a) as most
+  from parts, unnest(range(2, k)) s(m), unnest(range(1, k - m + 2)) t(p) group by all),
+kept as (
+  select x.* from lowest x left join inside i on i.lang = x.lang and i.phrase = x.phrase
+  where most is null or 100::hugeint * most < 80::hugeint * x.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase,
+       a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from kept join totals using (lang) qualify rank <= 2000
 """,
     "op12_jaccard_join": f"""
 with recursive docs as (select doc_id, {_SPACED} as w from documents),
