@@ -111,7 +111,7 @@ def _total(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
 def _cut(bucket: np.ndarray):
     """(bucket, start, end) of the runs of a sorted array."""
     at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    return zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)
+    return zip(bucket[at].tolist(), at.tolist(), np.append(at, len(bucket))[1:].tolist(), strict=True)
 
 
 def _postings(node: np.ndarray, gram: np.ndarray, classes: np.ndarray, shift: np.uint64):
@@ -167,11 +167,11 @@ def _runs(batches, keys: tuple[str, ...]):
         yield current, held
 
 
-def _spread(size: int, bits: int, dense_from: int, row_type):
+def _spread(size: int, bits: int, dense_from: int):
     """Task: rows with their class and size, the sets of new classes by bucket of the gram, and those classes' sizes."""
-    shift, out = np.uint64(64 - bits), _Out(row_type)
+    shift = np.uint64(64 - bits)
 
-    def flush(nodes, counts, grams):
+    def flush(out, nodes, counts, grams):
         node, n, gram = np.concatenate(nodes), np.concatenate(counts).astype(np.uint64), np.concatenate(grams)
         index = np.repeat(np.arange(len(node)), n.astype(np.int64))
         order = np.argsort(gram)
@@ -200,6 +200,7 @@ def _spread(size: int, bits: int, dense_from: int, row_type):
         seen: set = set()
         nodes, counts, grams, held, dealt = [], [], [], 0, 0
         for piece in pieces(batches):
+            out = _Out(piece.column("row").type)
             sets, cuts = shingle_sets(piece.column("text"), size)
             n = np.diff(cuts)
             view = memoryview(np.ascontiguousarray(sets.astype("<u8"))).cast("B")
@@ -216,24 +217,24 @@ def _spread(size: int, bits: int, dense_from: int, row_type):
                 grams.append(sets[gather(cuts[new], n[new])])
                 held += len(grams[-1])
             if held >= FLUSH:
-                yield from flush(nodes, counts, grams)
+                yield from flush(out, nodes, counts, grams)
                 nodes, counts, grams, held = [], [], [], 0
         if held:
-            yield from flush(nodes, counts, grams)
+            yield from flush(out, nodes, counts, grams)
 
     return run
 
 
-def _count_classes(bits: int, row_type):
+def _count_classes(bits: int):
     """Task: grams of several classes, by bucket of the class; everything else as it is."""
-    shift, out = np.uint64(64 - bits), _Out(row_type)
+    shift = np.uint64(64 - bits)
 
     def run(batches):
         for (kind, _), held in _runs(batches, ("kind", "bucket")):
             if kind != GRAMS:
                 yield from held
                 continue
-            blocks = []
+            blocks, out = [], _Out(held[0].column("row").type)
             for x in (x for b in held for x in b.column("block").to_pylist()):
                 node, steps, place, named = _unpack(x)
                 blocks.append([node[place.astype(np.int64)], np.cumsum(steps, dtype=np.uint64), np.cumsum(named, dtype=np.uint64)])
@@ -389,15 +390,14 @@ def jaccard_links(docs: DataFrame, size: int, percent: int, keep: list[str], tex
     bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     sent = docs.select(docs[text].cast("string").alias("text"), F.struct(*[docs[c] for c in keep]).alias("row"))
     spark_type = sent.schema["row"].dataType.simpleString()
-    row_type = _arrow_type(sent)
     schema = f"kind int, bucket int, block binary, row {spark_type}, node long, n long"
 
-    spread = sent.mapInArrow(_spread(size, bits, dense, row_type), schema)
-    counted = written(spread.repartition(1 << bits, "bucket").sortWithinPartitions("kind", "bucket")
-                      .mapInArrow(_count_classes(bits, row_type), schema), "grams")
+    spread = sent.mapInArrow(_spread(size, bits, dense), schema)
+    counted = written(spread.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("kind", "bucket")
+                      .mapInArrow(_count_classes(bits), schema), "grams")
     rows = counted.where(f"kind = {ROW}").select("row", "node", "n")
     blocks = counted.where(f"kind = {POSTINGS}").select("bucket", "block")
-    classes = written(blocks.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    classes = written(blocks.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(
         _gather_classes(percent), "node long, n long, grams binary, cuts binary, prefix array<long>"), "classes")
 
     prefixes = classes.select("node", F.explode("prefix").alias("gram"))
@@ -413,12 +413,6 @@ def jaccard_links(docs: DataFrame, size: int, percent: int, keep: list[str], tex
     return rows, links
 
 
-def _arrow_type(sent: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(sent.schema["row"].dataType)
-
-
 def roots(rows: DataFrame, links: DataFrame, least) -> DataFrame:
     """(node, root, least): each class with a root of its component and the least value over all its rows."""
     own = rows.where("node is not null").groupBy("node").agg(F.min(least).alias("own"))

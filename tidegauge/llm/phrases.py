@@ -319,11 +319,11 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
     sent = docs.select(docs[text].cast("string").alias("text"), F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"))
     uri = hash_arrays.make_folder(work_dir(spark, "candidates"))
     mined = sent.mapInArrow(_mine(bits, shards), MINED)
-    mined.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    mined.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(
         _frequent_somewhere(uri, bits, support), "n long").agg(F.sum("n")).collect()
     counted = written(sent.mapInArrow(_count(uri, bits), COUNTED), "counts")
     blocks = counted.where("block is not null").select("bucket", "lang", "k", "block")
-    phrases = written(blocks.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "lang", "k").mapInArrow(
+    phrases = written(blocks.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket", "lang", "k").mapInArrow(
         _add_up(support), "lang string, w array<long>, a long"), "phrases")
     totals = counted.where("total is not null").groupBy("lang").agg(F.sum("total").alias("n"))
     words = counted.where("word is not null").groupBy("hash").agg(F.min("word").cast("string").alias("word"))
