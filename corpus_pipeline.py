@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, decontaminate, near_copies, quality, secret_scan, simhash
+from tidegauge.llm import bpe, decontaminate, jaccard_join, quality, secret_scan, simhash
 from tidegauge.llm.components import components, written
 
 
@@ -20,7 +20,7 @@ def _rows(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go.  A null text has no words and is rejected."""
+    """Documents that the rules reject go.  A null or empty text has no words and is rejected; equal rows go or stay together."""
     model = quality.fit_votes(quality.measure(docs, keep=["doc_id"]))
     return _rows(quality.judge(quality.measure(docs), model).where("kept"))
 
@@ -36,43 +36,48 @@ def _staying(docs: DataFrame, own: Column, prints: DataFrame, stay: DataFrame) -
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of least id, nulls last; of rows of one id, that of least text hash."""
+    """One document of each group stays: that of least id, nulls last; of rows of one id, that of least text hash.
+
+    A group is all documents that links of two kinds connect: SimHash fingerprints within
+    ``simhash.RADIUS`` bits, of which few near copies are, and sets of five-word shingles of a
+    Jaccard similarity of 0.8 or more.  Both are exact.  Texts without words, nulls among
+    them, have one fingerprint and so are one group.  Equal rows are one document.
+    """
     own = F.xxhash64(F.col("doc_id"), F.col("text"))
-    prints = written(simhash.with_fingerprint(docs.select("doc_id", "text", own.alias("own")), keep=["doc_id", "own"]).select(
+    keyed = docs.select("doc_id", "text", own.alias("own"))
+    prints = written(simhash.with_fingerprint(keyed, keep=["doc_id", "own"]).select(
         "row.doc_id", "row.own", F.col("out.fingerprint").alias("fingerprint")), "prints")
-    # Groups by the least own hash serve rows without an id as well.
-    groups = simhash.groups(prints.select(F.col("own").alias("doc_id"), "fingerprint"))
+    rows, similar = jaccard_join.jaccard_links(keyed, 5, 80, keep=["own"])
+    classes = rows.where("node is not null").select(F.col("row.own").alias("of"), "node").distinct()
+    # One graph of fingerprints and classes of equal sets, joined by the texts that have both.
+    bits, grams = (lambda c: F.xxhash64(F.lit(0), F.col(c))), (lambda c: F.xxhash64(F.lit(1), F.col(c)))
+    texts = prints.select("own", "fingerprint").distinct().join(classes, F.col("own") == F.col("of"))
+    within = simhash.links(prints.select("fingerprint").distinct())
+    edges = (within.select(bits("a").alias("a"), bits("b").alias("b"))
+             .unionAll(similar.select(grams("a").alias("a"), grams("b").alias("b")))
+             .unionAll(texts.select(bits("fingerprint").alias("a"), grams("node").alias("b")).distinct()))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("own"))
     # Copies are summed up by fingerprint first, so a large group of them is one row in the join.
-    least = prints.groupBy("fingerprint").agg(F.min(order).alias("first"))
-    stay = (least.join(groups, "fingerprint").groupBy("component_id").agg(F.min("first").alias("first"))
-            .select(F.col("first.own").alias("own")))
-    return _staying(docs, own, prints, stay)
-
-
-def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies that the two bits of ``near_duplicates`` leave go too: of each group one document stays, as there."""
-    own = F.xxhash64(F.col("doc_id"), F.col("text"))
-    # A null text is one without words.
-    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    texts = docs.select("doc_id", "text", own.alias("own"), node.alias("node"))
-    stars = components(near_copies.links(texts))
-    prints = texts.drop("text")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("own"))
-    least = prints.groupBy("node").agg(F.min(order).alias("first"))
-    stay = (least.join(stars, F.col("node") == F.col("a"), "left").groupBy(F.coalesce("b", "node").alias("root"))
+    least = prints.groupBy("fingerprint").agg(F.min(order).alias("first")).withColumn("of", bits("fingerprint"))
+    stay = (least.join(components(edges), F.col("of") == F.col("a"), "left").groupBy(F.coalesce("b", "of").alias("root"))
             .agg(F.min("first").alias("first")).select(F.col("first.own").alias("own")))
     return _staying(docs, own, prints, stay)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    A null or empty text holds none; equal rows go or stay together.
+    """
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _rows(found.where(~F.col("out.contaminated")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts, and n_chars follows."""
+    """Secrets are cut out of the texts, and n_chars follows.
+
+    All documents stay.  A null or empty text stays as it is; equal rows stay equal.
+    """
     found = secret_scan.scan(docs, secret_scan.thresholds(docs))
     clean = secret_scan.redact(F.col("row.text"), F.col("spans"))
     changed = F.size("spans") > 0
@@ -81,15 +86,18 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text; decoded_sha256 is over the bytes the ids decode to."""
+    """Token ids of each text; decoded_sha256 is over the bytes the ids decode to.
+
+    A null or empty text has no ids; each of equal rows has its own.
+    """
     keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
     encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep)
     return encoded.select("row.*", "out.n_tokens", "out.ids", "out.ids_sha256", "out.decoded_sha256")
 
 
 STAGES = [
-    ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("similar_texts", similar_texts),
-    ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens),
+    ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("secrets", secrets), ("tokens", tokens),
 ]
 
 #: The label model and the merges are no SQL; tests compare the rows with a plain version.
