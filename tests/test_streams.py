@@ -1,11 +1,13 @@
 import datetime as dt
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tidegauge import schemas
-from tidegauge.operators import hourly, rollup, tables
+from tidegauge.operators import commits, hourly, rollup, tables
 from tidegauge.plans import messages, views
 from tidegauge.session import STREAM_SETTINGS, work_dir
 from tidegauge.streaming import jobs, progress, sinks
@@ -72,11 +74,70 @@ def test_append_writes_closed_windows_once(spark, split_events, tmp_path):
     edge = rows.agg((F.max("time") - F.expr("interval 2 minutes")).alias("edge")).first().edge
     expected = rollup.rollup_sensors(rows, "1 hour").filter(F.col("window_end") <= F.lit(edge))
     assert same(jobs.read_rollups(tables.read_table(spark, run.output), "append"), expected)
-    # The windows it still holds come from the states of the default mode.
-    other = run_at(tmp_path, "deltas")
-    jobs.start_rollup_stream(views.to_sensors(stream(spark, split_events, 8)), other, "1 hour").awaitTermination()
-    closed, current = (jobs.read_rollups(tables.read_table(spark, r.output), m) for r, m in ((run, "append"), (other, "deltas")))
-    assert same(jobs.with_open_windows(closed, current), rollup.rollup_sensors(rows, "1 hour"))
+    # The windows it still holds are written by the same query, and nothing is read again.
+    jobs.close_windows(spark, run, "2024-03-01 00:00:00")
+    query = jobs.start_rollup_stream(views.to_sensors(stream(spark, split_events, 8)), run, "1 hour", mode="append", lateness="2 minutes")
+    query.awaitTermination()
+    found = progress.throughput(progress.progress_frame(spark, query.recentProgress)).first()
+    assert found.total_in == 0 and found.total_dropped_late == 0 and found.total_emitted == found.total_from_windows > 0
+    assert same(jobs.read_rollups(tables.read_table(spark, run.output), "append"), rollup.rollup_sensors(rows, "1 hour"))
+
+
+def test_windows_of_arrival_end_in_silence(spark, split_events, tmp_path):
+    """No message follows, and the windows are written all the same."""
+    run = jobs.Run(str(tmp_path / "r"), str(tmp_path / "c"), every="1 second")
+    query = jobs.start_rollup_stream(views.to_sensors(stream(spark, split_events, 8)), run, "2 seconds", mode="append", clock="processing")
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline:
+            if os.path.isdir(f"{run.output}/_commits"):
+                table = jobs.read_rollups(tables.read_table(spark, run.output, like=EMPTY_ROLLUP(spark), layout=jobs.ROLLUPS, batches=True), "append")
+                if table.agg(F.sum("reading_count")).first()[0] == 1000:
+                    return
+            time.sleep(1)
+        raise AssertionError("the windows were not written")
+    finally:
+        query.stop()
+
+
+def EMPTY_ROLLUP(spark):
+    return rollup.rollup_sensors(batch_sensors(spark), "1 hour").limit(0)
+
+
+@pytest.mark.parametrize("fresh", ["replace", "refuse"])
+def test_fresh_checkpoint_at_the_same_path(spark, split_events, tmp_path, fresh):
+    run = jobs.Run(str(tmp_path / "r"), str(tmp_path / "c"), every=None, fresh=fresh)
+    go = lambda per: jobs.start_rollup_stream(views.to_sensors(stream(spark, split_events, per)), run, "1 day").awaitTermination()
+    go(2)
+    go(2)
+    os.rename(run.checkpoint, run.checkpoint + "-lost")
+    expected = rollup.rollup_sensors(batch_sensors(spark), "1 day")
+    if fresh == "refuse":
+        with pytest.raises(Exception, match="another checkpoint"):
+            go(8)
+    else:
+        go(8)
+        assert tables.read_table(spark, run.output).select("generation").distinct().count() == 1
+    assert same(jobs.read_rollups(tables.read_table(spark, run.output)), expected)
+
+
+def test_a_batch_counts_when_it_is_committed(spark, split_events, tmp_path):
+    """A reader between the rows of a batch and its commit, and a commit that is repeated."""
+    run, seen = run_at(tmp_path), []
+    rows = views.to_sensors(stream(spark, split_events))
+    sink = sinks.table_sink(run.output, tables.LAYOUTS["sensors"], writer=run.writer)
+
+    def write(batch, batch_id):
+        if batch_id:
+            tables.write_batch(batch, batch_id, run.output, tables.LAYOUTS["sensors"], run.writer, commits.query_of(batch))
+            seen.append(tables.read_table(spark, run.output).count())
+        sink(batch, batch_id)
+        sink(batch, batch_id)
+        seen.append(tables.read_table(spark, run.output).count())
+
+    jobs.start(rows, write, run).awaitTermination()
+    assert seen[-1] == 1000 and seen[1::2] == seen[0:-1:2] and len(set(seen)) == 4
+    assert len(os.listdir(f"{run.output}/_commits/{run.writer}")) in (1, 2)  # and its checksum
 
 
 def test_lateness_has_to_be_given(spark, split_events, tmp_path):

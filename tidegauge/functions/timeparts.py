@@ -25,8 +25,16 @@ def _literal(df: DataFrame, column: str, moment: dt.datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast(kind)
 
 
-# The time columns that tables are partitioned by, where a frame has several.
-_PARTITIONED_BY = ("window_start", "hour_window", "alert_time", "timestamp", "time")
+def with_partition_source(df: DataFrame, by: str, time: str) -> DataFrame:
+    """The frame, its partition column ``by`` marked as that of ``time``, and ``time`` as what it is of.
+
+    The marks are column metadata: they stay through filters, projections and joins, and
+    go when a column is replaced by another expression.
+    """
+    for name, mark in ((by, {"partition_of": time}), (time, {"partitioned_by": by})):
+        if name in df.columns:
+            df = df.withMetadata(name, df.schema[name].metadata | mark)
+    return df
 
 
 def _partition(df: DataFrame) -> str | None:
@@ -40,9 +48,14 @@ def _prunes(df: DataFrame, column: str, partition_of: str | None) -> tuple[bool,
 
     Both do for the column the partition is derived from.  A window begins no later
     than it ends, so an upper bound on the end also bounds the start's partition.
+    Where neither the table nor the caller says what the partition is of, nothing holds.
     """
-    source = partition_of or next((c for c in _PARTITIONED_BY if c in df.columns), column)
-    return source == column, source == column or (source == "window_start" and column in ("time", "window_end"))
+    partition = _partition(df)
+    if partition is None:
+        return False, False
+    source = partition_of or df.schema[partition].metadata.get("partition_of")
+    same = source == column and (partition_of is not None or df.schema[column].metadata.get("partitioned_by") == partition)
+    return same, same or (source == "window_start" and column in ("time", "window_end"))
 
 
 def _partition_date(moment: dt.datetime, partition: str) -> Column:
@@ -61,7 +74,7 @@ def time_range(
     pruned by day or month partition if there is one.
 
     ``partition_of`` names the time column that the partition is derived from; by
-    default the start of the window, where the frame has one.
+    default what the table says (``with_partition_source``).
     """
     partition, conditions = _partition(df), []
     below, above = _prunes(df, column, partition_of)

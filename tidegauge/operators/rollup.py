@@ -14,6 +14,7 @@ result does not depend on the order in which tasks finish.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -68,17 +69,22 @@ def rollup_states(
     )
 
 
-def merge_rollups(states: DataFrame, window: str | None = None, key: str = "device_id") -> DataFrame:
-    """Merge stored states, per window or into wider windows that contain them."""
+def merge_rollups(
+    states: DataFrame, window: str | None = None, key: str = "device_id", also: Sequence[str] = (),
+) -> DataFrame:
+    """Merge stored states, per window or into wider windows that contain them.
+
+    ``also`` names columns that follow from the window, such as its day, to group by as well.
+    """
     def merged(name: str) -> Column:
         how = F.max if name.startswith("max_") else F.sum
         if name.startswith("min_") or name == "first_seen":
             how = F.min
         return how(name).alias(name)
 
-    payload = [c for c in states.columns if c not in (key, "window_start", "window_end")]
+    payload = [c for c in states.columns if c not in (key, "window_start", "window_end", *also)]
     if window is None:
-        grouped = states.groupBy(key, "window_start", "window_end").agg(*[merged(c) for c in payload])
+        grouped = states.groupBy(key, "window_start", "window_end", *also).agg(*[merged(c) for c in payload])
         return grouped.select(states.columns)
     grouped = states.groupBy(F.window("window_start", window).alias("window"), key)
     grouped = grouped.agg(*[merged(c) for c in payload])
@@ -92,10 +98,11 @@ def finish_rollup(
     key: str = "device_id",
     with_extremes: bool = False,
     real_usage: bool = False,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """States to sensor rows: ``time`` is the end of the window."""
     count = F.col("reading_count")
-    columns = [F.col(key)]
+    columns = [F.col(key), *map(F.col, also)]
     columns += [F.col(f"first_seen.{name}").alias(name) for name in FIRST_SEEN if name != key]
     columns += ["window_start", "window_end", F.col("window_end").alias("time")]
     mean = lambda name: F.try_divide(F.col(f"sum_{name}"), F.col(f"n_{name}"))
@@ -177,7 +184,7 @@ def _order(df: DataFrame, time: str, seq: str) -> Column:
     return time_order(time, F.col(seq).cast("long") if seq in df.columns else F.coalesce("sensorType", F.lit(1)).cast("long"))
 
 
-def finish_readings(states: DataFrame, with_extremes: bool = False) -> DataFrame:
+def finish_readings(states: DataFrame, with_extremes: bool = False, also: Sequence[str] = ()) -> DataFrame:
     """States of binary readings to the same rows as ``finish_rollup``."""
     sensor, constants = F.col("sensorId"), {**READING_DEFAULTS, **COUNTER_DEFAULTS}
     columns = {
@@ -203,7 +210,7 @@ def finish_readings(states: DataFrame, with_extremes: bool = False) -> DataFrame
             for end in ("min", "max"):
                 known = f"{end}_{name}"
                 columns[known] = F.col(known) if known in states.columns else F.lit(constants[name])
-    return states.select(*[column.alias(name) for name, column in columns.items()])
+    return states.select(*also, *[column.alias(name) for name, column in columns.items()])
 
 
 def rollup_readings(

@@ -43,6 +43,15 @@ def stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last(table, AS_OF, days=7).select("device_id", "window_start", "time", "temperature", "reading_count")
 
 
+@query("c5_stored_projection", f"""select device_id, time, temperature
+  from ({rollup_sql("day")}) where time >= timestamp '{AS_OF}' - interval 7 day""")
+def stored_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where the window's start is projected away before the range: nothing is pruned on a guess."""
+    rolled = rollup.rollup_sensors(views.sensors(spark, sf_dir), "1 day")
+    table = _stored(spark, rolled, "c5-projection", jobs.ROLLUPS).select("device_id", "time", "temperature", "day")
+    return last(table, AS_OF, days=7).drop("day")
+
+
 @query("c5_stored_month_table", over_sensors(f"""
   select seq, hostname, time from cpu where time >= timestamp '{AS_OF}' - interval 7 day"""))
 def stored_month_table(spark: SparkSession, sf_dir: str) -> DataFrame:

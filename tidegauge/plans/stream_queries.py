@@ -13,11 +13,13 @@ from tidegauge.plans import views
 from tidegauge.plans.messages import encode_readings
 from tidegauge.plans.registry import over_metrics, over_sensors, plain_times, query
 from tidegauge.plans.rollup_queries import AVRO_ROWS, HOURLY_SQL, avro_rollup_sql, rollup_sql
-from tidegauge.session import work_dir
+from tidegauge.session import hadoop_path, work_dir
 from tidegauge.streaming import jobs, progress
 from tidegauge.streaming.sinks import append_only_sink, committed, raw_and_alerts_sink
 
 AS_OF = views.AS_OF
+#: After the last event.
+END = "2024-03-01 00:00:00"
 
 
 def run_of(spark: SparkSession, name: str) -> jobs.Run:
@@ -52,11 +54,20 @@ def processing_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _append_rollups(start_job, spark: SparkSession, sf_dir: str, name: str, source, **options) -> DataFrame:
+    """An ``append`` job over a source that ends, and the same query's last windows."""
+    run = run_of(spark, name)
+    start = lambda: start_job(source(spark, sf_dir), run, "1 hour", mode="append", lateness="2 minutes", **options)
+    start().awaitTermination()
+    jobs.close_windows(spark, run, END)
+    start().awaitTermination()  # on its checkpoint: the source has nothing new
+    return jobs.read_rollups(tables.read_table(spark, run.output), "append")
+
+
 @query("h2_event_time_append", rollup_sql("hour"))
 def event_time_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that the watermark has closed, and those still open when the source ends."""
-    closed = _rollups(spark, sf_dir, "h2", "append", "1 hour", lateness="2 minutes")
-    return plain_times(jobs.with_open_windows(closed, _rollups(spark, sf_dir, "h2-open", "deltas", "1 hour")))
+    """Windows that the watermark has closed, and those that ``close_windows`` has."""
+    return plain_times(_append_rollups(jobs.start_rollup_stream, spark, sf_dir, "h2", _sensors))
 
 
 def _in_four_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,13 +210,7 @@ def rollup_job_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h8_rollup_job_append", avro_rollup_sql("hour"))
 def rollup_job_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables_ = {}
-    for mode, lateness in (("append", "2 minutes"), ("deltas", None)):
-        run = run_of(spark, f"h8-{mode}")
-        jobs.start_rollup_job(
-            stream_avro(spark, sf_dir), run, "1 hour", keep=("seq",), mode=mode, lateness=lateness).awaitTermination()
-        tables_[mode] = jobs.read_rollups(tables.read_table(spark, run.output), mode)
-    return plain_times(jobs.with_open_windows(tables_["append"], tables_["deltas"]))
+    return plain_times(_append_rollups(jobs.start_rollup_job, spark, sf_dir, "h8-append", stream_avro, keep=("seq",)))
 
 
 @query("h8_rollup_job_day", avro_rollup_sql("day"))
@@ -325,3 +330,93 @@ def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.read.parquet(path).filter(F.col("run_id") == str(query_.runId))
     totals = progress.throughput(own)
     return totals.select("total_in", "total_dropped_late", "total_emitted")
+
+
+@query("k2_stages_deltas", over_sensors("""
+  select count(*) as total_in, cast(0 as bigint) as total_dropped_late,
+    count(distinct concat(device_id, cast(date_trunc('hour', time) as varchar))) as total_emitted from sensors"""))
+def stages_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default mode, whose states are made in the sink: rows from the source and rows written."""
+    return _throughput_of(spark, sf_dir, "k2-deltas", "deltas").select("total_in", "total_dropped_late", "total_emitted")
+
+
+@query("k2_stages_append", over_sensors("""
+  , w as (select count(distinct concat(device_id, cast(date_trunc('hour', time) as varchar))) as n from sensors)
+  select count(*) as total_in, any_value(n) as total_from_windows, any_value(n) as total_emitted from sensors, w"""))
+def stages_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows from the source, out of the windows, and written, over a job and its last windows."""
+    return _throughput_of(spark, sf_dir, "k2-append", "append", lateness="2 minutes").select(
+        "total_in", "total_from_windows", "total_emitted")
+
+
+def _throughput_of(spark: SparkSession, sf_dir: str, name: str, mode: str, **options) -> DataFrame:
+    run, path = run_of(spark, name), work_dir(spark, f"{name}-progress")
+    table = progress.ProgressTable(spark, path)
+    spark.streams.addListener(table)
+    ids = []
+    try:
+        for _ in range(2 if mode == "append" else 1):
+            query_ = jobs.start_rollup_stream(_sensors(spark, sf_dir), run, "1 hour", mode=mode, **options)
+            query_.awaitTermination()
+            table.wait_for(query_)
+            ids.append(str(query_.runId))
+            if mode == "append":
+                jobs.close_windows(spark, run, END)
+    finally:
+        spark.streams.removeListener(table)
+    own = spark.read.parquet(path).filter(F.col("run_id").isin(ids))
+    return progress.throughput(own)
+
+
+@query("h7_fresh_checkpoint_same_path", rollup_sql("hour"))
+def fresh_checkpoint_same_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checkpoint is lost and the job started again at the same paths: the table has each reading once.
+
+    Before that a batch dies after its rows and before its commit, which no reader sees.
+    """
+    run = run_of(spark, "h7-fresh")
+    jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour").awaitTermination()
+    lost = rollup.rollup_states(views.sensors(spark, sf_dir), "1 hour")
+    tables.write_batch(lost, 9, run.output, jobs.ROLLUPS, run.writer, tables.commits.committed(spark, run.output)[0].generation)
+    files, checkpoint = hadoop_path(spark, run.checkpoint)
+    files.rename(checkpoint, hadoop_path(spark, run.checkpoint + "-lost")[1])
+    jobs.start_rollup_stream(_sensors(spark, sf_dir), run, "1 hour").awaitTermination()
+    return plain_times(jobs.read_rollups(tables.read_table(spark, run.output)))
+
+
+@query("h5_fresh_checkpoint", over_sensors("select seq, device_id, temperature, time from sensors"))
+def append_only_fresh_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of an append-only target after a fresh checkpoint at the same path: the new generation counts."""
+    out, run = work_dir(spark, "h5-fresh"), run_of(spark, "h5-fresh-run")
+    append_rows = lambda df: df.write.mode("append").parquet(f"{out}/rows")
+    append_ledger = lambda df: df.write.mode("append").parquet(f"{out}/ledger")
+    append_ledger(spark.createDataFrame([], "writer string, batch_id long, attempt string"))
+    sink = append_only_sink(append_rows, append_ledger, lambda s: s.read.parquet(f"{out}/ledger"), run.writer)
+    for source in (_in_four_files, _sensors):
+        rows = source(spark, sf_dir).select("seq", "device_id", "temperature", "time")
+        jobs.start(rows, sink, run).awaitTermination()
+        files, checkpoint = hadoop_path(spark, run.checkpoint)
+        files.rename(checkpoint, hadoop_path(spark, f"{run.checkpoint}-lost")[1])
+    return plain_times(committed(spark.read.parquet(f"{out}/rows"), spark.read.parquet(f"{out}/ledger")))
+
+
+@query("f1_merged_compaction", rollup_sql("hour"))
+def merged_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of many batches, merged by two compactions: the stored rows are one a key and window."""
+    run, compact = run_of(spark, "f1-merged"), work_dir(spark, "f1-merged-compact")
+    jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour").awaitTermination()
+    for upto in (1, None):
+        tables.compact_batches(spark, run.output, compact, jobs.ROLLUPS, upto=upto, merge=jobs.merge_states)
+    tables.remove_compacted(spark, run.output, compact)
+    # What is stored needs no merge any more.
+    stored = tables.read_compacted(spark, run.output, compact)
+    return plain_times(rollup.finish_rollup(stored.drop(*tables.BATCH_COLUMNS, "day")))
+
+
+@query("h8_pruned_rollups", f"""select * from ({rollup_sql("hour")}) where window_start >= timestamp '{AS_OF}' - interval 3 day""")
+def pruned_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of windows of a stored roll-up: the folders of other days are neither listed nor merged."""
+    run = run_of(spark, "h8-pruned")
+    jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour").awaitTermination()
+    rolled = jobs.read_rollups(tables.read_table(spark, run.output), day=True)
+    return plain_times(last(rolled, AS_OF, "window_start", days=3).drop("day"))

@@ -1,4 +1,9 @@
-"""Progress of streaming queries as rows."""
+"""Progress of streaming queries as rows.
+
+Rows are counted at three stages: as they come from the source and, where the query
+itself has windows, out of them (``DataFrame.observe`` in the jobs), and as the sink
+writes them (counted there, since a batch's own aggregation runs in the sink).
+"""
 
 from __future__ import annotations
 
@@ -11,17 +16,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.listener import StreamingQueryProgress
 
+from tidegauge.streaming import sinks
+
 PROGRESS = (
     T.StructType()
     .add("query", "string").add("run_id", "string").add("batch_id", "long").add("started", "string")
     .add("rows_in", "long").add("rows_in_per_second", "double").add("rows_processed_per_second", "double")
     .add("batch_millis", "long").add("state_rows", "long").add("rows_emitted", "long")
     .add("rows_dropped_late", "long")
+    .add("rows_from_source", "long").add("rows_from_windows", "long").add("rows_written", "long")
 )
 
 
 def progress_row(progress: StreamingQueryProgress) -> tuple:
     operators = progress.stateOperators
+    observed = {name: row["rows"] for name, row in progress.observedMetrics.items() if name in ("source", "window")}
     return (
         progress.name or str(progress.id), str(progress.runId), progress.batchId, progress.timestamp,
         progress.numInputRows, progress.inputRowsPerSecond, progress.processedRowsPerSecond,
@@ -29,6 +38,7 @@ def progress_row(progress: StreamingQueryProgress) -> tuple:
         sum(o.numRowsTotal for o in operators),
         sum(o.numRowsUpdated for o in operators),
         sum(o.numRowsDroppedByWatermark for o in operators),
+        observed.get("source"), observed.get("window"), sinks.written.get((str(progress.id), progress.batchId)),
     )
 
 
@@ -80,10 +90,15 @@ class ProgressTable(StreamingQueryListener):
 
 
 def throughput(progress: DataFrame) -> DataFrame:
-    """Totals and rates per query."""
+    """Totals and rates per query.
+
+    Emitted are the rows that the sink wrote; of a sink that does not count, the rows of
+    state that changed.
+    """
     return progress.groupBy("query").agg(
-        F.sum("rows_in").alias("total_in"),
-        F.sum("rows_emitted").alias("total_emitted"),
+        F.sum(F.coalesce("rows_from_source", "rows_in")).alias("total_in"),
+        F.sum("rows_from_windows").alias("total_from_windows"),
+        F.sum(F.coalesce("rows_written", "rows_emitted")).alias("total_emitted"),
         F.sum("rows_dropped_late").alias("total_dropped_late"),
         F.try_divide(F.sum("rows_in") * 1000.0, F.sum("batch_millis")).alias("rows_per_second"),
         F.max("state_rows").alias("peak_state_rows"),

@@ -1,9 +1,14 @@
 """Sinks for micro-batches that may be repeated after a failure.
 
-Folder tables take each batch in a folder of its own, which a repeated batch
-replaces.  Targets that can only be appended to (a database without
-transactions) get every attempt tagged and a ledger row when the attempt is
-complete; readers take the rows whose attempt is in the ledger.
+Folder tables take each batch in a folder of its own and then a commit; a batch that
+is not committed is written anew, one that is committed is skipped.  Targets that can
+only be appended to (a database without transactions) get every attempt tagged and a
+ledger row when the attempt is complete; readers take the rows whose attempt is in the
+ledger.
+
+Who writes is a job (``writer``) and a generation of it, the id of the query, which its
+checkpoint keeps.  A job that starts on a fresh checkpoint reads its source anew: its
+new generation replaces the old one for readers, or is refused (``fresh``).
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators import alerting
+from tidegauge.operators import alerting, commits
 from tidegauge.operators.tables import LAYOUTS, Layout, write_batch
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -24,33 +29,58 @@ BatchWriter = Callable[[DataFrame, int], None]
 JDBC_BATCH = 5000
 
 
+#: Rows that this process's sinks have written, by query and batch, until the progress of the batch is taken down.
+written: dict[tuple[str, int], int] = {}
+
+
+def _count(generation: str, batch_id: int, rows: int) -> None:
+    if len(written) > 10_000:  # nobody takes them down
+        written.clear()
+    written[generation, batch_id] = written.get((generation, batch_id), 0) + rows
+
+
 def table_sink(
-    path: str, layout: Layout, shape: Callable[[DataFrame], DataFrame] | None = None, *, writer: str,
+    path: str, layout: Layout, shape: Callable[[DataFrame], DataFrame] | None = None, *, writer: str, fresh: str = "replace",
 ) -> BatchWriter:
-    """Write each micro-batch (after ``shape``) to its folder of the table.
+    """Write each micro-batch (after ``shape``) to its folder of the table, and commit it.
 
-    ``writer`` must differ between queries with a checkpoint each (``Run.writer``).
+    ``writer`` must differ between jobs that write to one table (``Run.writer``).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(shape(batch) if shape else batch, batch_id, path, layout, writer)
+        spark, generation = batch.sparkSession, commits.query_of(batch)
+        if commits.is_committed(spark, path, writer, generation, batch_id):
+            return
+        commits.start_generation(spark, path, writer, generation, fresh)
+        _count(generation, batch_id, write_batch(shape(batch) if shape else batch, batch_id, path, layout, writer, generation))
+        commits.commit(spark, path, writer, generation, batch_id)
 
     return write
 
 
-def raw_and_alerts_sink(path: str, active: Column | None = None, time: str = "timestamp", *, writer: str) -> BatchWriter:
+def raw_and_alerts_sink(
+    path: str, active: Column | None = None, time: str = "timestamp", *, writer: str, fresh: str = "replace",
+) -> BatchWriter:
     """Write the readings and the alerts among them to two tables.
 
     The decoded batch is kept (spilling to disk) between the two writes so that
-    messages are parsed once.  A crash between the writes repeats the batch,
-    and both folders are replaced.
+    messages are parsed once.  Both are committed after the second; a crash before
+    that repeats the batch, and both folders are replaced.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, generation = batch.sparkSession, commits.query_of(batch)
+        names = [n for n in ("sensor_raw_data", "sensor_alerts")
+                 if not commits.is_committed(spark, f"{path}/{n}", writer, generation, batch_id)]
+        if not names:
+            return
+        for name in names:
+            commits.start_generation(spark, f"{path}/{name}", writer, generation, fresh)
         rows = (batch if active is None else batch.filter(active)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            write_batch(rows, batch_id, f"{path}/sensor_raw_data", LAYOUTS["sensor_raw_data"], writer)
-            alerts = alerting.alert_rows(rows, time)
-            alerts = alerts.withColumn("processing_time", F.current_timestamp())
-            write_batch(alerts, batch_id, f"{path}/sensor_alerts", LAYOUTS["sensor_alerts"], writer)
+            for name in names:
+                out = rows if name == "sensor_raw_data" else alerting.alert_rows(rows, time).withColumn("processing_time", F.current_timestamp())
+                _count(generation, batch_id, write_batch(out, batch_id, f"{path}/{name}", LAYOUTS[name], writer, generation))
+            for name in names:
+                commits.commit(spark, f"{path}/{name}", writer, generation, batch_id)
         finally:
             rows.unpersist()
 
@@ -65,16 +95,22 @@ def append_only_sink(
 ) -> BatchWriter:
     """Effectively-once writes to a target that knows only appends.
 
-    Rows and ledger are tagged with writer, batch and attempt.  A batch of this
-    writer that is already in the ledger is skipped.  Rows of an attempt that died
-    half-way stay behind but are never in the ledger.
+    Rows and ledger are tagged with writer (the job, a number and its generation),
+    batch and attempt.  A batch of this generation that is already in the ledger is
+    skipped.  Rows of an attempt that died half-way stay behind but are never in the
+    ledger; those of an older generation are, and ``committed`` leaves them out.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if not read_ledger(spark).filter((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).isEmpty():
+        spark, generation = batch.sparkSession, commits.query_of(batch)
+        ledger = read_ledger(spark).filter(F.col("writer").startswith(f"{writer}:"))
+        known = sorted(r.writer for r in ledger.select("writer").distinct().collect())  # one a generation
+        own = next((w for w in known if w.endswith(f":{generation}")), None)
+        if own is None:
+            own = f"{writer}:{len(known) + 1:06d}:{generation}"
+        elif not ledger.filter((F.col("writer") == own) & (F.col("batch_id") == batch_id)).isEmpty():
             return
         attempt = uuid.uuid4().hex
-        tags = {"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("long"), "attempt": F.lit(attempt)}
+        tags = {"writer": F.lit(own), "batch_id": F.lit(batch_id).cast("long"), "attempt": F.lit(attempt)}
         append_rows(batch.withColumns(tags))
         append_ledger(spark.range(1).select(*[column.alias(name) for name, column in tags.items()]))
 
@@ -82,8 +118,9 @@ def append_only_sink(
 
 
 def committed(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows of completed attempts, one attempt per writer and batch."""
-    chosen = ledger.groupBy("writer", "batch_id").agg(F.min("attempt").alias("attempt"))
+    """Rows of completed attempts, one attempt per batch of each job's newest generation."""
+    newest = ledger.groupBy(F.substring_index("writer", ":", 1).alias("job")).agg(F.max("writer").alias("writer")).drop("job")
+    chosen = ledger.join(newest, "writer", "left_semi").groupBy("writer", "batch_id").agg(F.min("attempt").alias("attempt"))
     return rows.join(chosen, ["writer", "batch_id", "attempt"], "left_semi").drop("writer", "batch_id", "attempt")
 
 
