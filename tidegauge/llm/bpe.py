@@ -2,13 +2,20 @@
 
 Each distinct pre-token of a batch is a group of (word, position, id) rows.  A
 recursive query joins neighbouring positions to the merge table and contracts each
-word's leftmost pair of least rank, until no word has a pair left.  Decoding joins
-ids to the vocabulary and concatenates the bytes in an ordered aggregate.
+word's leftmost pair of least rank, until no word has a pair left.  Its table is keyed
+by word and position, so a round replaces the rows it changes and memory does not grow
+with the number of rounds.  Decoding joins ids to the vocabulary and concatenates the
+bytes in an ordered aggregate.
 
-Every partition is encoded on its own, without a shuffle, so a lost executor costs
-the repetition of its tasks and nothing else.  Pre-tokens over ``LONG`` bytes (a
-text without spaces may be one) would need a round per contraction; the same rule
-is applied to them with a heap.
+A text without spaces may be one long pre-token; what keeps its rounds few is this.  A
+contraction that gives no pair of a lower rank leaves those further right that make the
+same token next in turn, so all up to the first that does give one are contracted in the
+same round; in a row of overlapping pairs that is every other.
+
+A query takes words of ``QUERY_BYTES``, which bounds its memory; one longer word is a
+query of its own.  Every partition
+is encoded on its own, without a shuffle, so a lost executor costs the repetition of its
+tasks and nothing else.
 
 Null and empty texts have no ids; an unknown id in decoding raises.
 """
@@ -17,7 +24,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from functools import lru_cache
 
 import duckdb
@@ -29,29 +35,51 @@ from pyspark.sql import DataFrame
 from tidegauge.llm.batches import annotate, gather
 from tidegauge.llm.segments import SegmentCache, segment
 
-LONG = 200
-#: Words in one query, which bounds its memory.
-WORDS = 10_000
+#: Bytes of the words in one query.
+QUERY_BYTES = 256 << 10
 
-# A row is a token: its position, the position after it, its id and the id that follows.
+# A row is a token: its position, the position after it, its id (-1: contracted away) and
+# the id that follows (-1: none).  ``t`` has the rows changed last, ``recurring.t`` all.
 ENCODE = """
-with recursive t(w, pos, after, id, following, step) as (
-  select w, pos, pos + 1, id, lead(id) over (partition by w order by pos), 0 from start
-  union all
-  select t.w, t.pos,
-         case when t.pos = b.chosen then gone.after else t.after end,
-         case when t.pos = b.chosen then b.new_id else t.id end,
-         case when t.pos = b.chosen then gone.following when t.after = b.chosen then b.new_id else t.following end,
-         t.step + 1
-  from t
-  join (select w, ((best >> 16) & 65535)::int as chosen, (best & 65535)::int as removed, (best >> 32)::int as new_id
-        from (select t.w, min((m.new_id::bigint << 32) + (t.pos << 16) + t.after) as best
-              from t join merges m on m.first_id = t.id and m.second_id = t.following group by t.w)) b using (w)
-  left join t gone on gone.w = t.w and gone.pos = b.removed and t.pos = b.chosen
-  where t.pos <> b.removed)
-select w, list(id order by pos) as ids
-from t join (select w, max(step) as step from t group by w) using (w, step)
-group by w order by w
+with recursive t(w, pos, after, id, following) using key (w, pos) as (
+  select w, pos, pos + 1, id, lead(id, 1, -1) over (partition by w order by pos) from start
+  union
+  (with pairs as (
+     select r.w, r.pos, r.after, m.new_id, m.safe, min(m.new_id) over (partition by r.w) as best
+     from recurring.t r join merges m on m.first_id = r.id and m.second_id = r.following
+     where r.w in (select w from t)),
+   least as (
+     select w, pos, after, new_id, safe,
+            case when lag(after) over (partition by w order by pos) = pos then 0 else 1 end as begins
+     from pairs where new_id = best),
+   runs as (select *, sum(begins) over (partition by w order by pos) as run from least),
+   apart as (
+     select w, pos, after, new_id, safe
+     from (select *, row_number() over (partition by w, run order by pos) as k from runs) where k % 2 = 1),
+   beside as (
+     select a.w, a.pos, a.new_id, case when q.pos is null then l.id else a.new_id end as before, s.following as next
+     from apart a join recurring.t s on s.w = a.w and s.pos = a.after
+     left join recurring.t l on l.w = a.w and l.after = a.pos and l.id >= 0
+     left join apart q on q.w = a.w and q.after = l.pos
+     where not a.safe),
+   stop as (
+     select b.w, min(b.pos) as pos from beside b
+     where exists (select 1 from merges m where m.first_id = b.before and m.second_id = b.new_id and m.new_id < b.new_id)
+        or exists (select 1 from merges m where m.first_id = b.new_id and m.second_id = b.next and m.new_id < b.new_id)
+     group by b.w),
+   chosen as (
+     select a.w, a.pos, a.after, a.new_id from apart a left join stop using (w) where stop.pos is null or a.pos <= stop.pos),
+   first as (
+     select r.w, r.pos, r.after as second, c.new_id from recurring.t r join chosen c on c.w = r.w and c.pos = r.pos)
+   select x.w, x.pos, s.after, x.new_id, case when n.pos is null then s.following else x.new_id end
+   from first x join recurring.t s on s.w = x.w and s.pos = x.second left join chosen n on n.w = x.w and n.pos = s.after
+   union all
+   select w, second, second, -1, -1 from first
+   union all
+   select r.w, r.pos, r.after, r.id, c.new_id
+   from recurring.t r join chosen c on c.w = r.w and c.pos = r.after
+   where r.id >= 0 and not exists (select 1 from chosen q where q.w = r.w and q.after = r.pos)))
+select w, list(id order by pos) as ids from t where id >= 0 group by w order by w
 """
 
 DECODE = """
@@ -74,8 +102,12 @@ class Codec:
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t))
                  if t[:i] in self.ranks and t[i:] in self.ranks]
         first, second, new = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self._load("merges", {"first_id": first, "second_id": second, "new_id": new})
+        # Whether no token of a lower rank has the token made as a part.
+        above = np.full(max(self.ranks.values()) + 1, np.iinfo(np.int32).max, np.int32)
+        for part in (first, second):
+            np.minimum.at(above, part, new)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self._load("merges", {"first_id": first, "second_id": second, "new_id": new, "safe": above[new] > new})
         self._load("vocabulary", {"id": np.fromiter(self.ranks.values(), np.int32), "hex": [t.hex() for t in self.ranks]})
         self.known = np.zeros(max(self.ranks.values()) + 1, bool)
         self.known[list(self.ranks.values())] = True
@@ -95,47 +127,30 @@ class Codec:
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word, which is not split further."""
-        out: list = [None] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if (whole := self.ranks.get(w)) is not None:
-                out[i] = np.array([whole], np.int32)
-            elif len(w) > LONG:
-                out[i] = self._by_heap(w)
-            else:
-                short.append(i)
-        for at in range(0, len(short), WORDS):
-            chunk = short[at:at + WORDS]
-            lengths = np.fromiter((len(words[i]) for i in chunk), np.int64, len(chunk))
-            flat = np.frombuffer(b"".join(words[i] for i in chunk), np.uint8)
+        out: list = [np.array([self.ranks[w]], np.int32) if w in self.ranks else None for w in words]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._contract([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        out: list = []
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        at = 0
+        while at < len(words):
+            before = int(ends[at - 1]) if at else 0
+            end = max(int(np.searchsorted(ends, before + QUERY_BYTES, "right")), at + 1)
+            own = lengths[at:end]
             got = self._query(ENCODE, "start", {
-                "w": np.repeat(np.arange(len(chunk), dtype=np.int32), lengths),
-                "pos": gather(np.zeros(len(chunk), np.int64), lengths).astype(np.int32),
-                "id": self.byte_ids[flat]})["ids"].combine_chunks()
+                "w": np.repeat(np.arange(end - at, dtype=np.int32), own),
+                "pos": gather(np.zeros(end - at, np.int64), own).astype(np.int32),
+                "id": self.byte_ids[np.frombuffer(b"".join(words[at:end]), np.uint8)]})["ids"].combine_chunks()
             values, cuts = got.values.to_numpy(), got.offsets.to_numpy()
-            for k, i in enumerate(chunk):
-                out[i] = values[cuts[k]:cuts[k + 1]]
+            out += [values[cuts[k]:cuts[k + 1]] for k in range(end - at)]
+            at = end
         return out
 
-    def _by_heap(self, word: bytes) -> np.ndarray:
-        parts: list = [word[i:i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        pair = lambda i: self.ranks.get(parts[i] + parts[after[i]]) if after[i] < len(word) else None
-        heap = [(r, i) for i in range(len(parts)) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if parts[i] is None or pair(i) != r:
-                continue
-            j = after[i]
-            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            for k in (i, before[i]):
-                if k >= 0 and (r := pair(k)) is not None:
-                    heapq.heappush(heap, (r, k))
-        return np.array([self.ranks[p] for p in parts if p is not None], np.int32)
-
     def decode(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
         """Bytes of groups of ids; ``cuts`` are the n+1 offsets of the groups."""
         if len(ids) and (ids.max() >= len(self.known) or not self.known[ids].all()):
