@@ -54,13 +54,16 @@ def bpe_rows(rows):
     return out
 
 
-def kneser_ney(train, texts):
+def kneser_ney(train, texts, order=3):
     """op2: (n_tokens, n_known, N, base, score) of each text, with dictionaries."""
     tokens = lambda t: [*words((t or "").translate(LOWER)), None]
     seqs = [tokens(t) for t in train]
     count = Counter(w for s in seqs for w in s)
     total, vocabulary = sum(count.values()), len(count)
-    pairs = Counter(p for s in seqs for p in zip(["<s>"] + [("w", w) for w in s[:-1]], s))
+
+    def padded(s, k):
+        s = ["<s>"] * (k - 1) + [("w", w) for w in s]
+        return [tuple(s[i:i + k]) for i in range(len(s) - k + 1)]
 
     def discounts(values):
         n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
@@ -71,39 +74,40 @@ def kneser_ney(train, texts):
             out.append(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) if a and b else min(y, float(k)))
         return out
 
-    kinds = Counter(w for _, w in pairs)
-    beyond = {}
-    d2, d1 = discounts(pairs.values()), discounts(kinds.values())
-    context, types = Counter(), {}
-    for (a, _), n in pairs.items():
-        context[a] += n
-        types.setdefault(a, []).append(n)
-    t = len(pairs)
-
-    left = sum(d1[min(k, 3)] for k in kinds.values()) / max(t, 1)
-
-    def word(w):
-        if not t:
-            return 1.0
-        k = kinds.get(w, 0)
-        return max(k - d1[min(k, 3)], 0) / t + left / (vocabulary + 1)
-
-    def bigram(a, w):
-        if a not in context:
-            return word(w)
-        c = pairs.get((a, w), 0)
-        back = beyond.get(a)
-        if back is None:
-            back = beyond[a] = sum(d2[min(n, 3)] for n in types[a]) / context[a]
-        return max(c - d2[min(c, 3)], 0) / context[a] + back * word(w)
+    grams = {order: Counter(g for s in seqs for g in padded(s, order))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    d = {k: discounts(g.values()) for k, g in grams.items()}
+    sums, types = {k: Counter() for k in grams}, {k: {} for k in grams}
+    for k, g in grams.items():
+        for x, n in g.items():
+            sums[k][x[:-1]] += n
+            types[k].setdefault(x[:-1], []).append(n)
+    left = sum(d[1][min(n, 3)] for n in grams[1].values())
+    backs = {}
+
+    def probability(gram):
+        k = len(gram)
+        if k == 1:
+            if not grams[1]:
+                return 1.0
+            n, whole = grams[1].get(gram, 0), sum(sums[1].values())
+            return max(n - d[1][min(n, 3)], 0) / whole + left / whole / (vocabulary + 1)
+        lower, context = probability(gram[1:]), gram[:-1]
+        if context not in sums[k]:
+            return lower
+        n = grams[k].get(gram, 0)
+        if (k, context) not in backs:
+            backs[k, context] = sum(d[k][min(x, 3)] for x in types[k][context]) / sums[k][context]
+        return max(n - d[k][min(n, 3)], 0) / sums[k][context] + backs[k, context] * lower
 
     out = []
     for text in texts:
         s = tokens(text)
         base = sum(math.log10((count.get(w, 0) + 0.1) / (total + 0.1 * (vocabulary + 1))) for w in s)
-        score = sum(math.log10(bigram(a, w)) for a, w in zip(["<s>"] + [("w", x) for x in s[:-1]], s))
+        score = sum(math.log10(probability(g)) for g in padded(s, order))
         out.append((len(s), sum(count.get(w, 0) > 0 for w in s), total, base, score))
-    return out, (count, bigram)
+    return out, (count, probability)
 
 
 def quality(text):

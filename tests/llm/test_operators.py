@@ -1,6 +1,7 @@
 """Every operator against its plain version, on the small table and hard cases."""
 
 import hashlib
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import SMALL, by_id
 from tidegauge.llm import (
-    binary_output, bpe, components, decontaminate, kneser_ney, language, quality, secret_scan, sharding, simhash, suffix_arrays,
+    binary_output, bpe, components, decontaminate, hash_arrays, kneser_ney, language, quality, secret_scan, sharding, simhash, suffix_arrays,
 )
 from tidegauge.session import work_dir
 
@@ -121,19 +122,32 @@ class TestByteBpe:
 
 
 class TestKneserNey:
-    def test_against_plain(self, spark, docs, rows):
-        model = kneser_ney.train(docs.where(~kneser_ney.held_out()), work_dir(spark, "t"), bits=3)
+    @pytest.mark.parametrize("order", [2, 3, 4])
+    def test_against_plain(self, spark, docs, rows, order):
+        model = kneser_ney.train(docs.where(~kneser_ney.held_out()), work_dir(spark, "t"), bits=3, order=order)
         got = plain(kneser_ney.score(docs, model, keep=["doc_id"]).select("row.doc_id", "out.*"))
-        want, _ = brute.kneser_ney([t for d, t in rows if not brute.held_out(d, 10)], [t for _, t in rows])
+        want, _ = brute.kneser_ney([t for d, t in rows if not brute.held_out(d, 10)], [t for _, t in rows], order)
         want = by_id([(d, *w) for (d, _), w in zip(rows, want)])
         for g, w in zip(got, want, strict=True):
             assert g[:4] == w[:4]
             assert g[4] == pytest.approx(w[4], rel=1e-9) and g[5] == pytest.approx(w[5], rel=1e-9)
 
-    def test_sums_to_one(self):
-        _, (count, bigram) = brute.kneser_ney(["a b a c", "b b c d a", "a b", "d d d a b c"], [])
-        for context in ("<s>", ("w", "a"), ("w", "unseen")):
-            assert sum(bigram(context, w) for w in [*count, "new"]) == pytest.approx(1)
+    @pytest.mark.parametrize("order", [2, 3, 4])
+    def test_sums_to_one(self, order):
+        _, (count, probability) = brute.kneser_ney(["a b a c", "b b c d a", "a b", "d d d a b c"], [], order)
+        for context in itertools.product(("<s>", ("w", "a"), ("w", "b"), ("w", "unseen")), repeat=order - 1):
+            assert sum(probability((*context, ("w", w))) for w in [*count, "new"]) == pytest.approx(1)
+
+    def test_a_longer_order_tells_more(self, spark):
+        docs = spark.createDataFrame([(i, "one two three four five six " * 3) for i in range(30)] + [
+            (i + 50, "two one four three six five " * 3) for i in range(30)], "doc_id long, text string")
+        scores = []
+        for order in (2, 3):
+            model = kneser_ney.train(docs, work_dir(spark, "t"), order=order)
+            scores.append(kneser_ney.score(docs, model).agg(F.sum("out.score")).first()[0])
+        assert scores[1] > scores[0]
+        with pytest.raises(ValueError, match="two or more"):
+            kneser_ney.train(docs, work_dir(spark, "t"), order=1)
 
     def test_beats_the_base_on_held_out(self, spark):
         docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -146,9 +160,27 @@ class TestKneserNey:
         assert kneser_ney.score(docs, model).agg(F.sum(F.abs("out.score"))).first()[0] == 0
 
     def test_blocks_round_trip(self):
-        cols = [np.array([1, 2**48 - 1], np.uint64), np.array([5, 700]), np.array([0, 2**40])]
-        for a, b in zip(cols, kneser_ney._unpack(kneser_ney._pack(cols), 3), strict=True):
-            assert (a == b).all()
+        rng = np.random.default_rng(6)
+        words = [rng.integers(0, 2**48, 200).astype(np.uint64)[rng.integers(0, 200, 900)] for _ in range(3)]
+        n, bucket = rng.integers(1, 2**40, 900), rng.integers(0, 5, 900).astype(np.int32)
+        found = []
+        for b, block in kneser_ney._blocks(bucket, words, n):
+            own, counts = kneser_ney._grams([block])
+            found += zip([b] * len(counts), *(w.tolist() for w in own), counts.tolist(), strict=True)
+        assert sorted(found) == sorted(zip(bucket.tolist(), *(w.tolist() for w in words), n.tolist(), strict=True))
+
+    def test_tables(self, spark):
+        """Counts of any size, beyond a byte and beyond 32 bits, and keys that are not there."""
+        rng = np.random.default_rng(7)
+        keys = np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64))
+        values = [rng.choice([0, 1, 254, 255, 256, 2**33], len(keys)) for _ in range(2)]
+        uri = hash_arrays.make_folder(work_dir(spark, "t"))
+        kneser_ney._save_table(uri, "x", keys[::2], [v[::2] for v in values])
+        there = np.arange(len(keys)) % 2 == 0
+        for got, want in zip(kneser_ney._find_in(uri, "x", keys, 2), values, strict=True):
+            assert (got == np.where(there, want, 0)).all()
+        kneser_ney._save_table(uri, "none", keys[:0], [keys[:0].astype(np.int64)])
+        assert not kneser_ney._find_in(uri, "none", keys, 1)[0].any()
 
 
 class TestQuality:

@@ -1,21 +1,23 @@
-"""Interpolated modified Kneser-Ney scores from memory-mapped hash arrays.
-
-Counting is in Spark.  Each task counts the word pairs of its documents and sends
-them, packed, to buckets of the pair's hash; a bucket is merged, written as a sorted
-array of hashes with counts, and passes on what its pairs say about their first
-words (as contexts) and second words (as continuations), again packed and bucketed.
-A hot word is pre-summed by every task and bucket, so nothing gathers its pairs.
-
-The model is a folder of arrays: per bucket the sorted 64-bit hashes of pairs and
-their counts, and the sorted 48-bit hashes of words and their sums.  Workers map
-these files into memory, look up the distinct words of a batch and its sorted pairs,
-and so touch each page once per batch.  Only a dozen sums come to the driver.
-
-The order is two.  A third would add a shuffle and arrays of nearly every token of
-the corpus (see the README for figures).
-
-Texts are lower-cased in A-Z; tokens are the words and one end.  A null text counts
-as empty and has the end only.  Without training tokens every score is 0.
+"""Interpolated modified Kneser-Ney scores of any order from memory-mapped hash arrays.
+
+Counting is in Spark.  Each task counts the grams of ``order`` words of its documents and
+sends them, packed, to buckets of their context (all words but the last).  A bucket adds
+them up and writes two sorted arrays of hashes, grams with their counts and contexts with
+their sums; and it passes each gram on without its first word, once, to the buckets of the
+next order, whose counts are these continuations.  So it goes down to two words.  A hot
+word or context is pre-summed by every task and bucket.
+
+The model is a folder of arrays.  Hashes are kept by 44 bits a bucket, counts in one byte
+with a list of the larger ones beside it.  Workers map the files into memory and look up
+the distinct grams of a batch.  Only a dozen sums an order come to the driver.
+
+Words are known by 48-bit hashes (see the README for the error that this and the 44 bits
+make).
+
+Texts are lower-cased in A-Z; tokens are the words and one end, after ``order`` - 1
+starts.  A null text counts as empty and has the end only.  Repeated rows count each time.
+Without training tokens every score is 0.  Columns kept are in a struct, so no name can
+clash.
 """
 
 from __future__ import annotations
@@ -24,16 +26,19 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import hash_arrays
 from tidegauge.llm.components import written
 from tidegauge.llm.batches import annotate, buffer_of, encode, lower, pieces, row_sums, word_spans
+from tidegauge.llm.jaccard_join import _pack, _runs, _steps, _unpack
 
-_HALF = np.uint64((1 << 48) - 1)
+ORDER = 3
+#: Grams that a task holds before it sends them on.
+FLUSH = 3_000_000
 
 
 def _hash48(word: bytes) -> int:
@@ -64,76 +69,52 @@ def _tokens(texts: pa.Array):
     return np.append(hashes, np.array([END, START], np.uint64)), closed, rows + np.arange(len(rows))
 
 
-def _pairs(codes: np.ndarray, rows: np.ndarray, start_code: int) -> np.ndarray:
-    """The code before each token."""
-    before = np.empty_like(codes)
-    before[1:] = codes[:-1]
-    before[rows[:-1]] = start_code
-    return before
-
-
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of numbers as one compressed block; 48-bit hashes take six bytes."""
-    head, body = [], []
-    for c in columns:
-        if c.dtype == np.uint64:
-            body.append(c.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
-            head.append(6)
-        else:
-            small = np.uint8 if not len(c) or c.max() < 256 else np.uint32 if c.max() < 2**32 else np.int64
-            body.append(c.astype(small).tobytes())
-            head.append(np.dtype(small).itemsize)
-    return bytes(head) + zstandard.compress(b"".join(body), 1)
-
-
-def _unpack(block: bytes, columns: int) -> list[np.ndarray]:
-    head, body = block[:columns], zstandard.decompress(block[columns:])
-    n, at, out = len(body) // sum(head), 0, []
-    for size in head:
-        data = np.frombuffer(body, np.uint8, n * size, at)
-        at += n * size
-        if size == 6:
-            full = np.zeros((n, 8), np.uint8)
-            full[:, :6] = data.reshape(6, n).T
-            out.append(full.view(np.uint64).reshape(-1))
-        else:
-            out.append(data.view({1: np.uint8, 4: np.uint32, 8: np.int64}[size]).astype(np.int64))
+def _before(words: np.ndarray, rows: np.ndarray, back: int, start) -> np.ndarray:
+    """The value ``back`` places before each token of its row, or the start."""
+    out = np.full(len(words), start, words.dtype)
+    out[back:] = words[:-back] if back else words
+    first = np.repeat(rows[:-1], np.diff(rows))
+    out[np.arange(len(words)) - first < back] = start
     return out
 
 
-def _merge(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Sorted distinct keys, summed columns, and for each key one of its rows."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], [np.add.reduceat(c[order], at) if len(at) else c for c in columns], order[at]
+def _hash_of(words: list[np.ndarray]) -> np.ndarray:
+    out = np.full(len(words[0]), 0x243F6A8885A308D3, np.uint64)
+    for w in words:
+        out = _mix(out, w)
+    return out
 
 
-def _blocks(bucket: np.ndarray, columns: list[np.ndarray]):
-    """(bucket, block) of rows, by bucket."""
-    order = np.argsort(bucket, kind="stable")
-    sorted_ = bucket[order]
-    at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(order) else []
-    for a, b in zip(at, [*at[1:], len(order)], strict=True):
-        rows = order[a:b]
-        yield int(sorted_[a]), _pack([c[rows] for c in columns])
-
-
-def _by_bucket(batches):
-    """Runs of rows (already sorted) of one bucket: (bucket, blocks)."""
-    current, blocks = None, []
-    for batch in batches:
-        for b, x in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
-            if b != current and blocks:
-                yield current, blocks
-                blocks = []
-            current = b
-            blocks.append(x)
-    if blocks:
-        yield current, blocks
-
-
-def _rows(kind: str, items, stats: str = ""):
+def _summed(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct grams, their hashes (sorted) and sums."""
+    key = _hash_of(words)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return [w[order][at] for w in words], key[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _blocks(bucket: np.ndarray, words: list[np.ndarray], n: np.ndarray):
+    """(bucket, block) of grams: the words of a block are numbered, and grams sorted by them."""
+    order = np.lexsort((*words[::-1], bucket))
+    bucket, words, n = bucket[order], [w[order] for w in words], n[order]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    for a, b in zip(at.tolist(), np.append(at, len(bucket))[1:].tolist(), strict=True):
+        own, place = np.unique(np.concatenate([w[a:b] for w in words]), return_inverse=True)
+        yield int(bucket[a]), _pack(_steps(own), n[a:b], *place.reshape(len(words), -1))
+
+
+def _grams(blocks: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    words, counts = [], []
+    for block in blocks:
+        steps, n, *places = _unpack(block)
+        own = np.cumsum(steps, dtype=np.uint64)
+        words.append([own[p.astype(np.int64)] for p in places])
+        counts.append(n.astype(np.int64))
+    return [np.concatenate(c) for c in zip(*words, strict=True)], np.concatenate(counts)
+
+
+def _rows(kind: str, items, stats: str = "") -> pa.RecordBatch:
     buckets, blocks = zip(*items, strict=True) if (items := list(items)) else ((), ())
     return pa.RecordBatch.from_arrays(
         [pa.array([kind] * len(buckets), pa.string()), pa.array(buckets, pa.int32()), pa.array(blocks, pa.binary()),
@@ -142,86 +123,148 @@ def _rows(kind: str, items, stats: str = ""):
 
 SCHEMA = "kind string, bucket int, block binary, stats string"
 
+# A table: hashes by 12 bits (offsets) and the 32 after those; numbers by a byte, 255 for those in a list.
+_SCATTER = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _save_table(uri: str, name: str, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+    scattered = keys * _SCATTER
+    order = np.argsort(scattered)
+    short = scattered[order] >> np.uint64(20)
+    hash_arrays.save(uri, f"{name}.offsets", np.searchsorted(short >> np.uint64(32), np.arange(4097)).astype("<i8"))
+    hash_arrays.save(uri, f"{name}.keys", (short & np.uint64(0xFFFFFFFF)).astype("<u4"))
+    for i, c in enumerate(columns):
+        c = c[order]
+        large = np.flatnonzero(c >= 255)
+        hash_arrays.save(uri, f"{name}.{i}", np.minimum(c, 255).astype("u1"))
+        hash_arrays.save(uri, f"{name}.{i}.large", np.concatenate((large, c[large])).astype("<i8"))
+
+
+def _find_in(uri: str, name: str, keys: np.ndarray, width: int) -> list[np.ndarray]:
+    """Numbers of each key in one table, 0 for one that is not there."""
+    out = [np.zeros(len(keys), np.int64) for _ in range(width)]
+    offsets, own = hash_arrays.load(uri, f"{name}.offsets", "<i8"), hash_arrays.load(uri, f"{name}.keys", "<u4")
+    if not len(own):
+        return out
+    short = (keys * _SCATTER) >> np.uint64(20)
+    part, want = (short >> np.uint64(32)).astype(np.int64), (short & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    low, end = offsets[part], offsets[part + 1]
+    high = end.copy()
+    while (open_ := low < high).any():
+        middle = (low + high) // 2
+        less = open_ & (own[np.minimum(middle, len(own) - 1)] < want)
+        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    found = np.flatnonzero((low < end) & (own[np.minimum(low, len(own) - 1)] == want))
+    at = low[found]
+    for i in range(width):
+        n = hash_arrays.load(uri, f"{name}.{i}", "u1")[at].astype(np.int64)
+        if (n == 255).any():
+            places, values = hash_arrays.load(uri, f"{name}.{i}.large", "<i8").reshape(2, -1)
+            n[n == 255] = values[np.searchsorted(places, at[n == 255])]
+        out[i][found] = n
+    return out
+
 
-def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = None) -> dict:
+def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = None, order: int = ORDER) -> dict:
     """Count all documents and write the model's arrays; gives its sums and discounts.
 
-    ``bits``: there are 2**bits buckets of pairs and of words; by default about as
+    ``bits``: there are 2**bits buckets of grams and of words; by default about as
     many as the session's shuffle partitions.
     """
+    if order < 2:
+        raise ValueError("the order is two or more")
     spark = docs.sparkSession
     uri = hash_arrays.make_folder(folder)
     if bits is None:
         bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    pair_shift, word_shift = np.uint64(64 - bits), np.uint64(48 - bits)
+    shift = np.uint64(64 - bits)
+    bucket_of = lambda words: (_hash_of(words) >> shift).astype(np.int32)
 
     def count(batches):
         held: list = []
         size = 0
 
         def flush():
-            first, second, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            key, (n,), one = _merge(_mix(first, second), [n])
-            # Sorted by first word within a bucket, its hashes compress to almost nothing.
-            first, second = first[one], second[one]
-            order = np.argsort(first)
-            yield _rows("pair", _blocks((key >> pair_shift)[order].astype(np.int32), [first[order], second[order], n[order]]))
+            words, _, n = _summed([np.concatenate(c) for c in zip(*(w for w, _ in held), strict=True)], np.concatenate([n for _, n in held]))
+            return _rows("gram", _blocks(bucket_of(words[:-1]), words, n))
 
         for piece in pieces(batches):
             hashes, codes, rows = _tokens(piece.column("text"))
-            size_of = len(hashes)
-            pair, n = np.unique(_pairs(codes, rows, size_of - 1) * size_of + codes, return_counts=True)
-            held.append((hashes[pair // size_of], hashes[pair % size_of], n))
-            size += len(pair)
-            if size > 3_000_000:
-                yield from flush()
+            tokens = hashes[codes]
+            words, _, n = _summed([_before(tokens, rows, back, START) for back in range(order - 1, 0, -1)] + [tokens],
+                                  np.ones(len(tokens), np.int64))
+            held.append((words, n))
+            size += len(n)
+            if size > FLUSH:
+                yield flush()
                 held, size = [], 0
         if held:
-            yield from flush()
-
-    def merge_pairs(batches):
-        sums = np.zeros(5, np.int64)
-        for bucket, blocks in _by_bucket(batches):
-            first, second, n = (np.concatenate(c) for c in zip(*(_unpack(b, 3) for b in blocks), strict=True))
-            key, (n,), one = _merge(_mix(first, second), [n])
-            first, second = first[one], second[one]
-            hash_arrays.save(uri, f"pair-{bucket}.keys", key.astype("<u8"))
-            hash_arrays.save(uri, f"pair-{bucket}.n", np.minimum(n, 2**32 - 1).astype("<u4"))
-            sums += [len(n), *((n == k).sum() for k in (1, 2, 3, 4))]
-            # Of each word: as a token n and continuations, as a context n and kinds seen once, twice, more.
-            one_each = np.ones(len(n), np.int64)
-            zero = np.zeros(len(n), np.int64)
-            key, columns, _ = _merge(np.concatenate((first, second)), [np.concatenate(c) for c in (
-                (zero, n), (zero, one_each), (n, zero), ((n == 1).astype(np.int64), zero),
-                ((n == 2).astype(np.int64), zero), ((n > 2).astype(np.int64), zero))])
-            yield _rows("word", _blocks((key >> word_shift).astype(np.int32), [key, *columns]))
-        yield _rows("sums", [(0, b"")], json.dumps(sums.tolist()))
+            yield flush()
+
+    def merge(k: int):
+        def run(batches):
+            sums = np.zeros(5, np.int64)
+            for (bucket,), part in _runs(batches, ("bucket",)):
+                words, n = _grams([x for b in part for x in b.column("block").to_pylist()])
+                words, key, n = _summed(words, n)
+                _save_table(uri, f"gram{k}-{bucket}", key, [n])
+                sums += [len(n), *((n == c).sum() for c in (1, 2, 3, 4))]
+                context = _hash_of(words[:-1])
+                by = np.argsort(context)
+                context, counts = context[by], n[by]
+                at = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+                add = lambda values: np.add.reduceat(values.astype(np.int64), at)
+                _save_table(uri, f"context{k}-{bucket}", context[at], [add(counts), add(counts == 1), add(counts == 2), add(counts > 2)])
+                # What the next order counts, and of each last word its tokens (once) and the grams of two it ends.
+                if k > 2:
+                    yield _rows("gram", _blocks(bucket_of(words[1:-1]), words[1:], np.ones(len(n), np.int64)))
+                last, key, total = _summed(words[-1:], n)
+                if k == order:
+                    yield _rows("tokens", _blocks((key >> shift).astype(np.int32), last, total))
+                if k == 2:
+                    last, key, kinds = _summed(words[-1:], np.ones(len(n), np.int64))
+                    yield _rows("kinds", _blocks((key >> shift).astype(np.int32), last, kinds))
+            yield _rows("sums", [(0, b"")], json.dumps(sums.tolist()))
+
+        return run
 
     def merge_words(batches):
         sums = np.zeros(7, np.int64)
-        for bucket, blocks in _by_bucket(batches):
-            key, *columns = (np.concatenate(c) for c in zip(*(_unpack(b, 7) for b in blocks), strict=True))
-            key, columns, _ = _merge(key, columns)
-            hash_arrays.save(uri, f"word-{bucket}.keys", key.astype("<u8"))
-            hash_arrays.save(uri, f"word-{bucket}.sums", np.stack(columns, 1).astype("<i8"))
-            n, kinds = columns[:2]
+        for (bucket,), part in _runs(batches, ("bucket",)):
+            keys, columns = [], []
+            for kind in ("tokens", "kinds"):
+                blocks = [x for b in part for x in b.filter(pa.compute.equal(b.column("kind"), kind)).column("block").to_pylist()]
+                if blocks:
+                    (word,), n = _grams(blocks)
+                    keys.append(word)
+                    columns.append((n, np.zeros_like(n)) if kind == "tokens" else (np.zeros_like(n), n))
+            word, of = np.unique(np.concatenate(keys), return_inverse=True)
+            n, kinds = (np.bincount(of, np.concatenate(c), len(word)).astype(np.int64) for c in zip(*columns, strict=True))
+            _save_table(uri, f"word-{bucket}", _hash_of([word]), [n, kinds])
             sums += [n.sum(), (n > 0).sum(), *((kinds == k).sum() for k in (1, 2, 3, 4)), (kinds > 2).sum()]
         yield _rows("sums", [(0, b"")], json.dumps(sums.tolist()))
 
-    parts = 1 << bits
-
-    counted = docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, SCHEMA)
-    deal = lambda df: df.select("bucket", "block").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    merged = written(deal(counted).mapInArrow(merge_pairs, SCHEMA), "pairs")
-    words = deal(merged.where("kind = 'word'")).mapInArrow(merge_words, SCHEMA)
-    total = lambda df, width: np.sum([np.zeros(width, np.int64), *(
-        json.loads(r.stats) for r in df.where("kind = 'sums'").select("stats").collect())], axis=0).tolist()
-    pair_sums = total(merged, 5)
-    word_sums = total(words, 7)
-    return {"uri": uri, "bits": bits, "kinds": pair_sums[0], "tokens": word_sums[0], "vocabulary": word_sums[1],
-            "discounts": discounts(pair_sums[1:]), "word_discounts": (d := discounts(word_sums[2:6])),
+    def deal(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select("bucket", "block", *columns).repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket")
+
+    def total(df: DataFrame, width: int) -> list[int]:
+        return np.sum([np.zeros(width, np.int64), *(
+            json.loads(r.stats) for r in df.where("kind = 'sums'").select("stats").collect())], axis=0).tolist()
+
+    current = docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, SCHEMA)
+    levels, words = {}, None
+    for k in range(order, 1, -1):
+        current = written(deal(current.where("kind = 'gram'")).mapInArrow(merge(k), SCHEMA), f"grams{k}")
+        kinds, *ones = total(current, 5)
+        levels[k] = {"kinds": kinds, "discounts": discounts(ones)}
+        own = current.where("kind in ('tokens', 'kinds')")
+        words = own if words is None else words.unionAll(own)
+    sums = total(deal(words, "kind").mapInArrow(merge_words, SCHEMA), 7)
+    d = discounts(sums[2:6])
+    return {"uri": uri, "bits": bits, "order": order, "levels": levels, "kinds": levels[2]["kinds"], "tokens": sums[0], "vocabulary": sums[1],
+            "word_discounts": d,
             # The mass that the discounts of words leave: once, twice, more.
-            "left": d[0] * word_sums[2] + d[1] * word_sums[3] + d[2] * word_sums[6]}
+            "left": d[0] * sums[2] + d[1] * sums[3] + d[2] * sums[6]}
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -238,58 +281,50 @@ def discounts(n: list[int]) -> list[float]:
     return out
 
 
-def _find(uri: str, name: str, bits: int, shift: int, keys: np.ndarray, values: str, dtype: str, width: int) -> np.ndarray:
-    """Values of sorted keys, bucket by bucket; zeros for absent ones."""
-    out = np.zeros((len(keys), width) if width > 1 else len(keys), np.int64)
-    bucket = (keys >> np.uint64(shift)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        a, e = cuts[b], cuts[b + 1]
-        own = hash_arrays.load(uri, f"{name}-{b}.keys", "<u8")
-        if not len(own):
-            continue
-        i = np.minimum(np.searchsorted(own, keys[a:e]), len(own) - 1)
-        found = own[i] == keys[a:e]
-        data = hash_arrays.load(uri, f"{name}-{b}.{values}", dtype)
-        data = data.reshape(-1, width) if width > 1 else data
-        out[a:e][found] = data[i[found]]
+def _find(model: dict, name: str, bucket: np.ndarray, keys: np.ndarray, width: int) -> list[np.ndarray]:
+    """Numbers of keys, bucket by bucket; 0 for one that is not there."""
+    out = [np.zeros(len(keys), np.int64) for _ in range(width)]
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange((1 << model["bits"]) + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        rows = order[cuts[b]:cuts[b + 1]]
+        for column, found in zip(out, _find_in(model["uri"], f"{name}-{b}", keys[rows], width), strict=True):
+            column[rows] = found
     return out
 
 
 def score_batch(texts: pa.Array, model: dict) -> list[np.ndarray]:
     """Per row: n_tokens, n_known, train_tokens, base_score, score."""
     hashes, codes, rows = _tokens(texts)
-    n_rows, bits, uri = len(rows) - 1, model["bits"], model["uri"]
-    order = np.argsort(hashes)
-    sums = np.empty((len(hashes), 6), np.int64)
-    sums[order] = _find(uri, "word", bits, 48 - bits, hashes[order], "sums", "<i8", 6)
-    n, kinds, context, *seen = sums.T
+    shift = np.uint64(64 - model["bits"])
+    key = _hash_of([hashes])
+    n, kinds = _find(model, "word", (key >> shift).astype(np.int64), key, 2)
     vocabulary, tokens = model["vocabulary"], model["tokens"]
     base = np.log10((n + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
 
     # Words by continuations, interpolated with one over vocabulary and unknown word.
     d = np.array([0.0, *model["word_discounts"]])
-    total = model["kinds"]
-    if total:
-        word = np.maximum(kinds - d[np.minimum(kinds, 3)], 0) / total
-        word = word + model["left"] / total / (vocabulary + 1)
+    if model["kinds"]:
+        word = np.maximum(kinds - d[np.minimum(kinds, 3)], 0) / model["kinds"]
+        word = word + model["left"] / model["kinds"] / (vocabulary + 1)
     else:
         word = np.ones(len(n))
-    d2 = np.array([0.0, *model["discounts"]])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        back = np.where(context > 0, (d2[1] * seen[0] + d2[2] * seen[1] + d2[3] * seen[2]) / context, 1.0)
-
-    before = _pairs(codes, rows, len(hashes) - 1)
-    pair, where = np.unique(before * len(hashes) + codes, return_inverse=True)
-    a, b = pair // len(hashes), pair % len(hashes)
-    keys = _mix(hashes[a], hashes[b])
-    order = np.argsort(keys)
-    c = np.empty(len(keys), np.int64)
-    c[order] = _find(uri, "pair", bits, 64 - bits, keys[order], "n", "<u4", 1)
-    p = np.maximum(c - d2[np.minimum(c, 3)], 0) / np.maximum(context[a], 1) + back[a] * word[b]
-    logs = np.log10(p)[where]
+    p = word[codes]
+    words = hashes[codes]
+    context = [words[:0]]
+    for k in range(2, model["order"] + 1 if model["kinds"] else 2):
+        d = np.array([0.0, *model["levels"][k]["discounts"]])
+        context = _hash_of([_before(words, rows, back, START) for back in range(k - 1, 0, -1)])
+        gram, at, where = np.unique(_mix(context, words), return_index=True, return_inverse=True)
+        (c,) = _find(model, f"gram{k}", (context[at] >> shift).astype(np.int64), gram, 1)
+        context, of = np.unique(context, return_inverse=True)
+        total, *seen = _find(model, f"context{k}", (context >> shift).astype(np.int64), context, 4)
+        back = (d[1] * seen[0] + d[2] * seen[1] + d[3] * seen[2]) / np.maximum(total, 1)
+        own = np.maximum(c - d[np.minimum(c, 3)], 0)[where] / np.maximum(total, 1)[of]
+        p = np.where(total[of] > 0, own + back[of] * p, p)
+    n_rows = len(rows) - 1
     return [np.diff(rows), row_sums((n > 0)[codes].astype(np.int64), rows), np.full(n_rows, tokens, np.int64),
-            row_sums(base[codes], rows), row_sums(logs, rows)]
+            row_sums(base[codes], rows), row_sums(np.log10(p), rows)]
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
