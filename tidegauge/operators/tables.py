@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.timeparts import Moment, as_moment, last, time_range, with_partition_source
+from tidegauge.functions.sampling import sample_edge, sample_hash
 from tidegauge.operators import commits
 from tidegauge.session import hadoop_path
 
@@ -89,6 +90,21 @@ def write_table(df: DataFrame, path: str, layout: Layout, mode: str = "append")
     _mark(df.sparkSession, path, layout)
 
 
+def write_clustered_sample(df: DataFrame, path: str, key: str, mode: str = "append") -> None:
+    """Bulk write in the order of a hash of ``key``, for samples by key.
+
+    The hash is the column ``sample_hash``.  Files hold ranges of it, and its least and
+    greatest value are in their footers, so a sample opens its share of the files only.
+    """
+    rows = df.withColumn("sample_hash", sample_hash(F.col(key)))
+    rows.repartitionByRange("sample_hash").sortWithinPartitions("sample_hash").write.mode(mode).parquet(path)
+
+
+def read_sample(spark: SparkSession, path: str, fraction: float) -> DataFrame:
+    """The rows of a share of the keys, the same keys as ``sampling.in_sample`` takes."""
+    return spark.read.parquet(path).filter(F.col("sample_hash") < sample_edge(fraction)).drop("sample_hash")
+
+
 def write_batch(df: DataFrame, batch_id: int, path: str, layout: Layout, writer: str, generation: str = commits.DIRECT) -> int:
     """Write one micro-batch of one writer into its own folder, replacing what a
     failed or repeated run of the same batch left there; gives the number of rows.

@@ -6,6 +6,7 @@ from tidegauge.plans import (  # noqa: F401
     ingest_queries,
     report_queries,
     rollup_queries,
+    state_queries,
     stored_queries,
     stream_queries,
 )

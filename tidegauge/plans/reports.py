@@ -53,6 +53,50 @@ def single_day(
     return rows.groupBy(key).agg(*aggregates)
 
 
+def _hour_figures(kind: str) -> tuple[list[Column], list[Column], list[Column]]:
+    """Aggregates of readings to hour states, of states to states, and of states to figures."""
+    partial, merged = [F.count("*").alias("hour_readings")], [F.sum("hour_readings").alias("hour_readings")]
+    final = []
+    for name, how, of in SINGLE_DAY[kind][1]:
+        if how == "avg":
+            partial += [F.sum(F.expr(of)).alias(f"{name}_sum")]
+            merged += [F.sum(f"{name}_sum").alias(f"{name}_sum")]
+            final += [F.try_divide(F.sum(f"{name}_sum"), F.sum("hour_readings")).alias(name)]
+        else:
+            partial += [F.max(F.expr(of)).alias(f"{name}_max")]
+            merged += [F.max(f"{name}_max").alias(f"{name}_max")]
+            final += [F.max(f"{name}_max").alias(name)]
+    return partial, merged, final
+
+
+def hour_states(df: DataFrame, kind: str) -> DataFrame:
+    """Mergeable states per entity and hour (``hour_start``) that the single-day reports can be answered from.
+
+    Pre-aggregated on the map side: a device with a third of all readings has one row an hour and task.
+    """
+    return df.groupBy(F.col(SINGLE_DAY[kind][0]).alias("entity"), F.date_trunc("hour", "time").alias("hour_start")).agg(*_hour_figures(kind)[0])
+
+
+def merge_hour_states(states: DataFrame, kind: str) -> DataFrame:
+    return states.groupBy("entity", "hour_start").agg(*_hour_figures(kind)[1])
+
+
+def single_day_from_states(states: DataFrame, kind: str, params: DataFrame) -> DataFrame:
+    """``single_day_many`` from stored hour states, which may come from many batches.
+
+    Only the days between the first and the last parameter's are read, and no reading is.
+    """
+    bounds = params.agg(F.min("day").alias("first"), F.date_add(F.max("day"), 1).alias("end"))
+    states = between(states, bounds, "hour_start")
+    # Summed by hour again: the table may have several states of one.
+    hourly = merge_hour_states(states, kind).withColumns({"day": F.to_date("hour_start"), "hour": F.hour("hour_start")}).drop("hour_start")
+    wanted = params.withColumn("hour", F.explode_outer(F.array_distinct("hours"))).drop("hours")
+    joined = wanted.join(hourly, ["entity", "day", "hour"], "left")
+    return joined.groupBy("param_id", "entity", "day").agg(
+        *_hour_figures(kind)[2], F.coalesce(F.sum("hour_readings"), F.lit(0)).alias("readings")
+    )
+
+
 def single_day_many(df: DataFrame, kind: str, params: DataFrame) -> DataFrame:
     """Answer a whole table of (param_id, entity, day, hours array) in one job.
 
@@ -62,16 +106,10 @@ def single_day_many(df: DataFrame, kind: str, params: DataFrame) -> DataFrame:
     and nothing is broadcast unless the planner measures it as small.  Every
     parameter gets a row, with null figures where nothing matches.  Only the
     days, and partitions, between the first and the last parameter's are read.
+    Where a stream keeps hour states use ``single_day_from_states``.
     """
-    key, figures = SINGLE_DAY[kind]
-    partial, final = [F.count("*").alias("hour_readings")], []
-    for name, how, of in figures:
-        if how == "avg":
-            partial += [F.sum(F.expr(of)).alias(f"{name}_sum")]
-            final += [F.try_divide(F.sum(f"{name}_sum"), F.sum("hour_readings")).alias(name)]
-        else:
-            partial += [F.max(F.expr(of)).alias(f"{name}_max")]
-            final += [F.max(f"{name}_max").alias(name)]
+    key = SINGLE_DAY[kind][0]
+    partial, _, final = _hour_figures(kind)
     bounds = params.agg(F.min("day").alias("first"), F.date_add(F.max("day"), 1).alias("end"))
     hourly = between(df, bounds).groupBy(
         F.col(key).alias("entity"), F.to_date("time").alias("day"), F.hour("time").alias("hour")

@@ -85,8 +85,13 @@ def sensors_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_cpu(events(spark, sf_dir))
+
+
+def to_cpu(rows: DataFrame) -> DataFrame:
+    """events -> cpu."""
     names = ", ".join(f"'{name}'" for name in SERVICES)
-    return events(spark, sf_dir).selectExpr(
+    return rows.selectExpr(
         "event_id as seq",
         "concat('server_', lpad(cast(user_id % 50 + 1 as string), 4, '0')) as hostname",
         f"get(array({names}), cast(user_id % 7 as int)) as service",

@@ -21,6 +21,7 @@ from tidegauge.functions.timeparts import Moment, as_moment, with_partition_sour
 from tidegauge.operators import canonical, hourly, rollup, tables
 from tidegauge.operators.alerting import sensor_names
 from tidegauge.operators.tables import LAYOUTS, Layout
+from tidegauge.plans import reports
 from tidegauge.session import hadoop_path, stream_settings
 from tidegauge.sources.avro_messages import decode_avro
 from tidegauge.sources.json_messages import decode_json
@@ -28,6 +29,7 @@ from tidegauge.streaming.sinks import BatchWriter, raw_and_alerts_sink, table_si
 
 ROLLUPS = Layout("window_start", ("device_id",), ("device_id",))
 READINGS = Layout("window_start", ("sensorId",), ("sensorId",))
+ENTITY_HOURS = Layout("hour_start", ("entity",), ("entity",))
 HOURS = Layout("hour_window", ("sensor_id",), ("sensor_id",))
 
 
@@ -269,6 +271,11 @@ def read_hourly(table: DataFrame) -> DataFrame:
     return hourly.merge_hourly_states(table.drop(*tables.BATCH_COLUMNS, "day"))
 
 
+def start_hour_states(rows: DataFrame, run: Run, kind: str) -> StreamingQuery:
+    """Keep the hour states of a single-day report (``reports.SINGLE_DAY``) up to date from a stream of canonical rows."""
+    return start(rows, table_sink(run.output, ENTITY_HOURS, lambda batch: reports.hour_states(batch, kind), writer=run.writer, fresh=run.fresh), run)
+
+
 def start_hybrid(
     messages: DataFrame, raw: Run, rolled: Run, keep: Sequence[str] = (), on_error: str = "fail", **options,
 ) -> tuple[StreamingQuery, StreamingQuery]:
