@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pickle
 import random
 from collections import Counter, defaultdict
 
@@ -229,8 +230,10 @@ class TestLanguage:
         train = {name: bytes(rng.choice(list(b"abcd "), 300, p=p)) for name, p in
                  (("x", [.5, .2, .1, .1, .1]), ("y", [.1, .1, .2, .3, .3]))}
         grams = [(int.from_bytes(t[i:i + 4]), k) for k, t in enumerate(train.values()) for i in range(len(t) - 3)]
-        rows = Counter(grams)
-        trees = language.Trees(["x", "y"], np.array([g for g, _ in rows]), np.array([c for _, c in rows]), np.array(list(rows.values())))
+        trees = []
+        for code in range(2):
+            own = Counter(g for g, c in grams if c == code)
+            trees.append(language.Tree.fit(np.array(list(own)), np.array(list(own.values()))))
         counts = [defaultdict(Counter) for _ in range(2)]
         for g, code in grams:
             own = g.to_bytes(4)
@@ -255,10 +258,31 @@ class TestLanguage:
 
         texts = [b"abcd abca", b"zzz", b"a", b"", bytes(rng.choice(list(b"abcdz "), 200))]
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        got = trees.score(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        got = language.score(trees, np.frombuffer(b"".join(texts), np.uint8), offsets)
         for i, t in enumerate(texts):
             assert got[i] == pytest.approx([bits(t, 0), bits(t, 1)], abs=1e-3)
 
+    def test_many_dense_languages(self, spark):
+        """Thirty scripts: the model is files, what is sent to tasks are names; each knows its own."""
+        rng = random.Random(8)
+        rows = []
+        for k in range(30):
+            letters = [chr(0x4E00 + 700 * k + i) for i in range(700)]
+            rows += [(1000 * k + i, f"l{k:02}", "".join(rng.choices(letters, k=300))) for i in range(60)]
+        docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(8)
+        model = language.train(docs.where("doc_id % 4 > 0"))
+        assert len(pickle.dumps(model)) < 2000 and len(model.languages) == 30
+        found = language.identify(docs.where("doc_id % 4 = 0"), model, keep=["lang"])
+        assert found.where("row.lang <> out.lang_pred").count() == 0
+
+    def test_sample_is_of_least_hashes(self, spark):
+        docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 > 0, "a").otherwise("b").alias("lang"), F.lit("t").alias("text"))
+        docs = docs.unionAll(docs.where("doc_id < 50"))  # repeated rows
+        got = language._sample(docs, "lang", "text", "doc_id", 40, keep_key=True).collect()
+        for lang in "ab":
+            keys = sorted(r.key for r in docs.where(F.col("lang") == lang).select(F.xxhash64(F.col("doc_id").cast("string")).alias("key")).collect())
+            assert sorted(r.key for r in got if r.lang == lang) == keys[:40]
+
     def test_undetermined(self, spark, docs, empty):
         assert language.train(empty) is None
         trees = language.train(docs)
@@ -365,11 +389,11 @@ class TestDecontamination:
     def test_blocks(self, spark, docs):
         bench = spark.createDataFrame(self.items(spark), "item_id long, text string")
         blocks = decontaminate.compile_benchmark(bench, 10, "item_id", "text", block_words=100)
-        assert len(blocks) > 5
+        assert len(blocks.numbers) > 5
         texts = pa.array([r.text for r in docs.select("text").collect()] + [i[1] for i in self.items(spark)])
         whole = decontaminate.compile_benchmark(bench, 10, "item_id", "text")
-        a = decontaminate.find_hits(texts, [b.value for b in blocks])
-        b = decontaminate.find_hits(texts, [x.value for x in whole])
+        a = decontaminate.find_hits(texts, blocks.blocks())
+        b = decontaminate.find_hits(texts, whole.blocks())
         assert (a[1] == b[1]).all() and a[2] == b[2] and a[1].sum() > 0
 
     def test_empty(self, spark, docs, empty):

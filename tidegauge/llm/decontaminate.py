@@ -9,22 +9,32 @@ Words are codes of the benchmark's vocabulary, 0 for any other, so the direct
 comparison is exact.  All documents of a batch are searched at once: a batch is cut
 into lanes of ``LANE`` words, each with its own search position.
 
-The benchmark is a stated query set.  It reaches the tasks in blocks of at most
-``BLOCK_WORDS`` words, compiled one after the other; every document is searched for
+The benchmark is a stated query set.  Its items are dealt over blocks of about
+``BLOCK_WORDS`` words, each compiled in a task of its own and written to the shared
+folder.  A worker opens one block at a time, and searches every batch of documents for
 every block.  Items without a word, and null texts, have no windows and no words.
+Documents in repeated rows are searched each; columns kept are in a struct, so no name
+can clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tidegauge.llm import hash_arrays
 from tidegauge.llm.batches import annotate, buffer_of, encode, lower, row_sums, word_spans
+from tidegauge.session import work_dir
 
 LANE = 256
 BLOCK_WORDS = 1_000_000
@@ -160,25 +170,48 @@ def find_hits(texts: pa.Array, blocks) -> tuple[np.ndarray, np.ndarray, list[set
     return np.diff(rows), row_sums(hit, rows), items
 
 
-def compile_benchmark(benchmark: DataFrame, window: int, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> list:
-    """Broadcast blocks of the benchmark; a null item id is the text ``null``."""
-    spark = benchmark.sparkSession
-    out, items, words = [], [], 0
+class Compiled(NamedTuple):
+    """Where the compiled blocks are, and their numbers."""
 
-    def close():
-        if items:
-            out.append(spark.sparkContext.broadcast(compile_block(items, window)))
+    uri: str
+    numbers: list[int]
 
-    for r in benchmark.select(benchmark[item_id].cast("string").alias("i"), benchmark[text].cast("string").alias("t")).toLocalIterator():
-        if r.t is None:
-            continue
-        items.append(("null" if r.i is None else r.i, r.t))
-        words += len(r.t) // 4 + 1
-        if words >= block_words:
-            close()
-            items, words = [], 0
-    close()
-    return out
+    def blocks(self):
+        return (open_block(self.uri, k) for k in self.numbers)
+
+
+@lru_cache(maxsize=1)
+def open_block(uri: str, number: int) -> Block:
+    filesystem, base = pafs.FileSystem.from_uri(uri)
+    with filesystem.open_input_file(f"{base}/{number}.block") as f:
+        vocabulary, groups, items = pickle.loads(f.read())
+    return Block(vocabulary, [Patterns(*g) for g in groups], items)
+
+
+def compile_benchmark(benchmark: DataFrame, window: int, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> Compiled:
+    """Blocks of the benchmark; a null item id is the text ``null``.  Only their numbers come to the driver."""
+    spark = benchmark.sparkSession
+    uri = hash_arrays.make_folder(work_dir(spark, "benchmark"))
+    items = benchmark.select(F.coalesce(benchmark[item_id].cast("string"), F.lit("null")).alias("i"),
+                             benchmark[text].cast("string").alias("t")).where("t is not null")
+    words = items.agg(F.sum(F.length("t") / 4 + 1)).first()[0]
+    count = math.ceil((words or 0) / block_words)
+    if not count:
+        return Compiled(uri, [])
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for k, *item in zip(*(b.column(c).to_pylist() for c in ("block", "i", "t")), strict=True):
+                held.setdefault(k, []).append(tuple(item))
+        for k, own in held.items():
+            vocabulary, groups, items = compile_block(own, window)
+            hash_arrays.save(uri, f"{k}.block", np.frombuffer(pickle.dumps((vocabulary, list(map(tuple, groups)), items)), np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32())], ["block"])
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(count)).cast("int"))
+    done = dealt.repartitionById(count, F.col("block")).mapInArrow(run, "block int")
+    return Compiled(uri, sorted(r.block for r in done.collect()))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id",
@@ -188,11 +221,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     items_sha256 is over the ids of the items that occur, sorted as strings and joined
     by commas; an empty set digests the empty string.
     """
-    blocks = compile_benchmark(benchmark, window, item_id, item_text)
+    compiled = compile_benchmark(benchmark, window, item_id, item_text)
 
     def make():
         def work(texts: pa.Array) -> list:
-            n_words, n_hit, items = find_hits(texts, (b.value for b in blocks))
+            n_words, n_hit, items = find_hits(texts, compiled.blocks())
             digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
             return [n_words, n_hit, np.array([len(x) for x in items], np.int64), pa.array(digest, pa.string()), n_hit > 0]
         return work
