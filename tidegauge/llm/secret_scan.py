@@ -10,7 +10,9 @@ rule.
 Random strings have uniform p-values, ordinary ones crowd near zero.  Within each
 encoding and band of lengths (short strings tell little) the upper half of the
 p-values estimates how many are random, and the lowest threshold is taken at which
-the others make up at most ``FALSE_DISCOVERIES`` of what is accepted.
+the others make up at most ``FALSE_DISCOVERIES`` of what is accepted.  Bands of fewer
+than ``LEAST_CANDIDATES`` candidates are estimated together, an encoding's at a time;
+where those are too few as well nothing is accepted.
 
 Everything is DataFrame expressions.  The threshold table has one row per encoding
 and band, counted by Spark over all documents.  A null text counts as empty.
@@ -33,6 +35,11 @@ PARTS = (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}")
 LEAST_ASSIGNED = 6
 FALSE_DISCOVERIES = 0.1
 BINS = 20
+#: Candidates that a threshold is estimated from, at least.
+LEAST_CANDIDATES = 20
+#: Code points of the blocks that a text is redacted by.
+BLOCK = 4096
+GROUP = 64
 # Encodings from the narrowest alphabet to the widest: name, form, alphabet.
 ENCODINGS = (
     ("digits", "[0-9]+", "0123456789"),
@@ -182,13 +189,21 @@ def thresholds(docs: DataFrame, text: str = "text", rate: float = FALSE_DISCOVER
     table: dict[tuple[str, int], list[int]] = {}
     for r in tested.groupBy("encoding", "band", level.alias("level")).agg(F.count("*").alias("n")).collect():
         table.setdefault((r.encoding, r.band), [0] * BINS)[r.level] = r.n
+    groups = {key: [key] for key, bins in table.items() if sum(bins) >= LEAST_CANDIDATES}
+    for encoding in sorted({e for e, _ in table}):
+        few = [key for key in sorted(table) if key[0] == encoding and key not in groups]
+        if few:
+            groups[encoding, None] = few
     out = {}
-    for key, bins in sorted(table.items()):
+    for keys in groups.values():
+        bins = [sum(c) for c in zip(*(table[key] for key in keys), strict=True)]
+        if sum(bins) < LEAST_CANDIDATES:
+            continue
         random = 2 * sum(bins[BINS // 2:])
         for j in range(1, BINS):
             accepted = sum(bins[j:])
             if accepted and 1 - min(1.0, random * (1 - j / BINS) / accepted) <= rate:
-                out[key] = j / BINS
+                out |= dict.fromkeys(keys, j / BINS)
                 break
     return out
 
@@ -214,17 +229,47 @@ def scan(docs: DataFrame, limits: dict[tuple[str, int], float], text: str = "tex
     return rows.select("row", "text", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span replaced; overlapping spans are replaced as one."""
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("kept"))
+def _kept(spans: Column, end: Column) -> Column:
+    """What lies before, between and behind spans sorted by start; those that overlap are one.
+
+    An aggregate copies its state at each step, so steps go over ``GROUP`` spans at a time.
+    """
+    stops = F.transform(spans, lambda x: x["stop"])
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.struct(s["at"].alias("start"), x["start"].alias("stop"))
+        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"),
+                        F.when(x["start"] >= s["at"], F.concat(s["gaps"], F.array(gap))).otherwise(s["gaps"]).alias("gaps"))
+
+    def group(g: Column) -> Column:
+        at = F.coalesce(F.array_max(F.slice(stops, F.lit(1), g * GROUP)), F.lit(0).cast("long"))
+        return F.aggregate(F.slice(spans, g * GROUP + 1, F.lit(GROUP)), F.struct(at.alias("at"), none.alias("gaps")), step, lambda s: s["gaps"])
 
-    def cut(s: Column, x: Column) -> Column:
-        between = F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
-        return F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["stop"]).alias("at"), s["kept"].alias("kept"))).otherwise(
-            F.struct(x["stop"].alias("at"), F.concat(s["kept"], F.array(F.concat(between, F.lit(mark)))).alias("kept")))
+    last = F.array_max(stops)
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / GROUP).cast("int")), group)
+    return F.concat(F.flatten(groups), F.array(F.struct(last.alias("start"), F.greatest(end, last).alias("stop"))))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, state, cut, lambda s: F.concat(
-        F.array_join(s["kept"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.lit(2**31 - 1)))))
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each span replaced; overlapping spans are replaced as one.
+
+    The text is cut into blocks of ``BLOCK`` code points in one pass, and what lies between
+    two spans is put together from those: a span costs a block, not the text.
+    """
+    def between(blocks: Column, x: Column) -> Column:
+        first, last = (F.floor(x[c] / BLOCK).cast("int") for c in ("start", "stop"))
+        skip, rest = ((x[c] % BLOCK).cast("int") for c in ("start", "stop"))
+        block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+        whole = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(first == last, F.substring(block(first), skip + 1, rest - skip)).otherwise(
+            F.concat(F.substring(block(first), skip + 1, F.lit(BLOCK)), whole, F.substring(block(last), F.lit(1), rest)))
+
+    # A list of one: its element is made once, where a name for it is not to be had otherwise.
+    blocks = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    kept = F.transform(blocks, lambda own: F.array_join(
+        F.transform(_kept(spans, F.length(text).cast("long")), lambda x: between(own, x)), mark))
+    return F.when(F.size(spans) == 0, text).otherwise(kept[0])
 
 
 def span_text(spans: Column) -> Column:
