@@ -7,11 +7,11 @@ their sums; and it passes each gram on without its first word, once, to the buck
 next order, whose counts are these continuations.  So it goes down to two words.  A hot
 word or context is pre-summed by every task and bucket.
 
-The model is a folder of arrays.  Hashes are kept by 44 bits a bucket, counts in one byte
+The model is a folder of arrays.  Hashes are kept by 40 bits a bucket or more, counts in one byte
 with a list of the larger ones beside it.  Workers map the files into memory and look up
 the distinct grams of a batch.  Only a dozen sums an order come to the driver.
 
-Words are known by 48-bit hashes (see the README for the error that this and the 44 bits
+Words are known by 48-bit hashes (see the README for the error that this and the 40 bits
 make).
 
 Texts are lower-cased in A-Z; tokens are the words and one end, after ``order`` - 1
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import hash_arrays
-from tidegauge.llm.components import written
 from tidegauge.llm.batches import annotate, buffer_of, encode, lower, pieces, row_sums, word_spans
 from tidegauge.llm.jaccard_join import _pack, _runs, _steps, _unpack
 
@@ -123,15 +122,17 @@ def _rows(kind: str, items, stats: str = "") -> pa.RecordBatch:
 
 SCHEMA = "kind string, bucket int, block binary, stats string"
 
-# A table: hashes by 12 bits (offsets) and the 32 after those; numbers by a byte, 255 for those in a list.
+# A table: hashes by some first bits (offsets, of about 16 hashes each) and the 32 after those; numbers by a byte, 255
+# for those in a list.
 _SCATTER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _save_table(uri: str, name: str, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+    parts = max(8, (len(keys) // 16).bit_length())
     scattered = keys * _SCATTER
     order = np.argsort(scattered)
-    short = scattered[order] >> np.uint64(20)
-    hash_arrays.save(uri, f"{name}.offsets", np.searchsorted(short >> np.uint64(32), np.arange(4097)).astype("<i8"))
+    short = scattered[order] >> np.uint64(32 - parts)
+    hash_arrays.save(uri, f"{name}.offsets", np.searchsorted(short >> np.uint64(32), np.arange((1 << parts) + 1)).astype("<u4"))
     hash_arrays.save(uri, f"{name}.keys", (short & np.uint64(0xFFFFFFFF)).astype("<u4"))
     for i, c in enumerate(columns):
         c = c[order]
@@ -143,17 +144,18 @@ def _save_table(uri: str, name: str, keys: np.ndarray, columns: list[np.ndarray]
 def _find_in(uri: str, name: str, keys: np.ndarray, width: int) -> list[np.ndarray]:
     """Numbers of each key in one table, 0 for one that is not there."""
     out = [np.zeros(len(keys), np.int64) for _ in range(width)]
-    offsets, own = hash_arrays.load(uri, f"{name}.offsets", "<i8"), hash_arrays.load(uri, f"{name}.keys", "<u4")
+    offsets, own = hash_arrays.load(uri, f"{name}.offsets", "<u4"), hash_arrays.load(uri, f"{name}.keys", "<u4")
     if not len(own):
         return out
-    short = (keys * _SCATTER) >> np.uint64(20)
-    part, want = (short >> np.uint64(32)).astype(np.int64), (short & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    low, end = offsets[part], offsets[part + 1]
-    high = end.copy()
-    while (open_ := low < high).any():
-        middle = (low + high) // 2
-        less = open_ & (own[np.minimum(middle, len(own) - 1)] < want)
-        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    short = (keys * _SCATTER) >> np.uint64(32 - (len(offsets) - 1).bit_length() + 1)
+    part, want = (short >> np.uint64(32)).astype(np.int64), short.astype(np.uint32)
+    low, end = offsets[part].astype(np.int64), offsets[part + 1].astype(np.int64)
+    step = 1 << int((end - low).max(initial=0)).bit_length()
+    while step:  # the last place whose key is below, by halves
+        at = low + step
+        go = np.flatnonzero((at <= end) & (own[np.minimum(at, end) - 1] < want))
+        low[go] += step
+        step >>= 1
     found = np.flatnonzero((low < end) & (own[np.minimum(low, len(own) - 1)] == want))
     at = low[found]
     for i in range(width):
@@ -204,7 +206,10 @@ def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = N
     def merge(k: int):
         def run(batches):
             sums = np.zeros(5, np.int64)
-            for (bucket,), part in _runs(batches, ("bucket",)):
+            for (kind, bucket), part in _runs(batches, ("kind", "bucket")):
+                if kind != "gram":  # on its way to the words or the driver
+                    yield from part
+                    continue
                 words, n = _grams([x for b in part for x in b.column("block").to_pylist()])
                 words, key, n = _summed(words, n)
                 _save_table(uri, f"gram{k}-{bucket}", key, [n])
@@ -224,13 +229,14 @@ def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = N
                 if k == 2:
                     last, key, kinds = _summed(words[-1:], np.ones(len(n), np.int64))
                     yield _rows("kinds", _blocks((key >> shift).astype(np.int32), last, kinds))
-            yield _rows("sums", [(0, b"")], json.dumps(sums.tolist()))
+            yield _rows("sums", [(0, b"")], json.dumps([k, sums.tolist()]))
 
         return run
 
     def merge_words(batches):
         sums = np.zeros(7, np.int64)
         for (bucket,), part in _runs(batches, ("bucket",)):
+            yield from (b.filter(pa.compute.equal(b.column("kind"), "sums")) for b in part)
             keys, columns = [], []
             for kind in ("tokens", "kinds"):
                 blocks = [x for b in part for x in b.filter(pa.compute.equal(b.column("kind"), kind)).column("block").to_pylist()]
@@ -238,28 +244,28 @@ def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = N
                     (word,), n = _grams(blocks)
                     keys.append(word)
                     columns.append((n, np.zeros_like(n)) if kind == "tokens" else (np.zeros_like(n), n))
+            if not keys:
+                continue
             word, of = np.unique(np.concatenate(keys), return_inverse=True)
             n, kinds = (np.bincount(of, np.concatenate(c), len(word)).astype(np.int64) for c in zip(*columns, strict=True))
             _save_table(uri, f"word-{bucket}", _hash_of([word]), [n, kinds])
             sums += [n.sum(), (n > 0).sum(), *((kinds == k).sum() for k in (1, 2, 3, 4)), (kinds > 2).sum()]
-        yield _rows("sums", [(0, b"")], json.dumps(sums.tolist()))
+        yield _rows("sums", [(0, b"")], json.dumps([1, sums.tolist()]))
 
-    def deal(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select("bucket", "block", *columns).repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket")
-
-    def total(df: DataFrame, width: int) -> list[int]:
-        return np.sum([np.zeros(width, np.int64), *(
-            json.loads(r.stats) for r in df.where("kind = 'sums'").select("stats").collect())], axis=0).tolist()
+    def deal(df: DataFrame, *order_by: str) -> DataFrame:
+        return df.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions(*order_by)
 
+    # One job: each order's grams go on to the next, and the sums with them.
     current = docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, SCHEMA)
-    levels, words = {}, None
     for k in range(order, 1, -1):
-        current = written(deal(current.where("kind = 'gram'")).mapInArrow(merge(k), SCHEMA), f"grams{k}")
-        kinds, *ones = total(current, 5)
-        levels[k] = {"kinds": kinds, "discounts": discounts(ones)}
-        own = current.where("kind in ('tokens', 'kinds')")
-        words = own if words is None else words.unionAll(own)
-    sums = total(deal(words, "kind").mapInArrow(merge_words, SCHEMA), 7)
+        current = deal(current, "kind", "bucket").mapInArrow(merge(k), SCHEMA)
+    current = deal(current, "bucket", "kind").mapInArrow(merge_words, SCHEMA)
+    found = {k: np.zeros(7 if k == 1 else 5, np.int64) for k in range(1, order + 1)}
+    for r in current.where("kind = 'sums'").select("stats").collect():
+        k, own = json.loads(r.stats)
+        found[k] += own
+    levels = {k: {"kinds": int(found[k][0]), "discounts": discounts(found[k][1:].tolist())} for k in range(order, 1, -1)}
+    sums = found[1].tolist()
     d = discounts(sums[2:6])
     return {"uri": uri, "bits": bits, "order": order, "levels": levels, "kinds": levels[2]["kinds"], "tokens": sums[0], "vocabulary": sums[1],
             "word_discounts": d,
