@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import labels, rules
 from tidegauge.functions.sampling import in_sample
-from tidegauge.functions.timeparts import last, on_day, time_range
+from tidegauge.functions.timeparts import last, on_day, time_range, with_partition_source
 
 
 def values(df):
@@ -60,7 +60,11 @@ def test_rollup_labels(spark):
 def test_time_range_prunes_days(spark, tmp_path):
     df = spark.sql("""select id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,id) as time from range(96)""")
     df.withColumn("day", F.to_date("time")).write.partitionBy("day").parquet(str(tmp_path / "t"))
-    table = spark.read.parquet(str(tmp_path / "t"))
+    plain = spark.read.parquet(str(tmp_path / "t"))
+    # Nothing says that the day is that of the time: no pruning on a guess, and the same rows.
+    unpruned = time_range(plain, "2024-01-02 06:00:00", "2024-01-03 00:00:00")
+    assert "isnotnull(day" not in unpruned._jdf.queryExecution().executedPlan().toString() and unpruned.count() == 18
+    table = with_partition_source(plain, "day", "time")
     picked = time_range(table, "2024-01-02 06:00:00", "2024-01-03 00:00:00")
     assert [r.id for r in picked.orderBy("id").collect()] == list(range(30, 48))
     plan = picked._jdf.queryExecution().executedPlan().toString()
