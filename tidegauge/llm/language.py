@@ -131,9 +131,13 @@ def _sample(docs: DataFrame, lang: str, text: str, doc_id: str, size: int, keep_
         least = least.withColumn("part", F.col("part") % parts)
         rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy("key"))
         least = least.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
-    least = least.groupBy("lang").agg(F.max("key").alias("most"))
-    # A row a language: the planner sees that it is small.
-    chosen = keyed.join(least, "lang").where("key <= most").withColumn("part", F.pmod(F.hash("key", "text", F.monotonically_increasing_id()), F.lit(64)))
+    # One number a language, whose names come to the driver anyway; a join could deal all texts by language.
+    most = {r.lang: r.most for r in least.groupBy("lang").agg(F.max("key").alias("most")).collect()}
+    if not most:
+        return keyed.limit(0).select("lang", "text", *["key"] * keep_key)
+    limit = F.create_map(*[F.lit(x) for pair in sorted(most.items()) for x in pair])
+    chosen = keyed.where(F.col("key") <= F.element_at(limit, F.col("lang"))).withColumn(
+        "part", F.pmod(F.hash("key", "text", F.monotonically_increasing_id()), F.lit(64)))
     # Rows of one id, should they be many, are cut here.
     for parts in (64, 8, 1):
         chosen = chosen.withColumn("part", F.col("part") % parts)
