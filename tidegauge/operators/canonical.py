@@ -49,7 +49,7 @@ CANONICAL_COLUMNS = (
 _WHOLE = {"motion_detected": "int", **dict.fromkeys(COUNTER_DEFAULTS, "long")}
 _WHOLE_IN_JSON = {name: {"int": "integer"}.get(kind, kind) for name, kind in _WHOLE.items()}
 
-# Other names a field may have in a message, in order of preference.
+# Other names a field may have in a message, in order of preference.
 _FALLBACK_NAMES = {
     "device_id": ("sensorId", "device_id", "deviceId"),
     "device_type": ("sensorType", "device_type", "deviceType"),

@@ -18,7 +18,7 @@ from tidegauge.functions.timeparts import Moment, between, bucketed, in_hours, l
 
 USAGE = "usage_user + usage_system"
 
-# Name of the result, aggregate, expression it is taken over.
+# Name of the result, aggregate, expression it is taken over.
 SINGLE_DAY = {
     "temp": ("device_id", (
         ("avg_temp", "avg", "temperature"), ("max_temp", "max", "temperature"))),

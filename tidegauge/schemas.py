@@ -101,9 +101,6 @@ SENSORS = _schema(
     bytes_received="long",
 )
 
-# The wide JSON message has the columns of the sensors table, uncomputed.
-JSON_WIDE = SENSORS
-
 SENSOR_DEFAULTS = {
     "latitude": 0.0,
     "longitude": 0.0,
@@ -122,106 +119,6 @@ SENSOR_DEFAULTS = {
     "bytes_received": 0,
 }
 
-CPU = _schema(
-    hostname="string",
-    region="string",
-    datacenter="string",
-    rack="string",
-    os="string",
-    arch="string",
-    team="string",
-    service="string",
-    service_version="string",
-    service_environment="string",
-    time="timestamp",
-    usage_user="float",
-    usage_system="float",
-    usage_idle="float",
-    usage_nice="float",
-    usage_iowait="float",
-    usage_irq="float",
-    usage_softirq="float",
-    usage_steal="float",
-    usage_guest="float",
-    usage_guest_nice="float",
-    load1="float",
-    load5="float",
-    load15="float",
-    n_cpus="integer",
-    n_users="integer",
-    n_processes="long",
-    uptime_seconds="long",
-    context_switches="long",
-    interrupts="long",
-    software_interrupts="long",
-)
-
-RAW_INTEGER = _schema(
-    sensor_id="integer",
-    sensor_type="integer",
-    location="integer",
-    temperature="double",
-    humidity="double",
-    pressure="double",
-    battery_level="double",
-    status="integer",
-    timestamp="timestamp",
-)
-
-ALERTS_INTEGER = _schema(
-    sensor_id="integer",
-    sensor_type="integer",
-    location="integer",
-    temperature="double",
-    humidity="double",
-    battery_level="double",
-    alert_type="string",
-    alert_time="timestamp",
-)
-
-RAW_LOCAL = _schema(
-    sensor_id="string",
-    sensor_type="string",
-    location="string",
-    temperature="double",
-    humidity="double",
-    pressure="double",
-    battery_level="double",
-    status="string",
-    timestamp="timestamp",
-    manufacturer="string",
-    model="string",
-    firmware_version="string",
-    latitude="double",
-    longitude="double",
-)
-
-ALERTS_LOCAL = _schema(
-    sensor_id="string",
-    sensor_type="string",
-    location="string",
-    temperature="double",
-    humidity="double",
-    battery_level="double",
-    alert_type="string",
-    alert_time="timestamp",
-)
-
-METRICS = _schema(
-    sensor_id="string",
-    sensor_type="string",
-    location="string",
-    window_start="timestamp",
-    window_end="timestamp",
-    avg_temperature="double",
-    avg_humidity="double",
-    avg_pressure="double",
-    min_battery="double",
-    max_battery="double",
-    reading_count="long",
-    processing_time="timestamp",
-)
-
 # Days a table keeps its rows.
 RETENTION_DAYS = {
     "sensor_raw_data": 7,

@@ -62,7 +62,10 @@ def decode_avro(
         from pyspark.sql.avro.functions import from_avro
 
         mode = "FAILFAST" if on_error == "fail" else "PERMISSIVE"
-        message = from_avro(F.col(column), avro_schema(layout), {"mode": mode})
+        sent = F.col(column)
+        if on_error == "fail":  # the module gives null for a null message
+            sent = F.when(sent.isNull(), F.raise_error(F.lit("a null message")).cast("binary")).otherwise(sent)
+        message = from_avro(sent, avro_schema(layout), {"mode": mode})
         decoded = df.select(*keep, F.col(column).alias(CORRUPT), message.alias("m"))
         bad = F.col("m").isNull() | F.col(f"m.{names[0]}").isNull()
         decoded = decoded.select(
