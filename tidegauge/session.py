@@ -75,6 +75,22 @@ def stream_settings(spark: SparkSession):
                 spark.conf.set(key, value)
 
 
+#: Folders that ``work_dir`` has named in this process.
+_named: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the folders that ``work_dir`` names inside, when they are done with, but for those put into the list given."""
+    start, kept = len(_named), []
+    yield kept
+    for path in _named[start:]:
+        if path not in kept:
+            files, root = hadoop_path(spark, path)
+            files.delete(root, True)
+    _named[start:] = [path for path in _named[start:] if path in kept]
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
@@ -86,7 +102,9 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="tidegauge-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
 
 
 def hadoop_path(spark: SparkSession, path: str):
