@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import bpe, decontaminate, jaccard_join, quality, secret_scan, simhash
 from tidegauge.llm.components import components, written
+from tidegauge.session import scratch, work_dir
 
 
 def _rows(df: DataFrame) -> DataFrame:
@@ -105,8 +106,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage wrote on its way goes when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    with scratch(spark) as results:
+        for name, stage in STAGES:
+            with scratch(spark) as kept:
+                kept.append(work_dir(spark, name))
+                found = stage(spark, docs, sf_dir)
+                found.write.parquet(kept[0])
+            docs = spark.read.schema(found.schema).parquet(kept[0])
+        results.append(kept[0])
     return docs
