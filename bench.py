@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 from tidegauge import schemas  # noqa: E402
-from tidegauge.plans import catalogue, views  # noqa: E402
+from tidegauge.plans import catalogue, report_queries, reports, state_queries, views  # noqa: E402
 from tidegauge.plans.messages import encode_readings  # noqa: E402
 from tidegauge.session import build_session, work_dir  # noqa: E402
 from tidegauge.streaming import jobs  # noqa: E402
@@ -79,6 +79,17 @@ def main() -> None:
         run()
         seconds[name] = round(timed(run), 4)
 
+    # Single-day figures for a table of parameters from the hour states that a stream keeps; the table is made beforehand.
+    states = state_queries.hour_table(spark, sf_dir, "temp")
+    asked = work_dir(spark, "bench-parameters")
+    report_queries._parameters(views.sensors(spark, sf_dir), "device_id").write.parquet(asked)
+
+    def from_states() -> None:
+        reports.single_day_from_states(states, "temp", spark.read.parquet(asked)).write.format("noop").mode("overwrite").save()
+
+    from_states()
+    seconds["g1_single_day_temp_from_states"] = round(min(timed(from_states) for _ in range(RUNS)), 4)
+
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({
         "metric": "total_warm_seconds",

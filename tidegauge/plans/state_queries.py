@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators import health, sketches, tables
-from tidegauge.plans import report_queries, reports, views
+from tidegauge.plans import alert_queries, report_queries, reports, views  # noqa: F401  (registers what is asked again here)
 from tidegauge.plans.health_queries import LATENCY
 from tidegauge.plans.registry import QUERIES, over_sensors, query
 from tidegauge.plans.stream_queries import run_of
