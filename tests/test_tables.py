@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidegauge.functions.timeparts import time_range
@@ -53,6 +54,22 @@ def test_layout_without_adaptive_execution(spark, sensor_rows, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "t")).count() == 60
 
 
+def test_bloom_filters_are_of_the_size_that_a_file_needs(spark, sensor_rows, tmp_path):
+    # Devices of a reading or two, so that the column is no dictionary and has a filter.
+    rows = sensor_rows([(i, f"device-{i * 7919:09d}", dt.datetime(2024, 1, 1 + i % 3)) for i in range(1500)])
+    for name, write in (("bulk", tables.write_table), ("batch", lambda df, path, layout: tables.write_batch(df, 0, path, layout, "w"))):
+        write(rows, str(tmp_path / name), LAYOUTS["sensors"])
+        files = list((tmp_path / name).rglob("*.parquet"))
+        filters = duckdb.execute("select bloom_filter_length from parquet_metadata(?) where path_in_schema = 'device_id'",
+                                 [[str(f) for f in files]]).fetchall()
+        assert len(filters) >= 3 and all(64 < length < 10_000 for (length,) in filters)
+        assert sum(f.stat().st_size for f in files) < 1_000_000
+        found = duckdb.execute("select sum(bloom_filter_excludes::int), count(*) from parquet_bloom_probe(?, 'device_id', 'device-x')",
+                               [[str(f) for f in files]]).fetchone()
+        assert found[0] >= found[1] - 1
+        assert tables.read_table(spark, str(tmp_path / name)).filter("device_id = 'device-000007919'").count() == 1
+
+
 def test_month_partitions(spark, tmp_path):
     df = spark.sql("select 's' as service, 'h' as hostname, timestamp'2024-02-29 10:00:00' as time")
     tables.write_table(df, str(tmp_path / "cpu"), LAYOUTS["cpu"])

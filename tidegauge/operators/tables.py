@@ -39,6 +39,9 @@ class Layout:
     by: str = "day"
 
 
+#: Sizes that a bloom filter is chosen from: 1 MB and its halves, down to 64 bytes.
+BLOOM_SIZES = 15
+
 LAYOUTS = {
     "sensors": Layout("time", ("device_id",), ("device_id", "customer_id")),
     "cpu": Layout("time", ("service", "hostname"), ("hostname", "service"), by="month"),
@@ -56,8 +59,11 @@ def with_partition(df: DataFrame, layout: Layout) -> DataFrame:
 def _writer(df: DataFrame, layout: Layout) -> DataFrameWriter:
     """Sorted rows; ``df`` already has the partition column."""
     writer = df.sortWithinPartitions(layout.by, *layout.keys, layout.time).write.partitionBy(layout.by)
+    # Filters of the size that a file's values need, else each file has one of 1 MB however few they are.
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     for column in layout.bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer = writer.option(f"parquet.bloom.filter.candidates.number#{column}", BLOOM_SIZES)
     return writer
 
 
