@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tidegauge import schemas
 from tidegauge.operators import commits, hourly, rollup, tables
-from tidegauge.plans import messages, views
+from tidegauge.plans import messages, stream_queries, views
 from tidegauge.session import STREAM_SETTINGS, work_dir
 from tidegauge.streaming import jobs, progress, sinks
 
@@ -304,3 +304,19 @@ def test_work_dir_follows_the_cluster_setting():
     assert a != b and a.startswith("s3a://shared/work/x-")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(Session("spark://cluster:7077"), "x")
+
+
+def test_batches_are_of_files_that_do_not_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 50)
+    batches = []
+
+    def write(batch, batch_id):
+        rows = batch.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"), F.collect_list("seq").alias("ids"))
+        batches.append(rows.collect())
+
+    rows = stream_queries._in_four_batches(spark, SMALL)
+    jobs.start(rows, write, jobs.Run(str(tmp_path / "out"), str(tmp_path / "checkpoint"), every=None)).awaitTermination()
+    assert len(batches) == 4 and all(len(b) > 1 for b in batches)
+    assert max(r.rows for b in batches for r in b) <= 2 * 50
+    events = [r.event_id for r in views.events(spark, SMALL).select("event_id").collect()]
+    assert sorted(i for b in batches for r in b for i in r.ids) == sorted(events)

@@ -70,12 +70,19 @@ def event_time_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(_append_rollups(jobs.start_rollup_stream, spark, sf_dir, "h2", _sensors))
 
 
-def _in_four_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of four files by id, one per batch: times go back and forth."""
+#: Rows of a file that a batch reads; a file is one task's, which sorts its rows.
+FILE_ROWS = 250_000
+
+
+def _in_four_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files by id, a quarter of them per batch: times go back and forth."""
     source = work_dir(spark, "events-by-id")
     rows = views.events(spark, sf_dir)
-    rows.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4))).repartition(4, "part").drop("part").write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    per_batch = max(1, -(-rows.count() // (4 * FILE_ROWS)))
+    rows.repartition(4 * per_batch, F.xxhash64("event_id")).write.parquet(source)
+    files, written = hadoop_path(spark, f"{source}/part-*")
+    per_batch = max(1, -(-len(files.globStatus(written)) // 4))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(source)
     return views.to_sensors(stream.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
@@ -83,7 +90,7 @@ def _in_four_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default mode over files out of time order: no reading is too late."""
     run = run_of(spark, "h8-unordered")
-    jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour").awaitTermination()
+    jobs.start_rollup_stream(_in_four_batches(spark, sf_dir), run, "1 hour").awaitTermination()
     return plain_times(jobs.read_rollups(tables.read_table(spark, run.output)))
 
 
@@ -261,7 +268,7 @@ def compacted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
         if batch_id == 1:
             tables.compact_batches(spark, run.output, compact, layout)
 
-    jobs.start(_in_four_files(spark, sf_dir), write, run).awaitTermination()
+    jobs.start(_in_four_batches(spark, sf_dir), write, run).awaitTermination()
     for _ in range(2):
         tables.compact_batches(spark, run.output, compact, layout)
     tables.remove_compacted(spark, run.output, compact)
@@ -274,7 +281,7 @@ def compacted_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of changing windows stays readable when its batches are compacted."""
     run = run_of(spark, "h7-update")
     compact = work_dir(spark, "h7-update-compact")
-    jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour", mode="update", lateness="60 days").awaitTermination()
+    jobs.start_rollup_stream(_in_four_batches(spark, sf_dir), run, "1 hour", mode="update", lateness="60 days").awaitTermination()
     tables.compact_batches(spark, run.output, compact, jobs.ROLLUPS, upto=1)
     return plain_times(jobs.read_rollups(tables.read_compacted(spark, run.output, compact), "update"))
 
@@ -375,7 +382,7 @@ def fresh_checkpoint_same_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     Before that a batch dies after its rows and before its commit, which no reader sees.
     """
     run = run_of(spark, "h7-fresh")
-    jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour").awaitTermination()
+    jobs.start_rollup_stream(_in_four_batches(spark, sf_dir), run, "1 hour").awaitTermination()
     lost = rollup.rollup_states(views.sensors(spark, sf_dir), "1 hour")
     tables.write_batch(lost, 9, run.output, jobs.ROLLUPS, run.writer, tables.commits.committed(spark, run.output)[0].generation)
     files, checkpoint = hadoop_path(spark, run.checkpoint)
@@ -392,7 +399,7 @@ def append_only_fresh_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     append_ledger = lambda df: df.write.mode("append").parquet(f"{out}/ledger")
     append_ledger(spark.createDataFrame([], "writer string, batch_id long, attempt string"))
     sink = append_only_sink(append_rows, append_ledger, lambda s: s.read.parquet(f"{out}/ledger"), run.writer)
-    for source in (_in_four_files, _sensors):
+    for source in (_in_four_batches, _sensors):
         rows = source(spark, sf_dir).select("seq", "device_id", "temperature", "time")
         jobs.start(rows, sink, run).awaitTermination()
         files, checkpoint = hadoop_path(spark, run.checkpoint)
@@ -404,7 +411,7 @@ def append_only_fresh_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of many batches, merged by two compactions: the stored rows are one a key and window."""
     run, compact = run_of(spark, "f1-merged"), work_dir(spark, "f1-merged-compact")
-    jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour").awaitTermination()
+    jobs.start_rollup_stream(_in_four_batches(spark, sf_dir), run, "1 hour").awaitTermination()
     for upto in (1, None):
         tables.compact_batches(spark, run.output, compact, jobs.ROLLUPS, upto=upto, merge=jobs.merge_states)
     tables.remove_compacted(spark, run.output, compact)
@@ -417,6 +424,6 @@ def merged_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pruned_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of windows of a stored roll-up: the folders of other days are neither listed nor merged."""
     run = run_of(spark, "h8-pruned")
-    jobs.start_rollup_stream(_in_four_files(spark, sf_dir), run, "1 hour").awaitTermination()
+    jobs.start_rollup_stream(_in_four_batches(spark, sf_dir), run, "1 hour").awaitTermination()
     rolled = jobs.read_rollups(tables.read_table(spark, run.output), day=True)
     return plain_times(last(rolled, AS_OF, "window_start", days=3).drop("day"))
