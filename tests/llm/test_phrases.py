@@ -1,9 +1,13 @@
 """Collocations against a plain version."""
 
+import json
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +85,44 @@ def test_score_is_exact(spark):
 
 def test_no_documents(empty):
     assert phrases.collocations(empty).count() == 0
+
+
+def mined(shard, langs, key, n, total):
+    """A row of ``_mine``: sorted hashes of each language with their counts."""
+    steps = np.concatenate([phrases._steps(k) for k in key])
+    block = phrases._pack(np.array([len(k) for k in key]), steps, np.concatenate(n))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([0], pa.int32()), pa.array([shard], pa.int32()), pa.array([json.dumps([langs, total])]), pa.array([block], pa.binary())],
+        ["bucket", "shard", "langs", "block"])
+
+
+def locally_frequent(folder, batches, support):
+    list(phrases._frequent_somewhere(phrases.hash_arrays.make_folder(str(folder)), 0, support)(iter(batches)))
+    return np.fromfile(folder / "0.keys", "<u8").tolist()
+
+
+def test_a_bucket_is_added_up_in_narrow_columns(tmp_path):
+    batches, sums = [], Counter()
+    for shard in range(20):
+        key = np.unique(np.random.default_rng(shard).integers(0, 400_000, 100_000).astype(np.uint64))
+        n = np.random.default_rng(shard + 99).integers(1, 4, len(key)).astype(np.uint64)
+        batches.append(mined(shard % 10, ["a"], [key], [n], {"a": 1000}))
+        for k, c in zip(key.tolist(), n.tolist(), strict=True):
+            sums[k, shard % 10] += c
+    rows = sum(phrases._unpack(b.column("block")[0].as_py())[0][0] for b in batches)
+    tracemalloc.start()
+    try:
+        found = locally_frequent(tmp_path, batches, 30)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == sorted({k for (k, _), c in sums.items() if c >= 3})
+    assert peak < 50 * int(rows)
+
+
+def test_languages_that_fall_together_lose_nothing(tmp_path):
+    one, key = np.array([1], np.uint64), np.array([7], np.uint64)
+    # Of "a" a shard needs 5 of 10; of "b" it has a tenth and needs 1.
+    batches = [mined(0, ["a"], [key], [one], {"a": 50, "b": 10}), mined(0, ["b"], [key], [one], None),
+               mined(1, ["a"], [np.array([9], np.uint64)], [one], {"a": 50, "b": 90})]
+    assert locally_frequent(tmp_path, batches, 10) == [7]

@@ -52,6 +52,7 @@ SHARDS = 10
 FLUSH = 4_000_000
 #: Of 64-bit hashes, the bits left out of local counts.
 _LOCAL = np.uint64(16)
+_SHARD = np.uint64(0xFFFF)
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _GAP = _BREAK.copy()
@@ -117,6 +118,13 @@ def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def _end_to_end(parts: list[np.ndarray]) -> np.ndarray:
+    """The arrays of a list as one; the list is empty then."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
 MINED = "bucket int, shard int, langs string, block binary"
 
 
@@ -178,7 +186,7 @@ def _frequent_somewhere(uri: str, bits: int, support: int):
         for (bucket,), held in _runs(batches, ("bucket",)):
             names: dict = {}
             total: dict = {}
-            keys, counts, langs, shards = [], [], [], []
+            keys, counts, langs = [], [], []
             for b in held:
                 for shard, head, block in zip(*(b.column(c).to_pylist() for c in ("shard", "langs", "block")), strict=True):
                     own, words = json.loads(head)
@@ -192,23 +200,28 @@ def _frequent_somewhere(uri: str, bits: int, support: int):
                         # Differences begin anew with each language.
                         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
                         before = np.where(starts > 0, key[np.maximum(starts - 1, 0)], np.uint64(0))
-                        keys.append(key - np.repeat(before, lengths))
-                        counts.append(n.astype(np.int64))
-                        langs.append(np.repeat([names.setdefault(x, len(names)) for x in own], lengths))
-                        shards.append(np.full(len(key), shard))
+                        # The hash, and the shard in the bits that local counts leave out.
+                        keys.append((key - np.repeat(before, lengths)) << _LOCAL | np.uint64(shard))
+                        counts.append(n.astype(np.min_scalar_type(int(n.max()))))
+                        langs.append(np.repeat(np.array([names.setdefault(x, len(names)) for x in own], np.int32), lengths))
             if not keys:
                 continue
-            key, n, lang, shard = (np.concatenate(c) for c in (keys, counts, langs, shards))
             whole = [sum(v for (x, _), v in total.items() if x == i) for i in range(len(names))]
-            least = np.zeros((len(names), int(shard.max()) + 1), np.int64)
+            least = np.zeros((len(names), 1 + max(s for _, s in total)), np.int64)
             for (i, s), v in total.items():
-                if s < least.shape[1]:
-                    least[i, s] = -(-support * v // max(whole[i], 1))
-            order = np.lexsort((shard, key))
-            key, n, lang, shard = key[order], n[order], lang[order], shard[order]
-            at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])))
-            sums = np.add.reduceat(n, at)
-            found = np.unique(key[at][sums >= least[lang[at], shard[at]]])
+                least[i, s] = -(-support * v // max(whole[i], 1))
+            least = least.astype(np.min_scalar_type(int(least.max())))
+            # A bucket's rows are many: columns are narrow, and gone when they are done with.
+            key = _end_to_end(keys)
+            limit = least[_end_to_end(langs), (key & _SHARD).astype(np.uint16)]
+            n = _end_to_end(counts)
+            order = np.argsort(key)
+            key, n, limit = key[order], n[order], limit[order]
+            del order
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            # Where phrases of two languages fall together the lesser threshold holds.
+            frequent = np.add.reduceat(n, at, dtype=np.int64) >= np.minimum.reduceat(limit, at)
+            found = np.unique(key[at[frequent]] >> _LOCAL)
             hash_arrays.save(uri, f"{bucket}.keys", found.astype("<u8"))
             yield pa.RecordBatch.from_arrays([pa.array([len(found)])], ["n"])
 
@@ -314,6 +327,8 @@ def _add_up(support: int):
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT,
                      shards: int = SHARDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Phrases (lang, w: hashes of 1 to ``LENGTHS`` words, a), word totals (lang, n) and words (hash, word)."""
+    if shards > 1 << 16:
+        raise ValueError("a shard's number has 16 bits")
     spark = docs.sparkSession
     bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     sent = docs.select(docs[text].cast("string").alias("text"), F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"))
