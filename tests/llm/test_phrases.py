@@ -126,3 +126,19 @@ def test_languages_that_fall_together_lose_nothing(tmp_path):
     batches = [mined(0, ["a"], [key], [one], {"a": 50, "b": 10}), mined(0, ["b"], [key], [one], None),
                mined(1, ["a"], [np.array([9], np.uint64)], [one], {"a": 50, "b": 90})]
     assert locally_frequent(tmp_path, batches, 10) == [7]
+
+
+def test_a_task_holds_little_while_it_counts(monkeypatch):
+    monkeypatch.setattr(phrases.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    pick = random.Random(5)
+    texts = [" ".join(f"w{pick.randrange(3000)}" for _ in range(1000)) for _ in range(700)]
+    batch = pa.record_batch([pa.array(texts), pa.array(["a", "b"] * 350)], ["text", "lang"])
+    tracemalloc.start()
+    try:
+        rows = list(phrases._mine(2, 10)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    counted = sum(int(phrases._unpack(block)[2].sum()) for r in rows for block in r.column("block").to_pylist())
+    assert counted == 700 * (1000 + 999 + 998 + 997)
+    assert peak < 60 * counted

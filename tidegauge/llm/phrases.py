@@ -49,7 +49,7 @@ LENGTHS = 4
 SUPPORT = 30
 SHARDS = 10
 #: Phrases that a task holds before it sends them on.
-FLUSH = 4_000_000
+FLUSH = 3_000_000
 #: Of 64-bit hashes, the bits left out of local counts.
 _LOCAL = np.uint64(16)
 _SHARD = np.uint64(0xFFFF)
@@ -87,7 +87,8 @@ class _Words:
         n = len(starts)
         cut = np.ones(n + 1, bool)  # whether a word begins a piece
         if n:
-            breaks = np.concatenate(([0], np.cumsum(_BREAK[raw], dtype=np.int64)))
+            breaks = np.zeros(len(raw) + 1, np.int32 if len(raw) < 2**31 else np.int64)
+            np.cumsum(_BREAK[raw], dtype=breaks.dtype, out=breaks[1:])
             cut[1:n] = breaks[starts[1:]] > breaks[ends[:-1]]
             cut[rows[:-1][rows[:-1] < n]] = True
         at = np.flatnonzero(cut)
@@ -115,7 +116,7 @@ def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(n, at) if len(at) else n
+    return keys[at], np.add.reduceat(n, at, dtype=np.int64) if len(at) else n
 
 
 def _end_to_end(parts: list[np.ndarray]) -> np.ndarray:
@@ -138,7 +139,7 @@ def _mine(bits: int, shards: int):
 
         def flush():
             names = sorted(held)
-            merged = {x: _merge(*(np.concatenate(c) for c in zip(*held[x], strict=True))) for x in names}
+            merged = {x: _merge(*map(np.concatenate, zip(*held.pop(x), strict=True))) for x in names}
             cuts = {x: np.searchsorted(k >> np.uint64(48 - bits), np.arange((1 << bits) + 1)) for x, (k, _) in merged.items()}
             out = []
             for b in range(1 << bits):
@@ -158,14 +159,14 @@ def _mine(bits: int, shards: int):
             words = _Words(piece.column("text"), piece.column("lang"))
             for x, n in words.totals().items():
                 total[x] = total.get(x, 0) + n
-            found = list(words.grams())
-            lang = np.concatenate([words.lang[at] for _, at, _ in found])
-            key = np.concatenate([key for _, _, key in found]) >> _LOCAL
+            # One language at a time, and counts in few bytes: what a task holds at once is bounded by this.
+            found = [(words.lang[at], key >> _LOCAL) for _, at, key in words.grams()]
             for i, x in enumerate(words.langs):
-                own, n = np.unique(key[lang == i] if len(words.langs) > 1 else key, return_counts=True)
+                own, n = np.unique(np.concatenate([key[lang == i] for lang, key in found]), return_counts=True)
                 if len(own):
-                    held.setdefault(x, []).append((own, n))
+                    held.setdefault(x, []).append((own, n.astype(np.min_scalar_type(int(n.max())))))
                     size += len(own)
+            del words, found
             if size > FLUSH:
                 yield batch(flush())
                 held, size = {}, 0
