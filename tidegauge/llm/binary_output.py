@@ -119,7 +119,7 @@ class WordTokenizer:
 
     def _encode(self, segments: list[bytes]) -> list[tuple]:
         got = self.tokenizer.encode_batch_fast([s.decode() for s in segments], add_special_tokens=False)
-        return [(np.array(x.ids, np.uint32),) for x in got]
+        return [(x.ids,) for x in got]
 
     def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each row closed by ``end_id``, and the numbers of ids."""

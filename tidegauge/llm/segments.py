@@ -11,6 +11,7 @@ segment has to be encoded only once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,8 @@ def segment(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 class SegmentCache:
     """Encoded segments, kept from batch to batch in a worker.
 
-    ``encode_many`` maps a list of segments to a list of tuples of numpy arrays, one
-    per column.  The cache starts anew when it holds ``limit`` segments.
+    ``encode_many`` maps a list of segments to a list of tuples of numpy arrays or lists,
+    one per column.  The cache starts anew when it holds ``limit`` segments.
     """
 
     def __init__(self, encode_many: Callable[[list[bytes]], list[tuple]], types: tuple, limit: int = 700_000):
@@ -72,7 +73,7 @@ class SegmentCache:
         """The number of each distinct segment."""
         if len(self.index) + len(distinct) > self.limit:
             self._clear()
-        keys = distinct.to_pylist()
+        keys = distinct.to_numpy(zero_copy_only=False).tolist()  # ``to_pylist`` makes a scalar of each first
         found = [self.index.get(k, -1) for k in keys]
         missing = [i for i, x in enumerate(found) if x < 0]
         if missing:
@@ -85,7 +86,8 @@ class SegmentCache:
                 base = len(self.values[c])
                 self.starts[c] = np.append(self.starts[c], base + np.cumsum(lengths) - lengths)
                 self.lengths[c] = np.append(self.lengths[c], lengths)
-                self.values[c] = np.append(self.values[c], np.concatenate(column).astype(t))
+                flat = np.fromiter(chain.from_iterable(column), t, int(lengths.sum())) if isinstance(column[0], list) else np.concatenate(column)
+                self.values[c] = np.append(self.values[c], flat.astype(t))
         return np.array(found, np.int64)
 
     def join(self, column: int, numbers: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
