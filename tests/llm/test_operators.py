@@ -21,6 +21,7 @@ from tests.llm.conftest import SMALL, by_id
 from tidegauge.llm import (
     binary_output, bpe, components, decontaminate, hash_arrays, kneser_ney, language, quality, secret_scan, segments, sharding, simhash, suffix_arrays,
 )
+from tidegauge import session
 from tidegauge.session import work_dir
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -140,6 +141,25 @@ class TestByteBpe:
 
 
 class TestKneserNey:
+    def test_used_grams_are_freed(self, spark, docs):
+        """What an order has handed on is deleted when the next has counted it."""
+        kneser_ney.train(docs, work_dir(spark, "t"), bits=2, order=3)
+        left = {k: spark.read.parquet([p for p in session._named if f"/grams{k}-" in p][-1]) for k in (3, 2)}
+        assert left[3].where("kind = 'gram'").isEmpty() and not left[3].where("kind = 'tokens'").isEmpty()
+        assert not left[2].where("kind = 'kinds'").isEmpty()
+
+    @pytest.mark.parametrize("top, size", [(1 << 14, 3.3), (1 << 47, 7.8)])
+    def test_blocks_of_grams(self, top, size):
+        rng = np.random.default_rng(7)
+        words = [rng.integers(0, top, 40_000).astype(np.uint64) % np.uint64(300 if i < 2 else top) for i in range(3)]
+        words, key, n = kneser_ney._summed(words, np.ones(40_000, np.int64))
+        blocks = list(kneser_ney._blocks((key >> np.uint64(61)).astype(np.int32), words, n))
+        got = kneser_ney._summed(*kneser_ney._grams([b for _, b in blocks]))
+        assert sorted(b for b, _ in blocks) == list(range(8))
+        assert (got[1] == key).all() and (got[2] == n).all() and all((a == b).all() for a, b in zip(got[0], words, strict=True))
+        # Words that repeat from row to row take little: 3.0 and 7.6 bytes a gram, as plain numbers 3.5 and 7.9.
+        assert sum(len(b) for _, b in blocks) < len(n) * size
+
     @pytest.mark.parametrize("order", [2, 3, 4])
     def test_against_plain(self, spark, docs, rows, order):
         model = kneser_ney.train(docs.where(~kneser_ney.held_out()), work_dir(spark, "t"), bits=3, order=order)

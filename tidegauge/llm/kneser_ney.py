@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import hash_arrays
-from tidegauge.llm.components import written
 from tidegauge.llm.batches import annotate, buffer_of, encode, lower, pieces, row_sums, word_spans
 from tidegauge.llm.jaccard_join import _pack, _runs, _steps, _unpack
+from tidegauge.session import hadoop_path, work_dir
 
 ORDER = 3
 #: Grams that a task holds before it sends them on.
@@ -63,7 +63,7 @@ def _tokens(texts: pa.Array):
     raw = lower(raw)
     starts, ends, rows = word_spans(raw, offsets)
     codes, distinct = encode(raw, starts, ends)
-    hashes = np.fromiter(map(_hash48, distinct.to_pylist()), np.uint64, len(distinct))
+    hashes = np.fromiter(map(_hash48, distinct.to_numpy(zero_copy_only=False)), np.uint64, len(distinct))
     n = len(hashes)
     closed = np.insert(codes.astype(np.int64), rows[1:], n)
     return np.append(hashes, np.array([END, START], np.uint64)), closed, rows + np.arange(len(rows))
@@ -94,14 +94,44 @@ def _summed(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], n
     return [w[order][at] for w in words], key[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def _sorted_steps(places: np.ndarray) -> list[np.ndarray]:
+    """Columns of sorted rows, each number as its distance to the row before where that agrees in all columns before."""
+    out, same = [], np.arange(places.shape[1]) > 0
+    for p in places:
+        before = np.append(np.uint64(0), p[:-1])
+        out.append(np.where(same, p - before, p))
+        same = same & (p == before)
+    return out
+
+
+def _sorted_rows(steps: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns that ``_sorted_steps`` was given."""
+    out, same = [], np.arange(len(steps[0])) > 0
+    for d in steps:
+        total, at = np.cumsum(d), np.flatnonzero(~same)
+        out.append(total - np.repeat((total - d)[at], np.diff(np.append(at, len(d)))))
+        same = same & (d == 0)
+    return out
+
+
 def _blocks(bucket: np.ndarray, words: list[np.ndarray], n: np.ndarray):
     """(bucket, block) of grams: the words of a block are numbered, and grams sorted by them."""
-    order = np.lexsort((*words[::-1], bucket))
-    bucket, words, n = bucket[order], [w[order] for w in words], n[order]
-    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    for a, b in zip(at.tolist(), np.append(at, len(bucket))[1:].tolist(), strict=True):
-        own, place = np.unique(np.concatenate([w[a:b] for w in words]), return_inverse=True)
-        yield int(bucket[a]), _pack(_steps(own), n[a:b], *place.reshape(len(words), -1))
+    if not len(bucket):
+        return
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for rows in np.split(order, cuts):
+        own, place = np.unique(np.concatenate([w[rows] for w in words]), return_inverse=True)
+        place = place.reshape(len(words), -1).astype(np.uint64)
+        width = len(own).bit_length()
+        if width * len(words) <= 64:  # one number a gram
+            key = place[0]
+            for p in place[1:]:
+                key = key << np.uint64(width) | p
+            by = np.argsort(key)
+        else:
+            by = np.lexsort(place[::-1])
+        yield int(bucket[rows[0]]), _pack(_steps(own), n[rows][by], *_sorted_steps(place[:, by]))
 
 
 def _grams(blocks: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -109,7 +139,7 @@ def _grams(blocks: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     for block in blocks:
         steps, n, *places = _unpack(block)
         own = np.cumsum(steps, dtype=np.uint64)
-        words.append([own[p.astype(np.int64)] for p in places])
+        words.append([own[p.astype(np.int64)] for p in _sorted_rows(places)])
         counts.append(n.astype(np.int64))
     return [np.concatenate(c) for c in zip(*words, strict=True)], np.concatenate(counts)
 
@@ -252,9 +282,16 @@ def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = N
             json.loads(r.stats) for r in df.where("kind = 'sums'").select("stats").collect())], axis=0).tolist()
 
     current = docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, SCHEMA)
-    levels, words = {}, None
+    levels, words, used = {}, None, None
     for k in range(order, 1, -1):
-        current = written(deal(current.where("kind = 'gram'")).mapInArrow(merge(k), SCHEMA), f"grams{k}")
+        path = work_dir(spark, f"grams{k}")
+        deal(current.where("kind = 'gram'")).mapInArrow(merge(k), SCHEMA).write.partitionBy("kind").parquet(path)
+        current = spark.read.schema(SCHEMA).parquet(path)
+        # Grams that were handed on are in this order's model; the rest of their table is read at the end.
+        if used:
+            files, folder = hadoop_path(spark, used)
+            files.delete(folder, True)
+        used = f"{path}/kind=gram"
         kinds, *ones = total(current, 5)
         levels[k] = {"kinds": kinds, "discounts": discounts(ones)}
         own = current.where("kind in ('tokens', 'kinds')")
@@ -315,7 +352,9 @@ def score_batch(texts: pa.Array, model: dict) -> list[np.ndarray]:
     for k in range(2, model["order"] + 1 if model["kinds"] else 2):
         d = np.array([0.0, *model["levels"][k]["discounts"]])
         context = _hash_of([_before(words, rows, back, START) for back in range(k - 1, 0, -1)])
-        gram, at, where = np.unique(_mix(context, words), return_index=True, return_inverse=True)
+        gram, where = np.unique(_mix(context, words), return_inverse=True)
+        at = np.empty(len(gram), np.int64)
+        at[where] = np.arange(len(where))
         (c,) = _find(model, f"gram{k}", (context[at] >> shift).astype(np.int64), gram, 1)
         context, of = np.unique(context, return_inverse=True)
         total, *seen = _find(model, f"context{k}", (context >> shift).astype(np.int64), context, 4)
