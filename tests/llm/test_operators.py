@@ -49,6 +49,35 @@ class TestBinaryOutput:
 
         assert min(seconds(lambda: cache.find(words)) for _ in range(5)) < 0.7 * min(seconds(words.to_pylist) for _ in range(5))
 
+    def test_full_cache_keeps_what_was_found_again(self):
+        asked = []
+        cache = segments.SegmentCache(lambda many: asked.extend(many) or [([len(s), s[0]],) for s in many], (np.uint32,), limit=8)
+        ids = lambda words: cache.join(0, cache.find(pa.array(words, pa.binary())), np.arange(len(words) + 1))[0].tolist()
+        ids([b"a", b"bb", b"c1", b"c2"])
+        ids([b"bb", b"a", b"c3"])
+        asked.clear()
+        assert ids([b"d", b"bb", b"c1", b"a", b"eee"]) == [1, 100, 2, 98, 2, 99, 1, 97, 3, 101]
+        assert asked == [b"d", b"c1", b"eee"] and len(cache.index) == 5
+
+    def test_cases_and_white_space_are_one_segment(self):
+        words = binary_output.WordTokenizer(WORDS)
+        rng = np.random.default_rng(3)
+        some = list("AaHhTtWwYyJjIisSvVeE.,!'<|>\t\n\x0b\r 09\u0331\u0308\u030a\u030c\u0307\u0301\x85\xa0\u3000\u0130\u03a3\xe9")
+        texts = ["The\tthe\nTHE the", "H\u0331 T\u0308 W\u030a J\u030c I\u0307", "I'LL <|ENDOFTEXT|> x<|endoftext|>Y", None, "", "A\x1cB\x85C \x0bD",
+                 *("".join(rng.choice(some, rng.integers(1, 30))) for _ in range(3000))]
+        assert len(segments.segment(pa.array(texts[:1]), words.folded)[1]) == 2
+        ids, lengths = words.batch(pa.array(texts), 2)
+        got = np.split(ids, np.cumsum(lengths)[:-1])
+        assert [x.tolist() for x in got] == [words.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+    def test_only_own_rows_are_searched_for_names(self, monkeypatch):
+        words = binary_output.WordTokenizer(WORDS)
+        read = []
+        monkeypatch.setattr(binary_output, "buffer_of", lambda t: read.append(len(t)) or segments.buffer_of(t))
+        texts = pa.array(["a <|endoftext|>", "b c", "d"])
+        lengths = [words.batch(texts.slice(i, 1), 2)[1].tolist() for i in range(3)]
+        assert lengths == [[3], [3], [2]] and read == [1, 1, 1]
+
     def test_against_library(self, spark, docs, rows):
         folder = work_dir(spark, "t")
         files = binary_output.write_tokens(docs, folder, WORDS, 2)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.batches import pieces
+from tidegauge.llm.batches import buffer_of, pieces
 from tidegauge.llm.hash_arrays import folder_uri, make_folder
 from tidegauge.llm.segments import SegmentCache, segment
 
@@ -115,6 +115,12 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # Letters of either case, and all white space, are one to a tokenizer that makes them so; a special
+        # name is not, but no segment holds one that segments break.
+        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        either = [(chr(c), chr(c + 32)) for c in range(65, 91)] + [(chr(c), " ") for c in range(9, 14)]
+        self.folded = (all(normal(f"x{a}y") == normal(f"x{b}y") for a, b in either)
+                       and all(len(segment(pa.array([s]))[0]) > 1 for s in self.special))
         self.cache = SegmentCache(self._encode, (np.uint32,))
 
     def _encode(self, segments: list[bytes]) -> list[tuple]:
@@ -123,11 +129,12 @@ class WordTokenizer:
 
     def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each row closed by ``end_id``, and the numbers of ids."""
-        codes, distinct, rows = segment(texts)
+        codes, distinct, rows = segment(texts, self.folded)
         ids, cuts = self.cache.join(0, self.cache.find(distinct)[codes], rows)
         lengths = np.diff(cuts)
         # Names of special tokens in a text are one token, which segments would break.
-        plain = texts.to_pylist() if any(s.encode() in bytes(texts.buffers()[-1] or b"") for s in self.special) else []
+        data = buffer_of(texts)[0].tobytes()  # of these rows alone: the buffer is that of the whole batch
+        plain = texts.to_pylist() if any(s.encode() in data for s in self.special) else []
         named = [i for i, t in enumerate(plain) if t and any(s in t for s in self.special)]
         if named:
             rows_of = [ids[cuts[i]:cuts[i + 1]] for i in range(len(lengths))]
