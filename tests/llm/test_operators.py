@@ -1,10 +1,13 @@
 """Every operator against its plain version, on the small table and hard cases."""
 
+import glob
 import hashlib
 import itertools
 import math
+import os
 import pickle
 import random
+import tempfile
 import time
 from collections import Counter, defaultdict
 
@@ -177,6 +180,29 @@ class TestKneserNey:
         assert left[3].where("kind = 'gram'").isEmpty() and not left[3].where("kind = 'tokens'").isEmpty()
         assert not left[2].where("kind = 'kinds'").isEmpty()
 
+    def test_used_shuffles_are_freed(self, spark, docs):
+        """No shuffle of the training is left when it ends, and the setting is as it was."""
+        blocks = lambda: {(d, f) for top in glob.glob(f"{local}/**/blockmgr-*", recursive=True) for d, _, fs in os.walk(top)
+                          for f in fs if f.startswith("shuffle_")}
+        local = spark.sparkContext._jsc.sc().getConf().get("spark.local.dir", tempfile.gettempdir())
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before, was = blocks(), spark.conf.get(key)
+        kneser_ney.train(docs, work_dir(spark, "t"), bits=2, order=3)
+        end = time.time() + 10
+        while blocks() - before and time.time() < end:
+            time.sleep(0.1)
+        assert not blocks() - before and spark.conf.get(key) == was
+
+    def test_known_keys_are_found_and_others_not(self, tmp_path):
+        rng = np.random.default_rng(5)
+        for size in (0, 1, 2, 3, 5000, 200_000):
+            keys = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            n = rng.integers(1, 600, len(keys))
+            kneser_ney._save_table(str(tmp_path), f"t{size}", keys, [n])
+            others = rng.integers(1 << 63, (1 << 64) - 1, 1000, dtype=np.uint64)
+            (got,) = kneser_ney._find_in(str(tmp_path), f"t{size}", np.concatenate((others, keys)), 1)
+            assert not got[:1000].any() and (got[1000:] == n).all()
+
     @pytest.mark.parametrize("top, size", [(1 << 14, 3.3), (1 << 47, 7.8)])
     def test_blocks_of_grams(self, top, size):
         rng = np.random.default_rng(7)

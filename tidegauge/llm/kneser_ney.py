@@ -34,15 +34,19 @@ from pyspark.sql import functions as F
 from tidegauge.llm import hash_arrays
 from tidegauge.llm.batches import annotate, buffer_of, encode, lower, pieces, row_sums, word_spans
 from tidegauge.llm.jaccard_join import _pack, _runs, _steps, _unpack
-from tidegauge.session import hadoop_path, work_dir
+from tidegauge.session import freed_shuffles, hadoop_path, work_dir
 
 ORDER = 3
 #: Grams that a task holds before it sends them on.
 FLUSH = 3_000_000
 
 
+#: The bits of a word's hash.
+_WORD = np.uint64((1 << 48) - 1)
+
+
 def _hash48(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & ((1 << 48) - 1)
+    return xxhash.xxh3_64_intdigest(word) & int(_WORD)
 
 
 # Neither can be a word.
@@ -63,7 +67,7 @@ def _tokens(texts: pa.Array):
     raw = lower(raw)
     starts, ends, rows = word_spans(raw, offsets)
     codes, distinct = encode(raw, starts, ends)
-    hashes = np.fromiter(map(_hash48, distinct.to_numpy(zero_copy_only=False)), np.uint64, len(distinct))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_numpy(zero_copy_only=False)), np.uint64, len(distinct)) & _WORD
     n = len(hashes)
     closed = np.insert(codes.astype(np.int64), rows[1:], n)
     return np.append(hashes, np.array([END, START], np.uint64)), closed, rows + np.arange(len(rows))
@@ -173,21 +177,22 @@ def _save_table(uri: str, name: str, keys: np.ndarray, columns: list[np.ndarray]
 def _find_in(uri: str, name: str, keys: np.ndarray, width: int) -> list[np.ndarray]:
     """Numbers of each key in one table, 0 for one that is not there."""
     out = [np.zeros(len(keys), np.int64) for _ in range(width)]
-    offsets, own = hash_arrays.load(uri, f"{name}.offsets", "<i8"), hash_arrays.load(uri, f"{name}.keys", "<u4")
+    # Plain arrays on the mapped files: numpy wraps each result of a mapped one anew.
+    offsets, own = (np.asarray(hash_arrays.load(uri, f"{name}.{x}", t)) for x, t in (("offsets", "<i8"), ("keys", "<u4")))
     if not len(own):
         return out
     short = (keys * _SCATTER) >> np.uint64(20)
     part, want = (short >> np.uint64(32)).astype(np.int64), (short & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     low, end = offsets[part], offsets[part + 1]
-    high = end.copy()
-    while (open_ := low < high).any():
-        middle = (low + high) // 2
-        less = open_ & (own[np.minimum(middle, len(own) - 1)] < want)
-        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    step = 1 << int((end - low).max(initial=0)).bit_length() >> 1
+    while step:  # past as many smaller ones as there are, by halves
+        probe = low + step
+        low = np.where((probe <= end) & (own[np.minimum(probe, len(own)) - 1] < want), probe, low)
+        step >>= 1
     found = np.flatnonzero((low < end) & (own[np.minimum(low, len(own) - 1)] == want))
     at = low[found]
     for i in range(width):
-        n = hash_arrays.load(uri, f"{name}.{i}", "u1")[at].astype(np.int64)
+        n = np.asarray(hash_arrays.load(uri, f"{name}.{i}", "u1"))[at].astype(np.int64)
         if (n == 255).any():
             places, values = hash_arrays.load(uri, f"{name}.{i}.large", "<i8").reshape(2, -1)
             n[n == 255] = values[np.searchsorted(places, at[n == 255])]
@@ -283,20 +288,21 @@ def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = N
 
     current = docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, SCHEMA)
     levels, words, used = {}, None, None
-    for k in range(order, 1, -1):
-        path = work_dir(spark, f"grams{k}")
-        deal(current.where("kind = 'gram'")).mapInArrow(merge(k), SCHEMA).write.partitionBy("kind").parquet(path)
-        current = spark.read.schema(SCHEMA).parquet(path)
-        # Grams that were handed on are in this order's model; the rest of their table is read at the end.
-        if used:
-            files, folder = hadoop_path(spark, used)
-            files.delete(folder, True)
-        used = f"{path}/kind=gram"
-        kinds, *ones = total(current, 5)
-        levels[k] = {"kinds": kinds, "discounts": discounts(ones)}
-        own = current.where("kind in ('tokens', 'kinds')")
-        words = own if words is None else words.unionAll(own)
-    sums = total(deal(words, "kind").mapInArrow(merge_words, SCHEMA), 7)
+    with freed_shuffles(spark):
+        for k in range(order, 1, -1):
+            path = work_dir(spark, f"grams{k}")
+            deal(current.where("kind = 'gram'")).mapInArrow(merge(k), SCHEMA).write.partitionBy("kind").parquet(path)
+            current = spark.read.schema(SCHEMA).parquet(path)
+            # Grams that were handed on are in this order's model; the rest of their table is read at the end.
+            if used:
+                files, folder = hadoop_path(spark, used)
+                files.delete(folder, True)
+            used = f"{path}/kind=gram"
+            kinds, *ones = total(current, 5)
+            levels[k] = {"kinds": kinds, "discounts": discounts(ones)}
+            own = current.where("kind in ('tokens', 'kinds')")
+            words = own if words is None else words.unionAll(own)
+        sums = total(deal(words, "kind").mapInArrow(merge_words, SCHEMA), 7)
     d = discounts(sums[2:6])
     return {"uri": uri, "bits": bits, "order": order, "levels": levels, "kinds": levels[2]["kinds"], "tokens": sums[0], "vocabulary": sums[1],
             "word_discounts": d,
@@ -321,7 +327,7 @@ def discounts(n: list[int]) -> list[float]:
 def _find(model: dict, name: str, bucket: np.ndarray, keys: np.ndarray, width: int) -> list[np.ndarray]:
     """Numbers of keys, bucket by bucket; 0 for one that is not there."""
     out = [np.zeros(len(keys), np.int64) for _ in range(width)]
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if model["bits"] <= 16 else bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange((1 << model["bits"]) + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         rows = order[cuts[b]:cuts[b + 1]]

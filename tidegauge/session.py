@@ -75,6 +75,24 @@ def stream_settings(spark: SparkSession):
                 spark.conf.set(key, value)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Let the shuffle files of each query run inside be deleted when it ends, not when the driver collects its garbage.
+
+    For steps that write their tables: what a later query reads is a table, not a shuffle.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 #: Folders that ``work_dir`` has named in this process.
 _named: list[str] = []
 
