@@ -262,6 +262,48 @@ class TestKneserNey:
             found += zip([b] * len(counts), *(w.tolist() for w in own), counts.tolist(), strict=True)
         assert sorted(found) == sorted(zip(bucket.tolist(), *(w.tolist() for w in words), n.tolist(), strict=True))
 
+    def test_blocks_of_frequent_words(self):
+        """Words that many grams have get the small numbers, so that a gram takes less."""
+        rng = np.random.default_rng(8)
+        hashes = rng.integers(0, 2**48, 20_000, dtype=np.uint64)
+        words = [hashes[np.minimum(rng.zipf(1.3, 60_000), 20_000) - 1] for _ in range(3)]
+        words, _, n = kneser_ney._summed(words, np.ones(60_000, np.int64))
+        (_, block), = kneser_ney._blocks(np.zeros(len(n), np.int32), words, n)
+        # 2.6 bytes a gram; 3.5 where they are numbered by their hashes.
+        assert len(block) < 3 * len(n)
+        got = kneser_ney._summed(*kneser_ney._grams([block]))
+        want = kneser_ney._summed(words, n)
+        assert (got[1] == want[1]).all() and (got[2] == want[2]).all() and all((a == b).all() for a, b in zip(got[0], want[0], strict=True))
+
+    def test_blocks_of_two_numbers(self):
+        rng = np.random.default_rng(9)
+        words, n = [rng.permutation(500).astype(np.uint64)], rng.integers(1, 2**40, (500, 2))
+        (word,), got = kneser_ney._grams([b for _, b in kneser_ney._blocks(rng.integers(0, 3, 500).astype(np.int32), words, n)], 2)
+        assert (got[np.argsort(word)] == n[np.argsort(words[0])]).all()
+
+    def test_tables_are_small(self, tmp_path):
+        """The numbers of a hash take a byte or less, however many they are."""
+        rng = np.random.default_rng(10)
+        keys = np.unique(rng.integers(0, 2**64, 300_000, dtype=np.uint64))
+        once, twice, more = (rng.geometric(p, len(keys)) - 1 for p in (0.5, 0.9, 0.97))
+        seldom = rng.integers(0, len(keys), 500)
+        once[seldom] = rng.integers(0, 2**40, 500)
+        contexts = [once + 2 * twice + 3 * more + 1, once, twice, more]
+        for name, values, most in (("context", contexts, 5.4), ("gram", [rng.geometric(0.8, len(keys))], 4.7)):
+            kneser_ney._save_table(str(tmp_path), name, keys, values)
+            assert sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/{name}.*")) < most * len(keys)
+            for got, want in zip(kneser_ney._find_in(str(tmp_path), name, keys, len(values)), values, strict=True):
+                assert (got == want).all()
+
+    def test_only_words_of_repeated_grams_are_handed_on(self, spark):
+        docs = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "x y"), (4, "x z")], "doc_id long, text string")
+        model = kneser_ney.train(docs, work_dir(spark, "t"), bits=2, order=3)
+        left = spark.read.parquet([p for p in session._named if "/grams3-" in p][-1])
+        blocks = [bytes(r.block) for r in left.where("kind = 'tokens'").collect()]
+        (word,), n = kneser_ney._grams(blocks)
+        assert word.tolist() == [kneser_ney._hash48(b"x")] and n.tolist() == [1]  # after two starts, twice
+        assert model["tokens"] == 14 and model["vocabulary"] == 10
+
     def test_tables(self, spark):
         """Counts of any size, beyond a byte and beyond 32 bits, and keys that are not there."""
         rng = np.random.default_rng(7)

@@ -7,9 +7,14 @@ their sums; and it passes each gram on without its first word, once, to the buck
 next order, whose counts are these continuations.  So it goes down to two words.  A hot
 word or context is pre-summed by every task and bucket.
 
-The model is a folder of arrays.  Hashes are kept by 44 bits a bucket, counts in one byte
-with a list of the larger ones beside it.  Workers map the files into memory and look up
-the distinct grams of a batch.  Only a dozen sums an order come to the driver.
+The model is a folder of arrays.  Hashes are kept by 44 bits a bucket; all numbers of a
+hash are one code of half a byte or a byte, with a list of the rarer ones beside it.
+Workers map the files into memory and look up the distinct grams of a batch.  Only a dozen
+sums an order come to the driver.
+
+A word's tokens are the sum of the counts of two words that it ends, and what the counts of
+longer grams that it ends are above one: for each order counts the grams of the next.  So
+the buckets of longer grams hand on words of repeated grams only.
 
 Words are known by 48-bit hashes (see the README for the error that this and the 44 bits
 make).
@@ -119,14 +124,21 @@ def _sorted_rows(steps: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _blocks(bucket: np.ndarray, words: list[np.ndarray], n: np.ndarray):
-    """(bucket, block) of grams: the words of a block are numbered, and grams sorted by them."""
+    """(bucket, block) of grams: the words of a block are numbered, frequent ones first, and grams sorted by them.
+
+    ``n``: a number a gram, or a row of them.
+    """
     if not len(bucket):
         return
     order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for rows in np.split(order, cuts):
-        own, place = np.unique(np.concatenate([w[rows] for w in words]), return_inverse=True)
-        place = place.reshape(len(words), -1).astype(np.uint64)
+        own, place, times = np.unique(np.concatenate([w[rows] for w in words]), return_inverse=True, return_counts=True)
+        # By powers of two: numbers of like size have like bytes, and hashes in sorted runs small steps.
+        first = np.argsort((64 - np.frexp(times)[1]).astype(np.uint8), kind="stable")
+        number = np.empty(len(own), np.uint64)
+        number[first] = np.arange(len(own), dtype=np.uint64)
+        own, place = own[first], number[place.reshape(len(words), -1)]
         width = len(own).bit_length()
         if width * len(words) <= 64:  # one number a gram
             key = place[0]
@@ -135,17 +147,18 @@ def _blocks(bucket: np.ndarray, words: list[np.ndarray], n: np.ndarray):
             by = np.argsort(key)
         else:
             by = np.lexsort(place[::-1])
-        yield int(bucket[rows[0]]), _pack(_steps(own), n[rows][by], *_sorted_steps(place[:, by]))
+        yield int(bucket[rows[0]]), _pack(_steps(own), *n[rows][by].reshape(len(rows), -1).T, *_sorted_steps(place[:, by]))
 
 
-def _grams(blocks: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+def _grams(blocks: list[bytes], numbers: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
     words, counts = [], []
     for block in blocks:
-        steps, n, *places = _unpack(block)
+        steps, *columns = _unpack(block)
         own = np.cumsum(steps, dtype=np.uint64)
-        words.append([own[p.astype(np.int64)] for p in _sorted_rows(places)])
-        counts.append(n.astype(np.int64))
-    return [np.concatenate(c) for c in zip(*words, strict=True)], np.concatenate(counts)
+        words.append([own[p.astype(np.int64)] for p in _sorted_rows(columns[numbers:])])
+        counts.append(np.column_stack(columns[:numbers]).astype(np.int64))
+    n = np.concatenate(counts)
+    return [np.concatenate(c) for c in zip(*words, strict=True)], n[:, 0] if numbers == 1 else n
 
 
 def _rows(kind: str, items, stats: str = "") -> pa.RecordBatch:
@@ -157,7 +170,7 @@ def _rows(kind: str, items, stats: str = "") -> pa.RecordBatch:
 
 SCHEMA = "kind string, bucket int, block binary, stats string"
 
-# A table: hashes by 12 bits (offsets) and the 32 after those; numbers by a byte, 255 for those in a list.
+# A table: hashes by 12 bits (offsets) and the 32 after those; a code for the numbers of each, the last one for those in a list.
 _SCATTER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -167,11 +180,30 @@ def _save_table(uri: str, name: str, keys: np.ndarray, columns: list[np.ndarray]
     short = scattered[order] >> np.uint64(20)
     hash_arrays.save(uri, f"{name}.offsets", np.searchsorted(short >> np.uint64(32), np.arange(4097)).astype("<i8"))
     hash_arrays.save(uri, f"{name}.keys", (short & np.uint64(0xFFFFFFFF)).astype("<u4"))
-    for i, c in enumerate(columns):
-        c = c[order]
-        large = np.flatnonzero(c >= 255)
-        hash_arrays.save(uri, f"{name}.{i}", np.minimum(c, 255).astype("u1"))
-        hash_arrays.save(uri, f"{name}.{i}.large", np.concatenate((large, c[large])).astype("<i8"))
+    numbers = np.stack([c[order] for c in columns])
+    width, size = numbers.shape
+    each = 16 // width
+    small = numbers.max(axis=0) < 1 << each
+    packed = np.zeros(size, np.int64)
+    for c in numbers:
+        packed = packed << each | np.where(small, c, 0)
+    seen = np.bincount(packed[small], minlength=1 << 16)
+    common = np.argsort(-seen, kind="stable")[:255]
+    number_bytes = 4 if max(size, numbers.max(initial=0)) < 1 << 32 else 8
+    takes = {bits: size * bits // 8 + (size - int(seen[common[:(1 << bits) - 1]].sum())) * (1 + width) * number_bytes for bits in (4, 8)}
+    bits = min(takes, key=takes.get)
+    last = (1 << bits) - 1
+    code_of = np.full(1 << 16, last, np.uint8)
+    code_of[common[:last]] = np.arange(last)
+    codes = np.where(small, code_of[packed], np.uint8(last))
+    large = np.flatnonzero(codes == last)
+    if bits == 4:
+        codes = np.append(codes, np.zeros(size % 2, np.uint8))
+        codes = codes[::2] | codes[1::2] << 4
+    hash_arrays.save(uri, f"{name}.codes", codes)
+    hash_arrays.save(uri, f"{name}.common", np.concatenate(
+        ((bits, number_bytes), *((common[:last] >> each * i) & ((1 << each) - 1) for i in reversed(range(width))))).astype("<i8"))
+    hash_arrays.save(uri, f"{name}.large", np.concatenate((large, *numbers[:, large])).astype(f"<u{number_bytes}"))
 
 
 def _find_in(uri: str, name: str, keys: np.ndarray, width: int) -> list[np.ndarray]:
@@ -191,11 +223,17 @@ def _find_in(uri: str, name: str, keys: np.ndarray, width: int) -> list[np.ndarr
         step >>= 1
     found = np.flatnonzero((low < end) & (own[np.minimum(low, len(own) - 1)] == want))
     at = low[found]
-    for i in range(width):
-        n = np.asarray(hash_arrays.load(uri, f"{name}.{i}", "u1"))[at].astype(np.int64)
-        if (n == 255).any():
-            places, values = hash_arrays.load(uri, f"{name}.{i}.large", "<i8").reshape(2, -1)
-            n[n == 255] = values[np.searchsorted(places, at[n == 255])]
+    (bits, number_bytes), common = np.split(np.asarray(hash_arrays.load(uri, f"{name}.common", "<i8")), [2])
+    codes, last = np.asarray(hash_arrays.load(uri, f"{name}.codes", "u1")), (1 << int(bits)) - 1
+    code = codes[at] if bits == 8 else codes[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & np.uint8(15)
+    listed = np.flatnonzero(code == last)
+    if len(listed):
+        places, *large = np.asarray(hash_arrays.load(uri, f"{name}.large", f"<u{number_bytes}")).reshape(1 + width, -1)
+        row = np.searchsorted(places, at[listed].astype(places.dtype))
+    for i, own in enumerate(common.reshape(width, last)):
+        n = np.append(own, 0)[code]
+        if len(listed):
+            n[listed] = large[i][row]
         out[i][found] = n
     return out
 
@@ -250,15 +288,15 @@ def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = N
                 at = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
                 add = lambda values: np.add.reduceat(values.astype(np.int64), at)
                 _save_table(uri, f"context{k}-{bucket}", context[at], [add(counts), add(counts == 1), add(counts == 2), add(counts > 2)])
-                # What the next order counts, and of each last word its tokens (once) and the grams of two it ends.
+                # What the next order counts; and of each last word the counts beyond one, at the end the counts and the grams of two.
                 if k > 2:
                     yield _rows("gram", _blocks(bucket_of(words[1:-1]), words[1:], np.ones(len(n), np.int64)))
-                last, key, total = _summed(words[-1:], n)
-                if k == order:
-                    yield _rows("tokens", _blocks((key >> shift).astype(np.int32), last, total))
-                if k == 2:
-                    last, key, kinds = _summed(words[-1:], np.ones(len(n), np.int64))
-                    yield _rows("kinds", _blocks((key >> shift).astype(np.int32), last, kinds))
+                    more = n > 1
+                    last, key, beyond = _summed([words[-1][more]], n[more] - 1)
+                    yield _rows("tokens", _blocks((key >> shift).astype(np.int32), last, beyond))
+                else:
+                    last, key, both = _summed(words[-1:], np.column_stack((n, np.ones(len(n), np.int64))))
+                    yield _rows("kinds", _blocks((key >> shift).astype(np.int32), last, both))
             yield _rows("sums", [(0, b"")], json.dumps(sums.tolist()))
 
         return run
@@ -270,9 +308,9 @@ def train(docs: DataFrame, folder: str, text: str = "text", bits: int | None = N
             for kind in ("tokens", "kinds"):
                 blocks = [x for b in part for x in b.filter(pa.compute.equal(b.column("kind"), kind)).column("block").to_pylist()]
                 if blocks:
-                    (word,), n = _grams(blocks)
+                    (word,), n = _grams(blocks, 1 if kind == "tokens" else 2)
                     keys.append(word)
-                    columns.append((n, np.zeros_like(n)) if kind == "tokens" else (np.zeros_like(n), n))
+                    columns.append((n, np.zeros_like(n)) if kind == "tokens" else tuple(n.T))
             word, of = np.unique(np.concatenate(keys), return_inverse=True)
             n, kinds = (np.bincount(of, np.concatenate(c), len(word)).astype(np.int64) for c in zip(*columns, strict=True))
             _save_table(uri, f"word-{bucket}", _hash_of([word]), [n, kinds])
